@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.functions.ship import ship
 from tideline.llm.common import cut
 
 SEED = 42
@@ -50,15 +51,16 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), index=texts.index)
+def fingerprints(docs: DataFrame, text: str = "text", shingle_words: int = 3) -> Column:
+    """A signed long column with the fingerprint's bits."""
+    ship(docs.sparkSession)
 
+    @F.pandas_udf(T.LongType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t, shingle_words) for t in texts], np.uint64).view(np.int64), index=texts.index)
 
-def fingerprints(docs: DataFrame, text: str = "text") -> Column:
-    """A signed long column with the fingerprint's bits."""
-    return _fingerprints(docs[text].cast("string"))
+    return run(docs[text].cast("string"))
 
 
 def _masks(max_distance: int, agree: int = 3) -> list[int]:
@@ -104,9 +106,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = 2, shingle_words: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (long), fingerprint (16 hex digits), component_id (smallest doc_id)."""
-    marked = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(docs, text).alias("fp")))
+    marked = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(docs, text, shingle_words).alias("fp")))
     first = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(first.select("fp"), max_distance))
     of = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -115,9 +117,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(by_fp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = 2, shingle_words: int = 3) -> DataFrame:
     """The rows of ``docs`` whose doc_id names its component; of repeated rows of that doc_id one stays. Null ids stay only where a whole component has none."""
-    groups = near_duplicates(docs, doc_id, text, max_distance)
+    groups = near_duplicates(docs, doc_id, text, max_distance, shingle_words)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), "fp").groupBy("__kept", "fp").agg(F.count(F.lit(1)).alias("__n"))
     joined = docs.join(kept.drop("fp").dropDuplicates(["__kept"]), docs[doc_id].eqNullSafe(F.col("__kept")), "left_semi")
     repeated = kept.groupBy("__kept").agg(F.sum("__n").alias("n")).filter("n > 1")
