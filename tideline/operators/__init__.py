@@ -1 +1 @@
-"""."""
+"""Operators of the recommender: DataFrame in, DataFrame out."""
