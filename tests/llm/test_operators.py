@@ -1,0 +1,371 @@
+"""The training-data operators on small frames: brute force, edge cases, repeated rows, empty tables, clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import string
+
+import numpy as np
+import pytest
+import xxhash
+
+from tideline.llm import bpe, cws, decontaminate, language, licenses, lines, simhash, toxicity, urls, warc
+
+AZ = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+DOCS = "doc_id long, text string, lang string, source string, h long, score string, n_lines string, salt int"
+WORDS = ["alpha", "beta", "gamma", "delta", "Éclair", "the", "x1", "zeta", "日本", "ok"]
+
+
+def texts(n=60, seed=1):
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        out.append("\n".join(" ".join(rnd.choice(WORDS) for _ in range(rnd.randint(0, 9))) for _ in range(rnd.randint(1, 6))))
+    out += [None, "", " \n\t", "word " * 3000, out[0], out[0], out[3] + " more", "\n\n"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", 1, "x", "y", 2) for i, t in enumerate(texts())]
+    rows += [(3, rows[3][1], "en", "s", 1, "x", "y", 2), (None, "lost id alpha beta", None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def rows_of(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+def brute_fingerprint(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(AZ))
+    if not w:
+        return 0
+    sh = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_against_brute_force(docs):
+    got = simhash.near_duplicates(docs).collect()
+    rows = rows_of(docs)
+    assert len(got) == len(rows)
+    fps = [(i, brute_fingerprint(t)) for i, t in rows]
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.fingerprint) for r in got) == sorted((i is None, i or 0, f"{f:016x}") for i, f in fps)
+    label = {f: f for _, f in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a in label:
+            for b in label:
+                if bin(a ^ b).count("1") <= 2 and label[b] < label[a]:
+                    label[a], changed = label[b], True
+    first = collections.defaultdict(list)
+    for i, f in fps:
+        if i is not None:
+            first[label[f]].append(i)
+    for r in got:
+        assert r.component_id == min(first[label[int(r.fingerprint, 16)]], default=None)
+
+
+def test_simhash_crowded_blocks_lose_no_link(spark):
+    rnd = random.Random(2)
+    base = rnd.getrandbits(64)
+    values = {base}
+    for _ in range(300):
+        values.add(base ^ (1 << rnd.randrange(24)) ^ (1 << rnd.randrange(24)) ^ (1 << rnd.randrange(24)))
+    values = sorted(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), block_limit=4)
+    roots = {r.fp: r.root for r in simhash.components(edges).collect()}
+    parent = {v: v for v in signed}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(signed):
+        for b in signed[:i]:
+            if bin((a ^ b) & (2**64 - 1)).count("1") <= 2:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert {v: roots.get(v, v) for v in signed} == {v: find(v) for v in signed}
+
+
+def test_simhash_empty(empty):
+    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.keep_one(empty).count() == 0
+
+
+def test_keep_one_keeps_one_of_each_group(spark):
+    rnd = random.Random(4)
+    make = lambda n: [rnd.choice(string.ascii_lowercase) + str(rnd.randrange(999)) for _ in range(n)]
+    base, other = make(400), make(400)
+    near = [*base[:200], "changed", *base[201:]]
+    rows = [(5, " ".join(base)), (2, " ".join(near)), (9, " ".join(base)), (7, " ".join(other)), (7, " ".join(other)), (8, None), (10, "")]
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [2, 7, 8]
+
+
+def test_lines_against_brute_force(docs):
+    rows = rows_of(docs)
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(AZ)
+    seen = collections.Counter(k for _, t in rows for k in {key(x) for x in (t or "").split("\n")} if k)
+    want = []
+    for i, t in rows:
+        ls = (t or "").split("\n")
+        kept = [x for x in ls if not (key(x) and seen[key(x)] >= 3)]
+        want.append((i is None, i or 0, len(ls), len(ls) - len(kept), "\n".join(kept)))
+    for limit in (200_000, 0):  # by broadcast and by shuffle
+        got = [(r.doc_id is None, r.doc_id or 0, r.n_lines, r.n_dropped, r.kept_text) for r in lines.dedup_lines(docs, min_docs=3, broadcast_rows=limit).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_line_runs_compact(spark):
+    runs = lines.LineRuns(spark, min_docs=3, fanout=2)
+    for counts in ([(1, 1), (2, 3)], [(1, 1), (3, 1)], [(1, 1), (2, 5)], [(3, 1)], [(3, 1), (4, 2)]):
+        runs.add(spark.createDataFrame(counts, "h long, n long"))
+    assert sorted(r.h for r in runs.frequent().collect()) == [1, 2, 3]
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+
+
+def test_lines_empty(empty):
+    assert lines.dedup_lines(empty).count() == 0
+
+
+def brute_hits(docs, items, window=10):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall((t or "").translate(AZ))
+    out = []
+    for i, t in docs:
+        ws, hit, ids = split(t), set(), set()
+        for item, x in items:
+            iw = split(x)
+            for w in [iw[k : k + window] for k in range(max(1, len(iw) - window + 1))] if iw else []:
+                for p in range(len(ws) - len(w) + 1):
+                    if ws[p : p + len(w)] == w:
+                        hit.update(range(p, p + len(w)))
+                        ids.add(str(item))
+        out.append((i is None, i or 0, len(ws), len(hit), ",".join(sorted(ids)), bool(hit)))
+    return sorted(out)
+
+
+def test_decontamination_against_brute_force(spark, docs):
+    source = next(t for _, t in rows_of(docs) if t and len(t.split()) > 14)
+    items = [(1, source), (10, "Alpha  BETA"), (2, None), (3, ""), (4, "never seen words here at all"), (5, source.upper())]
+    got = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in got) == brute_hits(rows_of(docs), items)
+
+
+def test_decontamination_empty(spark, docs, empty):
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.decontaminate(docs, items).filter("contaminated").count() == 0
+    assert decontaminate.drop_contaminated(docs, items).count() == docs.count()
+    assert decontaminate.decontaminate(empty, items).count() == 0
+
+
+def test_cws_against_generalised_jaccard(docs):
+    rows = sorted(rows_of(docs), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    bag = lambda t: collections.Counter((t or "").translate(AZ).split())
+    like = lambda a, b: 1.0 if not a and not b else sum((a & b).values()) / sum((a | b).values())
+    got = cws.edited_fingerprints(docs, samples=128).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    errors = []
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1] or ""
+        t = t or ""
+        m = len(t) // 3
+        edited = t[: len(t) - m] + nxt[:m]
+        r = by[i]
+        assert r.n_chars == len(t)
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() or i == 3
+        if i != 3:
+            errors.append(abs(r.near_edited - like(bag(t), bag(edited))))
+    assert np.mean(errors) < 0.06 and max(errors) < 0.25
+    same = collections.defaultdict(set)
+    for r in got:
+        same[(dict(rows)[r.doc_id] or "")].add(r.fingerprint)
+    assert all(len(s) == 1 for s in same.values())
+
+
+def test_cws_empty_and_single(spark, empty):
+    assert cws.edited_fingerprints(empty).count() == 0
+    one = cws.edited_fingerprints(spark.createDataFrame([(1, "one two three")], "doc_id long, text string")).first()
+    assert one.near_next == 1.0
+
+
+def test_language_learns_and_says_und(spark):
+    rnd = random.Random(3)
+    langs = {"en": ["the", "thing", "and", "with", "shell"], "de": ["der", "schön", "und", "mit", "schale"]}
+    rows = [(i, " ".join(rnd.choice(langs[lang]) for _ in range(20)), lang) for i, lang in enumerate(["en", "de"] * 40)]
+    docs = spark.createDataFrame([*rows, (100, None, "en"), (101, "12 34 !", "de"), (102, "", None)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    got = {r.doc_id: (r.lang_pred, r.lang_score) for r in language.predict(docs, model).collect()}
+    assert sum(got[i][0] == lang for i, _, lang in rows) >= 78
+    assert got[100] == got[101] == got[102] == ("und", 0.0)
+    mixed = language.Tagger(model).tag("the thing and with der schale und mit")
+    assert [m[1] for m in mixed] == ["en"] * 4 + ["de"] * 4
+    assert language.predict(docs, language.fit(docs.limit(0))).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_forward_backward_against_enumeration():
+    rng = np.random.default_rng(0)
+    emit, start, moves = rng.normal(size=(1, 4, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
+    post, expected = language.posteriors(emit, np.array([4]), start, moves, pairs=True)
+    total, marg, pair = 0.0, np.zeros((4, 3)), np.zeros((3, 3))
+    for path in np.ndindex(3, 3, 3, 3):
+        p = np.exp(start[path[0]] + sum(emit[0, t, y] for t, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:], strict=False)))
+        total += p
+        for t, y in enumerate(path):
+            marg[t, y] += p
+        for a, b in zip(path, path[1:], strict=False):
+            pair[a, b] += p
+    assert np.allclose(post[0], marg / total) and np.allclose(expected, pair / total)
+
+
+def test_toxicity_finds_unseen_misspellings(spark):
+    rnd = random.Random(5)
+    clean = lambda: [rnd.choice(["river", "stone", "table", "green", "window", "paper", "cloud", "music"]) for _ in range(40)]
+    rows, labels = [], []
+    for i in range(160):
+        w = clean()
+        if i % 4 == 0:
+            w[rnd.randrange(40)] = rnd.choice(["horrid", "horridly", "vilest", "vile"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0), "clash"))
+    docs = spark.createDataFrame([*rows, (900, " ".join([*clean(), "horrids"])), (901, " ".join(clean())), (902, None), (903, "")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int, text string"))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert np.mean([(got[i] >= 0.5) == bool(y) for i, y, _ in labels]) > 0.95
+    assert got[900] >= 0.5 > got[901] and got[902] == got[903] < 0.5
+    none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    return path, Tokenizer.from_file(path)
+
+
+def test_bpe_equals_the_library(docs, tokenizer):
+    path, library = tokenizer
+    extra = ["IT'S we'Re don't", "a<|endoftext|>b <|startoftext|>", "½ ٣ x²", "ΑΣ Σσ", "é é", "a\x1cb\x85c\u3000d", "!!! ...?", "日本語한글😀"]
+    spec = bpe.Spec(open(path, encoding="utf-8").read())
+    known = ["don", "alpha", "日本語"]
+    encoder = bpe.Encoder(spec, bpe.Lexicon(bpe.compile_lexicon((w.encode(), spec.merge(w)) for w in known)))
+    for t in extra:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert encoder.encode(t) == ids
+        assert encoder.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    for r in bpe.encode(docs, path, lexicon_words=20).select("text", "ids", "decoded").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert r["ids"] == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_digests(docs, empty, tokenizer):
+    path, library = tokenizer
+    for r in bpe.digests(docs, path).collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert bpe.digests(empty, path).count() == 0
+
+
+def test_lexicon_is_minimal_and_exact():
+    words = sorted({a + b + c for a in ("re", "un", "de") for b in ("act", "fold", "sign") for c in ("ing", "ed", "s")})
+    lexicon = bpe.Lexicon(bpe.compile_lexicon((w.encode(), [i, 7]) for i, w in enumerate(words)))
+    assert [lexicon.find(w.encode()) for w in words] == [[i, 7] for i in range(len(words))]
+    assert lexicon.find(b"react") is None and lexicon.find(b"") is None and lexicon.find(b"reactings") is None
+    assert len(lexicon.finals) < 22  # suffixes are shared
+    assert bpe.Lexicon(bpe.compile_lexicon([])).find(b"a") is None
+
+
+def test_license_alignment(spark):
+    text = "intro words " * 30 + licenses.TEMPLATES["MIT"].replace("merge, publish, ", "").replace("copies of the", "cpies of the") + " tail the software " * 20
+    rows = [(1, text), (2, "nothing of the kind"), (3, None), (4, ""), (5, "Some.\nReleased under the MIT License.\nMore"), (6, licenses.TEMPLATES["ISC"] + " x " * 500 + licenses.TEMPLATES["ISC"])]
+    got = {r.doc_id: [(x["license"], x.coverage) for x in r.licenses] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][0][0] == "MIT" and 0.9 < got[1][0][1] < 1
+    assert got[2] == got[3] == got[4] == []
+    assert got[5] == [("MIT-notice", 1.0)]
+    assert ("ISC", 1.0) in got[6]
+
+
+def test_patience_matches_are_a_common_subsequence():
+    rnd = random.Random(9)
+    for _ in range(200):
+        a, b = ([rnd.choice("abcdefghij") for _ in range(rnd.randint(0, 14))] for _ in range(2))
+        m = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in m)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(m, m[1:], strict=False))
+    assert licenses._rising([(0, 3), (1, 1), (2, 2), (3, 0), (4, 4)]) == [(1, 1), (2, 2), (4, 4)]
+
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def test_url_rules(spark):
+    cases = {
+        "http://a.example.net/en/1": ("a.example.net", "/en/1", "example.net/en/", "allow"),
+        "https://EXAMPLE.net/fr?x": ("example.net", "/fr", "net/", "block"),
+        "ftp://net": ("net", "", None, None),
+        "http://notexample.com/de/x": ("notexample.com", "/de/x", None, None),
+        "http://example.com/de/x#f": ("example.com", "/de/x", "example.com/de/", "block"),
+        "x://y.org/fr/a://b": ("y.org", "/fr/a://b", "org/fr/", "allow"),
+        "no scheme": ("", "", None, None),
+        "": ("", "", None, None),
+    }
+    rows = [(i, u, "x") for i, u in enumerate(cases)] + [(99, None, "x")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, host string"), RULES).collect()}
+    assert len(got) == len(rows)
+    for i, (host, path, rule, verdict) in enumerate(cases.values()):
+        r = got[i]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
+    assert (got[99].host, got[99].path, got[99].rule) == ("", "", None)
+
+
+def test_url_templates_generalise_and_reject(spark):
+    rows = [(i, f"http://h.test/{'spam' if i % 2 else 'news'}/{i}", (i % 2) if i < 60 else None) for i in range(100)]
+    rows += [(200 + i, f"http://h.test/tag/{w}{i}/list", None) for i, w in enumerate(["aa", "bb", "cc"] * 5)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), [], label="bad").collect()}
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(60, 100))
+    assert len({got[200 + i].template for i in range(15)}) == 1  # variable segments became one wildcard
+    empty = spark.createDataFrame([], "page_id long, url string")
+    assert urls.judge(empty, RULES).count() == 0
+
+
+def test_warc_round_trip(spark):
+    big = "<p>é" + "x" * 1200
+    rows = [(1, "http://a/b c", big), (2, None, big), (3, "http://a/", "small"), (4, "http://a/", "small"), (5, "http://b/", None), (6, "http://b/", ""), (7, "http://c/", big), (8, "http://d/", "y" * 1000), (9, "http://d/", "\r\n\r\n" + "z" * 2000)]
+    got = {r.key: r for r in warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 9
+    for i, _, html in rows:
+        data = (html or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
+    assert [(i, got[i].record_type, got[i].refers_to) for i in (1, 2, 7)] == [(1, "revisit", 7), (2, "revisit", 7), (7, "response", None)]
+    assert all(got[i].record_type == "response" and got[i].refers_to is None for i in (3, 4, 5, 6, 8, 9))
+    assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("version", ["1", "2"])
+def test_arc_versions(version):
+    import io
+
+    head = warc.arc_head(version, "f.arc", "20240102030405")
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello\nworld"
+    stream = head + warc.arc_record(version, "http://x/a b", "20240102030405", body, len(head), "f.arc") + warc.arc_record(version, "http://y/", "2024", b"", 0, "f.arc")
+    found = list(warc.parse_arc(io.BytesIO(stream)))
+    assert [(f["URL"], b) for f, b in found] == [("http://x/a b", body), ("http://y/", b"")]
+    assert warc.warc_date("20240102030405") == "2024-01-02T03:04:05Z"
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(io.BytesIO(stream[:-20])))
