@@ -1,0 +1,77 @@
+"""Seeded catalogs and impression logs, made row by row from hashes so that any partitioning gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.functions.ship import ship
+
+#: Categories of generated catalogs.
+CATEGORIES = ["Music", "Gaming", "Education", "Sports", "News", "Comedy", "Science", "Travel", "Food", "Film", "Howto", "Autos", "Pets"]
+TOPICS = 40
+
+
+def uniform(key: Column, salt: str, seed: int = 42) -> Column:
+    """Evenly spread over (0, 1), fixed by key, salt and seed."""
+    return (F.pmod(F.xxhash64(key, F.lit(salt), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+
+
+def gauss(key: Column, salt: str, seed: int = 42) -> Column:
+    return F.sqrt(-2 * F.log(uniform(key, salt + "r", seed))) * F.cos(2 * np.pi * uniform(key, salt + "a", seed))
+
+
+def catalog(spark: SparkSession, n: int, channels: int = 200, seed: int = 42) -> DataFrame:
+    """Items with log-normal views, topics, a main category, opaque ids and templated titles."""
+    i = F.col("id")
+    quality = F.exp(0.5 * gauss(i, "quality", seed))
+    views = F.floor(F.exp(8 + 2 * gauss(i, "views", seed)) * quality)
+    topic = F.floor(uniform(i, "topic", seed) * TOPICS).cast("int")
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), (topic % len(CATEGORIES) + 1).cast("int"))
+    channel = F.floor(F.pow(uniform(i, "channel", seed), F.lit(2.0)) * channels).cast("int")
+    return spark.range(n).select(
+        i.alias("item"), F.substring(F.md5(F.concat_ws("-", F.lit(seed), i)), 1, 11).alias("video_id"), F.format_string("%s no. %d: topic %d", category, i, topic).alias("title"), F.format_string("channel-%03d", channel).alias("channel_id"), category.alias("category"),
+        topic.alias("topic"), F.floor(30 + 1200 * uniform(i, "duration", seed)).alias("duration_seconds"), views.alias("view_count"), F.floor(views * 0.04 * quality).alias("like_count"), F.floor(views * 0.004 * quality).alias("comment_count"),
+        quality.alias("latent_quality"), uniform(i, "bait", seed).alias("latent_clickbait"), (365 * uniform(i, "age", seed)).alias("age_days"),
+    )
+
+
+def impressions(items: DataFrame, users: int, sessions: int = 3, feed: int = 8, seed: int = 42) -> DataFrame:
+    """Impressions of simulated users. Users are independent: each is drawn from its own generator, whichever task has it.
+
+    A user likes a few topics; a feed mixes those with popular items; clicks cascade down the feed; watching and the other outcomes follow a click.
+    ``items`` is a generated catalog, small enough to reach every task.
+    """
+    spark = items.sparkSession
+    ship(spark)
+    pool = items.select("item", "topic", "view_count", "duration_seconds", "latent_quality", "latent_clickbait").orderBy("item").toPandas()
+    shared = spark.sparkContext.broadcast(pool)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = shared.value
+        topic, quality, bait, length = (p[c].to_numpy(float) for c in ("topic", "latent_quality", "latent_clickbait", "duration_seconds"))
+        popular = np.log1p(p["view_count"].to_numpy(float))
+        popular = popular / popular.sum()
+        for b in batches:
+            rows = []
+            for u in b["id"]:
+                rng = np.random.default_rng([seed, int(u)])
+                liked_topics, clock = rng.choice(TOPICS, 3, replace=False), int(rng.integers(0, 30 * 86400))
+                for s in range(sessions):
+                    taste = popular * np.where(np.isin(topic, liked_topics), 8.0, 1.0)
+                    shown = rng.choice(len(p), min(feed, len(p)), replace=False, p=taste / taste.sum())
+                    clock += int(rng.integers(3600, 5 * 86400))
+                    for rank, i in enumerate(shown):
+                        fits = float(topic[i] in liked_topics)
+                        clicked = rng.random() < 1 / (1 + np.exp(-(-1.6 + 1.4 * fits + 0.6 * bait[i]))) * 0.82**rank
+                        watched = float(np.clip(0.15 + 0.35 * fits + 0.15 * np.tanh(quality[i] - 1) - 0.2 * bait[i] + 0.15 * rng.normal(), 0.01, 1)) if clicked else 0.0
+                        happy = clicked and rng.random() < 1 / (1 + np.exp(-(-1 + 4 * watched - bait[i])))
+                        rows.append((int(u), f"{u}-{s}", int(p["item"].iat[i]), clock * 1_000_000, rank, int(clicked), watched, watched * length[i], int(happy and rng.random() < 0.4), int(happy), int(clicked and watched < 0.12)))
+            yield pd.DataFrame(rows, columns=["user_id", "session_id", "item", "ts", "rank_shown", "clicked", "watch_fraction", "watch_seconds", "liked", "satisfied", "dismissed"])
+
+    schema = "user_id long, session_id string, item long, ts long, rank_shown int, clicked int, watch_fraction double, watch_seconds double, liked int, satisfied int, dismissed int"
+    return spark.range(users).mapInPandas(run, schema)

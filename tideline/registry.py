@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tideline.plans import evaluation, pages, ranking, relational, retrieval, text  # noqa: F401
+    from tideline.plans import evaluation, generators, pages, ranking, relational, retrieval, text  # noqa: F401
 
 
 load()
