@@ -156,3 +156,76 @@ def test_causal_history_sees_earlier_feeds_only(spark):
     rows = [(1, 10, "a", 100, 0, 1, 0.5), (1, 11, "a", 100, 1, 0, 0.0), (1, 12, "b", 200, 0, 1, 0.9), (1, 13, "c", 300, 0, 0, 0.0)]
     df = spark.createDataFrame(rows, "user_id long, item long, session_id string, ts long, rank_shown int, clicked int, watch_fraction double")
     assert [(r.feed_seq, r.n_history) for r in running_history(df).orderBy("feed_seq").collect()] == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_engine_modes_and_exclusion(spark):
+    from tideline.plans.serving import engine, requests
+
+    sf = "/root/testdata/sf0.001"
+    e, r = engine(spark, sf), requests(spark, sf).filter("request_id < 6")
+    page = e.recommend(r).cache()
+    history = r.filter("query is null and seed is null").select("request_id", F.explode("history").alias("item"))
+    from_history = page.filter(F.array_contains("sources", "content") | F.array_contains("sources", "covisit"))
+    assert from_history.join(history, ["request_id", "item"], "left_semi").count() == 0
+    assert page.groupBy("request_id", "item").count().filter("count > 1").isEmpty()
+    assert all(0 < x["count"] <= 12 for x in page.groupBy("request_id").count().collect())
+    modes = {m.request_id: m["mode"] for m in e.modes(r, e.history(r)).collect()}
+    assert modes[0] == "search" and modes[1] == "watch_page" and modes[2] == "personalised"
+    unknown = r.filter("request_id = 1").withColumn("seed", F.lit(10**9))
+    assert e.modes(unknown, e.history(unknown)).first()["mode"] == "cold_start"
+
+
+def test_config_overrides():
+    from tideline.config import load
+
+    c = load({"page.k": 7}, {"TIDELINE__RECALL__DAMPING": "0.25", "OTHER": "1"})
+    assert c.page.k == 7 and c.recall.damping == 0.25 and c.factors.alpha == 30.0
+    with pytest.raises(AttributeError):
+        load({"nosuch.k": 1}, {})
+
+
+def test_generated_rows_do_not_depend_on_partitions(spark):
+    from tideline.operators import simulate
+
+    items = simulate.catalog(spark, 60)
+    a = simulate.impressions(items, 20).collect()
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+    try:
+        b = simulate.impressions(simulate.catalog(spark, 60).repartition(7), 20).collect()
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert sorted(a) == sorted(b)
+    assert all(r.watch_fraction > 0 if r.clicked else r.watch_fraction == 0 and not r.satisfied for r in a)
+
+
+def test_file_sources(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tideline.sources import files
+
+    (tmp_path / "a.csv").write_text("id,title,views,categoryId\nx,First,5,1\nx,Second,9,1\n,No id,1,2\n")
+    (tmp_path / "b.csv").write_text("video_id,title,likes\ny,Third,oops\n")
+    (tmp_path / "c.json").write_text('{"items": [{"id": "1", "snippet": {"title": "Music"}}]}')
+    names = files.category_names(spark, str(tmp_path / "c.json"))
+    got = {r.video_id: r for r in files.catalog_from_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], names).collect()}
+    assert set(got) == {"x", "y"} and got["x"].title == "Second" and got["x"].category == "Music" and got["y"].like_count == 0
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("at", T.LongType()), T.StructField("v", T.StringType())])
+    files.append_cache(spark.createDataFrame([("a", 1, "old")], schema), str(tmp_path / "cache"))
+    files.append_cache(spark.createDataFrame([("a", 2, "new"), ("b", 1, "b")], schema), str(tmp_path / "cache"))
+    assert {r.k: r.v for r in files.read_cache(spark, str(tmp_path / "cache"), schema, "k", "at").collect()} == {"a": "new", "b": "b"}
+    df, notes = files.first_that_works([("none", lambda: spark.read.parquet(str(tmp_path / "nosuch"))), ("empty", lambda: spark.range(0)), ("some", lambda: spark.range(3))])
+    assert df.count() == 3 and [n.split(":")[0] for n in notes] == ["none", "empty", "some"]
+    (tmp_path / "r.tsv").write_text("1\t10\t5\t100\n1\t11\t2\t101\n")
+    assert [r.clicked for r in files.read_ratings(spark, str(tmp_path / "r.tsv")).orderBy("item").collect()] == [1, 0]
+
+
+def test_streaming_popularity_equals_batch(spark, tmp_path):
+    from tideline.streaming.trending import windowed_popularity
+
+    rows = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id * 5) AS ts, id % 3 AS item FROM range(20)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = windowed_popularity(stream).writeStream.outputMode("complete").format("memory").queryName("pop").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(spark.table("pop").collect()) == sorted(windowed_popularity(rows).collect())

@@ -22,9 +22,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
     return add
 
-
-def load() -> None:
-    from tideline.plans import evaluation, generators, pages, ranking, relational, retrieval, text  # noqa: F401
-
-
-load()

@@ -18,10 +18,11 @@ ALIASES = {
 
 
 def read_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
-    """CSV files of different headers, one under the other."""
+    """CSV files of different headers, each with its aliases resolved, one under the other."""
     out = None
     for p in paths:
         df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(p)
+        df = resolve_aliases(df, ALIASES)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
@@ -34,7 +35,7 @@ def category_names(spark: SparkSession, path: str) -> DataFrame:
 
 def catalog_from_csv(spark: SparkSession, paths: list[str], names: DataFrame | None = None) -> DataFrame:
     """A coerced catalog: aliases resolved, categories named (unknown ones Entertainment), of each id the row of most views."""
-    df = resolve_aliases(read_csv(spark, paths), ALIASES)
+    df = read_csv(spark, paths)
     if names is not None and "category_id" in df.columns:
         df = df.join(F.broadcast(names), "category_id", "left").withColumn("category", F.coalesce("name", F.lit("Entertainment"))).drop("name")
     df = coerce(df, {**{c: ("string", "") for c in ("video_id", "title", "channel_id", "channel_title", "category", "tags", "description")}, **{c: ("bigint", 0) for c in ("view_count", "like_count", "comment_count")}})
