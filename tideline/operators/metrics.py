@@ -51,12 +51,21 @@ def pairwise_mean_cosine(df: DataFrame, keys: list[str], vector: str = "v") -> D
     return own.join(sums, keys).select(*keys, F.when(n < 2, 0.0).otherwise((F.col("ss") - F.col("d")) / F.greatest(n * (n - 1), F.lit(1))).alias("coherence"), "n")
 
 
+def sums_before(df: DataFrame, order: str, value: str, out: str, buckets: int = 64) -> DataFrame:
+    """``df`` with the sum of ``value`` over rows of smaller ``order``, whose values differ. Rows are cut into ranges, so that none of the sums runs over the whole table in one task."""
+    bounds = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.005)))
+    ranged = df.withColumn("__b", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x <= F.col(order))))
+    whole = ranged.groupBy("__b").agg(F.sum(value).alias("__s"))
+    before = whole.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))
+    within = F.sum(value).over(Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.join(F.broadcast(before), "__b").withColumn(out, F.col("__before") + F.coalesce(within, F.lit(0.0))).drop("__b", "__before")
+
+
 def auc(df: DataFrame, score: str, label: str, weight: Column | None = None) -> DataFrame:
     """(auc): weighted chance that a positive outscores a negative, ties half. Rows are summed by score before the running sum."""
     w = F.lit(1.0) if weight is None else weight
     g = df.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0.0).otherwise(w)).alias("n"))
-    below = F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    t = g.withColumn("below", F.coalesce(below, F.lit(0.0))).agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    t = sums_before(g, score, "n", "below").agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return t.select(F.try_divide(F.col("u"), F.col("p") * F.col("n")).alias("auc"))
 
 
