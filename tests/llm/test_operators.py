@@ -205,11 +205,11 @@ def test_language_learns_and_says_und(spark):
     rnd = random.Random(3)
     langs = {"en": ["the", "thing", "and", "with", "shell"], "de": ["der", "schön", "und", "mit", "schale"]}
     rows = [(i, " ".join(rnd.choice(langs[lang]) for _ in range(20)), lang) for i, lang in enumerate(["en", "de"] * 40)]
-    docs = spark.createDataFrame([*rows, (100, None, "en"), (101, "12 34 !", "de"), (102, "", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([*rows, (100, None, "en"), (101, "12 34 !", "de"), (102, "", None), (103, "½ ² 7", "en")], "doc_id long, text string, lang string")
     model = language.fit(docs)
     got = {r.doc_id: (r.lang_pred, r.lang_score) for r in language.predict(docs, model).collect()}
     assert sum(got[i][0] == lang for i, _, lang in rows) >= 78
-    assert got[100] == got[101] == got[102] == ("und", 0.0)
+    assert got[100] == got[101] == got[102] == got[103] == ("und", 0.0)
     mixed = language.Tagger(model).tag("the thing and with der schale und mit")
     assert [m[1] for m in mixed] == ["en"] * 4 + ["de"] * 4
     assert language.predict(docs, language.fit(docs.limit(0))).filter("lang_pred <> 'und'").count() == 0

@@ -123,6 +123,10 @@ def train(texts: list[str], langs: list[str], runs: int = 4, steps: int = 40, se
     return Crf(labels, weights.astype(np.float32), start, moves)
 
 
+def _has_letter(word: str) -> bool:
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
 class Tagger:
     def __init__(self, model: Crf):
         self.model = model
@@ -131,7 +135,7 @@ class Tagger:
     def tag(self, text: str | None) -> list[tuple[str, str, float]]:
         """(word, language, posterior) for each word of one text."""
         tokens = subwords.words(text)
-        if not tokens:
+        if not any(map(_has_letter, tokens)):
             return []
         at = self.table.ids(tokens)
         post, _ = posteriors(self.table.rows[at][None], np.array([len(tokens)]), self.model.start, self.model.moves)
@@ -145,7 +149,7 @@ class Tagger:
         rows = []
         for i, text in enumerate(texts):
             tokens = subwords.words(text)
-            if tokens:
+            if any(map(_has_letter, tokens)):  # figures such as one half are no letters
                 rows.append((i, self.table.ids(tokens)))
         rows.sort(key=lambda r: len(r[1]))
         while rows:
