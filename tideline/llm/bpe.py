@@ -62,6 +62,15 @@ def byte_letters() -> list[str]:
     return out
 
 
+def _letters_first(pattern: str) -> str:
+    """Runs of letters as the first alternative, which most words take; the same pattern if those before it begin with an apostrophe."""
+    parts, letters = pattern.split("|"), r"[\p{L}]+"
+    if letters in parts and all(p.startswith("'") for p in parts[: parts.index(letters)]):
+        parts.remove(letters)
+        parts.insert(0, letters)
+    return "|".join(parts)
+
+
 class Spec:
     """The parts of a ``tokenizer.json`` that encoding needs."""
 
@@ -73,7 +82,7 @@ class Spec:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merges = {self.vocab[a] << SHIFT | self.vocab[b]: rank << SHIFT | self.vocab[a + b] for rank, (a, b) in reversed(list(enumerate(pairs)))}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        pattern = split["pattern"]["Regex"]
+        pattern = _letters_first(split["pattern"]["Regex"])
         for name, members in ((r"\p{L}", _members("L")), (r"\p{N}", _members("N")), (r"\s", WHITE)):
             pattern = pattern.replace(f"[{name}]", f"[{members}]").replace(name, members)
         self.words = re.compile(pattern)
@@ -83,9 +92,12 @@ class Spec:
         self.first = [self.vocab[x] for x in letters]
         self.last = [self.vocab[x + self.suffix] for x in letters]
 
-    def normal(self, text: str) -> str:
-        text = SPACE.sub(" ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()
+    def chunks(self, text: str) -> list[str]:
+        """The normalised text between white space, which no word crosses."""
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space for split() only
+            return [c for c in SPACE.split(text) if c]
+        return text.split()
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word, by merging the pair of lowest rank until none is left."""
@@ -108,17 +120,14 @@ class Spec:
         return ids
 
     def pieces(self, text: str | None) -> list[str | int]:
-        """Words and, as numbers, special tokens."""
+        """Chunks and, as numbers, special tokens."""
         if not text:
             return []
-        parts, out = [text], []
-        if self.specials and any(s in text for s in self.specials):
-            parts = re.split("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")", text)
-        for part in parts:
-            if part in self.specials:
-                out.append(self.specials[part])
-            else:
-                out += self.words.findall(self.normal(part))
+        if not any(s in text for s in self.specials):
+            return self.chunks(text)
+        out: list[str | int] = []
+        for part in re.split("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")", text):
+            out += [self.specials[part]] if part in self.specials else self.chunks(part)
         return out
 
 
@@ -182,55 +191,41 @@ class Lexicon:
         self.root, at, parts = head[0], 32, []
         for size, kind in zip(head[1:8], "iiiiiBB", strict=True):
             width = 4 if kind == "i" else 1
-            parts.append(view[at : at + size * width].cast(kind))
+            parts.append((at, view[at : at + size * width].cast(kind)))
             at += size * width
-        self.ranges, self.targets, self.skips, self.offsets, self.ids, self.labels, self.finals = parts
+        self.base = parts[5][0]  # of the labels, which are searched in place
+        self.ranges, self.targets, self.skips, self.offsets, self.ids, _, self.finals = [p for _, p in parts]
 
     def find(self, word: bytes) -> list[int] | None:
         node, number = self.root, 0
-        for b in word:
-            lo, hi = self.ranges[node], self.ranges[node + 1]
-            while lo < hi:  # edges are sorted by label
-                mid = (lo + hi) // 2
-                if self.labels[mid] < b:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == self.ranges[node + 1] or self.labels[lo] != b:
+        seek, base, ranges = self.map.find, self.base, self.ranges
+        for i in range(len(word)):
+            at = seek(word[i : i + 1], base + ranges[node], base + ranges[node + 1]) - base
+            if at < 0:
                 return None
-            number += self.skips[lo]
-            node = self.targets[lo]
+            number += self.skips[at]
+            node = self.targets[at]
         return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist() if self.finals[node] else None
 
 
 class Encoder:
-    """Encodes texts; keeps what it knows of the words seen last, as (ids, ids as text, strings as text)."""
+    """Encodes texts; keeps what it knows of the chunks seen last, as (number of ids, ids as text, strings as text)."""
 
-    def __init__(self, spec: Spec, lexicon: Lexicon | None = None, most: int = 150_000):
+    def __init__(self, spec: Spec, lexicon: Lexicon | None = None, most: int = 400_000):
         self.spec, self.lexicon, self.most = spec, lexicon, most
-        self.known: dict[str | int, tuple[list[int], str, str]] = {}
-
-    def _learn(self, piece: str | int) -> None:
-        ids = [piece] if isinstance(piece, int) else self.lexicon.find(piece.encode("utf-8", "surrogatepass")) if self.lexicon else None
-        if ids is None:
-            ids = self.spec.merge(piece)
-        self.known[piece] = ids, " ".join(map(str, ids)), " ".join(map(self.spec.strings.__getitem__, ids))
-
-    def _parts(self, text: str | None) -> list[tuple[list[int], str, str]]:
-        if len(self.known) > self.most:
-            self.known = {}
-        pieces, known = self.spec.pieces(text), self.known
-        found = list(map(known.get, pieces))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    if pieces[i] not in known:
-                        self._learn(pieces[i])
-                    found[i] = known[pieces[i]]
-        return found
+        self.known: dict[str | int, tuple[int, str, str]] = {}
+
+    def ids_of(self, piece: str | int) -> list[int]:
+        if isinstance(piece, int):
+            return [piece]
+        ids: list[int] = []
+        for word in self.spec.words.findall(piece):
+            found = self.lexicon.find(word.encode("utf-8", "surrogatepass")) if self.lexicon else None
+            ids += self.spec.merge(word) if found is None else found
+        return ids
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _, _ in self._parts(text) for i in ids]
+        return [i for p in self.spec.pieces(text) for i in self.ids_of(p)]
 
     def decode(self, ids: Iterable[int]) -> str:
         strings = self.spec.strings
@@ -238,8 +233,18 @@ class Encoder:
 
     def written(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, their ids and their strings joined by spaces: what encoding and then decoding give."""
-        parts = self._parts(text)
-        return sum([len(p[0]) for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+        if len(self.known) > self.most:
+            self.known = {}
+        pieces, known = self.spec.pieces(text), self.known
+        found = list(map(known.get, pieces))
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    if (x := known.get(pieces[i])) is None:
+                        ids = self.ids_of(pieces[i])
+                        x = known[pieces[i]] = len(ids), " ".join(map(str, ids)), self.decode(ids)
+                    found[i] = x
+        return sum([p[0] for p in found]), " ".join([p[1] for p in found]), " ".join([p[2] for p in found])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -258,7 +263,7 @@ def frequent_words(docs: DataFrame, spec: Spec, most: int, text: str = "text") -
     """The ``most`` most frequent runs of letters, counted over all documents, by count and then by word."""
     found = docs.select(F.explode(F.regexp_extract_all(F.lower(text_of(docs, text)), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
     top = found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most)
-    return sorted({w for r in top.toLocalIterator() for w in spec.words.findall(spec.normal(r.w))})
+    return sorted({w for r in top.toLocalIterator() for c in spec.chunks(r.w) for w in spec.words.findall(c)})
 
 
 def encode(docs: DataFrame, tokenizer_json: str, lexicon_words: int = 20_000, text: str = "text") -> DataFrame:
