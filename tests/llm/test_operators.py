@@ -103,6 +103,31 @@ def test_simhash_empty(empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_crowded_blocks_hang_together(spark):
+    rows = [(fp, 7) for fp in range(-60, 60)] + [(fp, fp % 40) for fp in range(200, 280)] + [(999, 1234)]
+    keyed = spark.createDataFrame(rows, "fp long, k long")
+    blocks = {}
+    for fp, k in rows:
+        blocks.setdefault(k, set()).add(fp)
+    for floor in (0, 10**6):
+        # a total of 10 puts every block in a crowded cell if the floor is 0
+        links = [(r.a, r.b) for r in simhash._to_leaders(keyed, 10, 4, floor).collect()]
+        assert len(links) == len(set(links)) and all(a < b for a, b in links)
+        root = {fp: fp for fp, _ in rows}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            assert any({a, b} <= m for m in blocks.values())
+            root[find(a)] = find(b)
+        for members in blocks.values():
+            assert len({find(fp) for fp in members}) == 1
+        assert len(links) <= len(rows)
+
+
 def test_keep_one_keeps_one_of_each_group(spark):
     rnd = random.Random(4)
     make = lambda n: [rnd.choice(string.ascii_lowercase) + str(rnd.randrange(999)) for _ in range(n)]

@@ -155,7 +155,32 @@ def wide_fingerprint(text: str | None, shingle_words: int = 5) -> tuple[np.ndarr
     return np.packbits(m > 0, bitorder="little").view("<i8"), keys.view(np.int64)
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8, salts: int = 8) -> DataFrame:
+#: Cells of block keys that are counted to find crowded blocks; what is broadcast is a quarter of them at most.
+CELLS = 1 << 16
+
+
+def _to_leaders(keyed: DataFrame, total: int, parts: int, floor: int = 1000) -> DataFrame:
+    """Links (a, b) from each member of a block (fp, k) to the block's leader, each once.
+
+    A block of a large group may hold a third of all documents. Blocks in cells far above the mean are therefore dealt out in ``parts`` pieces, each with a
+    leader of its own, and the pieces' leaders are linked to the least of them. All rows move once, by block and piece.
+    """
+    cell = F.pmod(F.xxhash64("k"), F.lit(CELLS))
+    crowd = keyed.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > floor + 4 * total / CELLS).select("cell", F.lit(True).alias("crowded"))
+    piece = F.when(F.col("crowded"), F.pmod(F.xxhash64("fp"), F.lit(parts)).cast("int")).otherwise(-1)
+    dealt = keyed.withColumn("cell", cell).join(F.broadcast(crowd), "cell", "left").select("fp", "k", piece.alias("s")).repartition(parts, "k", "s")
+    # xor with the block's hash makes another fingerprint the least in each block
+    mixed = F.col("fp").bitwiseXOR(F.xxhash64("k"))
+    heads = dealt.groupBy("k", "s").agg(F.count(F.lit(1)).alias("n"), F.min(mixed).alias("m"))
+    leader = F.col("m").bitwiseXOR(F.xxhash64("k")).alias("leader")
+    within = dealt.join(heads.filter("n > 1").select("k", "s", leader), ["k", "s"]).select("fp", "leader")
+    pieces = heads.filter("s >= 0").select("k", "m", F.col("m").bitwiseXOR(F.xxhash64("k")).alias("fp"))
+    first = pieces.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")).filter("n > 1")
+    between = pieces.select("k", "fp").join(first.select("k", leader), "k").select("fp", "leader")
+    return within.unionByName(between).filter("fp <> leader").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: doc_id, th (hash of the text), component_id, for texts whose shingles are alike to ``similarity`` or more.
 
     Each block links its members to a leader, another one in each block, so links grow with the documents and not with the square of a group. A link stays if
@@ -179,10 +204,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one = marked.groupBy("fp").agg(F.min("row").alias("row"))
     nodes = cut(marked.join(one.select("row"), "row", "left_semi").select("fp", "bits", "keys"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = nodes.select("fp", F.explode("keys").alias("k")).repartition(parts, "k")
-    lead = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("fp").bitwiseXOR(F.xxhash64("k"))).alias("m")).filter("n > 1")
-    lead = lead.select("k", F.col("m").bitwiseXOR(F.xxhash64("k")).alias("leader"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
-    near = keyed.withColumn("s", F.pmod("fp", F.lit(salts)).cast("int")).join(lead, ["k", "s"]).filter("fp <> leader").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
+    near = _to_leaders(nodes.select("fp", F.explode("keys").alias("k")), nodes.count() * BLOCKS, parts)
     bits = nodes.select("fp", "bits")
     both = near.join(bits.select(F.col("fp").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("fp").alias("b"), F.col("bits").alias("y")), "b")
     apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
