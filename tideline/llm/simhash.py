@@ -181,7 +181,7 @@ def _to_leaders(keyed: DataFrame, total: int, parts: int, floor: int = 1000) ->
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per row of ``docs``: doc_id, th (hash of the text), component_id, for texts whose shingles are alike to ``similarity`` or more.
+    """One row per row of ``docs``: doc_id, th (hash of the text), component_id and root (the group), for texts whose shingles are alike to ``similarity`` or more.
 
     Each block links its members to a leader, another one in each block, so links grow with the documents and not with the square of a group. A link stays if
     the wide fingerprints differ in no more bits than texts of that similarity do, with two standard deviations to spare. Blocks are a matter of chance: of pairs
@@ -211,19 +211,25 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     roots = components(both.filter(apart <= limit).select("a", "b"))
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.select("doc_id", "th", "fp").join(first.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "th", "component_id")
+    return marked.select("doc_id", "th", "fp").join(first.select("fp", "root").join(named, "root"), "fp").select("doc_id", "th", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of alike texts: that of the smallest doc_id, and one of its rows if they repeat. Rows with null ids go if their group has another."""
+    """``docs`` with one row of each group of alike texts: that of the smallest doc_id, of its texts that of the smallest hash, and one of its rows if they repeat.
+
+    Rows with null ids go if their group has another; of a group with null ids only, one row stays.
+    """
     groups = cut(similar_groups(docs, doc_id, text, shingle_words, similarity))
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = groups.filter(~stays).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("best"))
+    marked = cut(groups.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")).join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))))
+    ids = [F.col("doc_id").alias("__id"), F.col("th").alias("__th")]
+    same = lambda d: d[doc_id].eqNullSafe(F.col("__id")) & (d["__own"] == F.col("__th"))
     own = docs.withColumn("__own", F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))))
-    kept = own.join(gone, own[doc_id].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left_anti").drop("__own")
-    repeated = groups.filter(stays).groupBy(F.col("doc_id").alias("__id"), "component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__id")
+    gone = marked.filter(~F.col("stays")).select(*ids)
+    kept = own.join(gone, same(own), "left_anti")
+    repeated = marked.filter(F.col("stays") & (F.col("n") > 1)).select(*ids)
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, kept[doc_id].eqNullSafe(F.col("__id")), "left_anti")
-    twice = kept.join(repeated, kept[doc_id].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([doc_id])
-    return once.unionByName(twice)
+        return kept.drop("__own")
+    once = kept.join(repeated, same(kept), "left_anti")
+    twice = kept.join(repeated, same(kept), "left_semi").dropDuplicates(["__own"])  # a text has one root and a root one text that stays
+    return once.unionByName(twice).drop("__own")
