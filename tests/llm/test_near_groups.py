@@ -2,8 +2,6 @@
 
 import random
 
-import numpy as np
-
 from tideline.llm import simhash
 
 
@@ -18,3 +16,39 @@ def test_keep_one_with_null_and_repeated_ids(spark):
     rows = [(None, a), (None, b), (None, a), (7, c), (7, d), (7, c), (3, e), (None, e)]
     kept = [(r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(kept, key=str) == sorted([(None, a), (None, b), (7, c), (7, d), (3, e)], key=str)
+
+
+def shingle_set(text):
+    return set(simhash.hashes(text, 5).tolist())
+
+
+def jaccard(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def groups(spark, texts):
+    out = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: r.component_id for r in out}
+
+
+def edited(rnd, words, n):
+    out = list(words)
+    for i in rnd.sample(range(len(out)), n):
+        out[i] = f"x{rnd.randrange(10**6)}"
+    return out
+
+
+def test_links_have_the_similarity(spark):
+    rnd = random.Random(5)
+    texts, below = [], 0
+    for _ in range(60):
+        base = make(rnd, 300)
+        texts += [" ".join(base), " ".join(edited(rnd, base, 9))]  # about 0.73 to 0.79
+    texts += ["word " * 300 + " ".join(make(rnd, 100)), "word " * 300 + " ".join(make(rnd, 100))]  # one shingle outweighs all others
+    got = groups(spark, texts)
+    for i in range(0, len(texts), 2):
+        alike = jaccard(shingle_set(texts[i]), shingle_set(texts[i + 1]))
+        below += alike < 0.8
+        if alike < 0.8:
+            assert got[i] != got[i + 1], alike
+    assert below > 30

@@ -132,12 +132,12 @@ _SUBSETS = np.stack([np.random.default_rng(t).choice(LANES * BITS // GROUP, SYMB
 
 
 def wide_fingerprint(text: str | None, shingle_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(bits, blocks): ``LANES`` fingerprint words from remixed shingle hashes, and the keys of the blocks.
+    """(bits, blocks): ``LANES`` fingerprint words from remixed hashes of the set of shingles, and the keys of the blocks.
 
     Bits with a small majority flip first when a text is edited, so a block is not made of whole stretches of bits: of each group of eight bits the most certain
     one gives its place and value as a symbol, and a block is six such symbols.
     """
-    h = hashes(text, shingle_words)
+    h = np.unique(hashes(text, shingle_words))
     lanes = []
     with np.errstate(over="ignore"):
         for lane in range(LANES):
@@ -180,17 +180,38 @@ def _to_leaders(keyed: DataFrame, total: int, parts: int, floor: int = 1000) ->
     return within.unionByName(between).filter("fp <> leader").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
 
 
+#: Up to so many texts to be compared, their ids are broadcast; beyond, texts are joined by shuffle.
+FEW = 100_000
+
+
+def _alike(pairs: DataFrame, one_row: DataFrame, bodies: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are alike to ``similarity`` or more; ``one_row`` (fp, doc_id, th) tells where a fingerprint's text is in ``bodies`` (id, own, body)."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(hashes(t, shingle_words)).view(np.int64) for t in texts], index=texts.index, dtype=object)
+
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    need = cut(one_row.join(ends, "fp"))
+    few = F.broadcast(need) if need.count() <= FEW else need
+    texts = bodies.join(few, bodies["id"].eqNullSafe(few["doc_id"]) & (bodies["own"] == few["th"])).select("fp", "body").dropDuplicates(["fp"])
+    sets = cut(texts.select("fp", shingles("body").alias("set")))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return cut(both.filter(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
+
+
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: doc_id, th (hash of the text), component_id and root (the group), for texts whose shingles are alike to ``similarity`` or more.
 
-    Each block links its members to a leader, another one in each block, so links grow with the documents and not with the square of a group. A link stays if
-    the wide fingerprints differ in no more bits than texts of that similarity do, with two standard deviations to spare. Blocks are a matter of chance: of pairs
-    just at 0.8 most are found, of those at 0.9 nearly all (measured in the README); equal texts always are.
+    Each block links its members to a leader, another one in each block. A link stays if its shingle sets, compared whole, are alike to ``similarity``; the
+    Hamming distance only spares comparisons, with nine standard deviations to spare.
     """
     ship(docs.sparkSession)
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine) / np.pi)
-    limit = int(LANES * BITS * share + 2 * np.sqrt(LANES * BITS * share * (1 - share)))
+    limit = int(LANES * BITS * share + 9 * np.sqrt(LANES * BITS * share * (1 - share)))
 
     @F.pandas_udf(T.StructType([T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))]))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -204,11 +225,18 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     one = marked.groupBy("fp").agg(F.min("row").alias("row"))
     nodes = cut(marked.join(one.select("row"), "row", "left_semi").select("fp", "bits", "keys"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = _to_leaders(nodes.select("fp", F.explode("keys").alias("k")), nodes.count() * BLOCKS, parts)
     bits = nodes.select("fp", "bits")
-    both = near.join(bits.select(F.col("fp").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("fp").alias("b"), F.col("bits").alias("y")), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
-    roots = components(both.filter(apart <= limit).select("a", "b"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) within the Hamming limit."""
+        both = pairs.join(bits.select(F.col("fp").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("fp").alias("b"), F.col("bits").alias("y")), "b")
+        apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
+        found = both.select("a", "b", apart.alias("apart")).filter(F.col("apart") <= limit)
+        return cut(found.select("a", "b"))
+
+    one_row = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("fp", "r.*")
+    verified = lambda pairs: _alike(pairs, one_row, docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("own"), body.alias("body")), shingle_words, similarity)
+    roots = components(verified(near(_to_leaders(nodes.select("fp", F.explode("keys").alias("k")), nodes.count() * BLOCKS, parts))))
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marked.select("doc_id", "th", "fp").join(first.select("fp", "root").join(named, "root"), "fp").select("doc_id", "th", "component_id", "root")
