@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tideline.llm import simhash
 
 
@@ -52,3 +54,31 @@ def test_links_have_the_similarity(spark):
         if alike < 0.8:
             assert got[i] != got[i + 1], alike
     assert below > 30
+
+
+def planted(monkeypatch, key_of):
+    """Blocks as ``key_of`` tells by a text's first words, in place of the symbols."""
+    true = simhash.wide_fingerprint
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda t, k=5: (true(t, k)[0], np.array(key_of(t), np.int64)))
+
+
+def test_blocks_shared_with_unrelated_texts_and_two_families(spark, monkeypatch):
+    rnd = random.Random(6)
+    one, two = make(rnd, 300), make(rnd, 300)
+    texts = [" ".join(edited(rnd, base, 3)) for _ in range(20) for base in (one, two)] + [" ".join(make(rnd, 300)) for _ in range(40)]
+    planted(monkeypatch, lambda t: [1])  # one block, over CROWD, for both families and the unrelated texts
+    got = groups(spark, texts)
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(texts)):
+        for i in range(j):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert len(set(got.values())) < len(texts)
