@@ -114,19 +114,28 @@ class Scanner:
             if sum(min(n, len(places.get(w, ()))) for w, n in self.counts[name].items()) < need:
                 continue
             best = (0, 0, 0)
-            for lo, hi in self._regions(places, template):
-                pairs = [(i + lo, j) for i, j in align(tokens[lo:hi], template)]
-                begin = 0
-                for end in range(len(pairs)):
-                    while pairs[end][0] - pairs[begin][0] + 1 > self.slack * len(template):
-                        begin += 1
-                    best = max(best, (end - begin + 1, -pairs[begin][0], pairs[end][0]))
+            for lo, hi, windows in self._regions(places, template):
+                found_here = self._stretch(tokens, lo, hi, template)
+                if found_here[0] < len(template) and len(windows) > 1:
+                    # copies close together leave no word unique in the merged stretch
+                    found_here = max([found_here, *(self._stretch(tokens, a, b, template) for a, b in windows)])
+                best = max(best, found_here)
             if best[0] >= need:
                 found.append((name, best[0] / len(template), -best[1], best[2]))
         return sorted(found, key=lambda f: (-f[1], -len(self.templates[f[0]]), f[0]))
 
-    def _regions(self, places: dict[str, list[int]], template: list[str]) -> list[tuple[int, int]]:
-        """Stretches that hold enough of the template's words; words of no template lie between them. Whole copies far apart are aligned apart."""
+    def _stretch(self, tokens: list[str], lo: int, hi: int, template: list[str]) -> tuple[int, int, int]:
+        """(matched words, less the first, last) of the best stretch within ``tokens[lo:hi]``."""
+        pairs = [(i + lo, j) for i, j in align(tokens[lo:hi], template)]
+        best, begin = (0, 0, 0), 0
+        for end in range(len(pairs)):
+            while pairs[end][0] - pairs[begin][0] + 1 > self.slack * len(template):
+                begin += 1
+            best = max(best, (end - begin + 1, -pairs[begin][0], pairs[end][0]))
+        return best
+
+    def _regions(self, places: dict[str, list[int]], template: list[str]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+        """Stretches, each with the windows merged in it, that hold enough of the template's words; words of no template lie between them. Whole copies far apart are aligned apart."""
         width = int(self.slack * len(template))
         hits = sorted({i for w in set(template) for i in places.get(w, ())})
         out, begin = [], 0
@@ -137,9 +146,9 @@ class Scanner:
             if end - begin + 1 >= need:
                 lo, hi = hits[begin], hits[end] + 1
                 if out and lo < out[-1][1] and hi - out[-1][0] <= 2 * width:
-                    out[-1] = (out[-1][0], hi)
+                    out[-1] = (out[-1][0], hi, [*out[-1][2], (lo, hi)])
                 else:
-                    out.append((lo, hi))
+                    out.append((lo, hi, [(lo, hi)]))
         return out
 
 
