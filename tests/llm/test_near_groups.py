@@ -56,29 +56,71 @@ def test_links_have_the_similarity(spark):
     assert below > 30
 
 
-def planted(monkeypatch, key_of):
-    """Blocks as ``key_of`` tells by a text's first words, in place of the symbols."""
-    true = simhash.wide_fingerprint
-    monkeypatch.setattr(simhash, "wide_fingerprint", lambda t, k=5: (true(t, k)[0], np.array(key_of(t), np.int64)))
+def closure(n, linked):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(n):
+        for i in range(j):
+            if linked(i, j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(n)]
 
 
 def test_blocks_shared_with_unrelated_texts_and_two_families(spark, monkeypatch):
     rnd = random.Random(6)
     one, two = make(rnd, 300), make(rnd, 300)
-    texts = [" ".join(edited(rnd, base, 3)) for _ in range(20) for base in (one, two)] + [" ".join(make(rnd, 300)) for _ in range(40)]
-    planted(monkeypatch, lambda t: [1])  # one block, over CROWD, for both families and the unrelated texts
+    # two interleaved families whose copies are like their base but seldom like each other, and unrelated texts
+    texts = [" ".join(one), " ".join(two)] + [" ".join(edited(rnd, base, 6)) for _ in range(30) for base in (one, two)] + [" ".join(make(rnd, 300)) for _ in range(40)]
+    monkeypatch.setattr(simhash, "block_keys", lambda m: np.ones((len(m), simhash.BLOCKS), np.int64))  # one block, over CROWD, for all
     got = groups(spark, texts)
     sets = [shingle_set(t) for t in texts]
-    root = list(range(len(texts)))
+    want = closure(len(texts), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+    assert got == dict(enumerate(want))
+    assert 2 <= len(set(want)) < len(texts)
+
+
+def test_groups_do_not_depend_on_partitions(spark):
+    rnd = random.Random(8)
+    bases = [make(rnd, 200) for _ in range(12)]
+    texts = [" ".join(edited(rnd, rnd.choice(bases), rnd.randrange(6))) for _ in range(150)]
+    first = groups(spark, texts)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert groups(spark, texts) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    sets = [shingle_set(t) for t in texts]
+    true = [(i, j) for j in range(len(texts)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert sum(first[i] == first[j] for i, j in true) >= 0.95 * len(true)
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for j in range(len(texts)):
-        for i in range(j):
-            if jaccard(sets[i], sets[j]) >= 0.8:
-                root[max(find(i), find(j))] = min(find(i), find(j))
-    assert got == {i: find(i) for i in range(len(texts))}
-    assert len(set(got.values())) < len(texts)
+def test_few_shingles_empty_null_and_long_texts(spark):
+    long = " ".join(make(random.Random(9), 30_000))
+    texts = ["", None, "one two", "ONE  two", "a b c d e f g h i", "a b c d e f g h j", "a b c d e f g h", "b c d e f g h i", long, long + " end"]
+    got = groups(spark, texts)
+    assert got[0] == got[1] and got[2] == got[3] and got[8] == got[9]
+    assert got[4] == got[6] == got[7]  # five shingles against four of them: 0.8
+    assert simhash.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_links_of_every_distance_in_crowded_blocks(spark):
+    rnd = random.Random(3)
+    base = rnd.getrandbits(64)
+    values = {base, 0, 1, 3}
+    while len(values) < 90:  # all near one value: every block is crowded
+        values.add(base ^ sum(1 << b for b in rnd.sample(range(20), rnd.randrange(1, 5))))
+    signed = [v - (1 << 64) if v >> 63 else v for v in sorted(values)]
+    fps = spark.createDataFrame([(v,) for v in signed], "fp long").cache()
+    bits = lambda i, j: bin((signed[i] ^ signed[j]) & ((1 << 64) - 1)).count("1")
+    for d in range(5):
+        found = {(r.a, r.b) for r in simhash.links(fps, d, block_limit=4).collect()}
+        assert all(bin((a ^ b) & ((1 << 64) - 1)).count("1") <= d for a, b in found), d
+        at = {v: i for i, v in enumerate(signed)}
+        known = {frozenset((at[a], at[b])) for a, b in found}
+        assert closure(len(signed), lambda i, j, known=known: frozenset((i, j)) in known) == closure(len(signed), lambda i, j, d=d: bits(i, j) <= d), d

@@ -26,9 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_MADE: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses, in a folder of this application that goes when it ends."""
+    sc = spark.sparkContext
+    own = f"{shared_dir(spark).rstrip('/')}/tideline-{sc.applicationId}"
+    if own not in _MADE:
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MADE.add(own)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: without its lineage, and of known size, which a checkpoint is not. For what goes through several joins."""
+    df.write.parquet(at := fresh_path(df.sparkSession, what))
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ found by pigeonhole blocks: the bits are cut into ``max_distance + 3`` blocks, o
 most ``max_distance``, so it shares one combination of three whole blocks (38 bits or more for distance 2). Blocks
 are joined and the Hamming distance is verified.
 
-Blocks with more than ``block_limit`` different fingerprints are not joined pair by pair. Their members go through an
-exact detour for distance 2: a fingerprint is sent to itself and to its 64 one-bit neighbours, and whatever meets at
-such a centre is within two bits of each other. At most 65 different fingerprints can meet at a centre, so no group
-grows with the data and no link is lost.
+Blocks with more than ``block_limit`` different fingerprints are not joined pair by pair. Up to distance 2 their members go through an
+exact detour: a fingerprint is sent to itself and to its 64 one-bit neighbours, and whatever meets at
+such a centre is within two bits of each other, or within one of the centre itself. At most 65 different fingerprints can meet at a centre, so no group
+grows with the data and no link is lost. Beyond distance 2 crowded blocks are dealt out in pieces, each against the whole block.
 
 Nulls: a null text is an empty text; a null doc_id keeps its row and is never a component's name unless all of the
 component's are null. Texts without words have fingerprint zero and link like any other. Repeated rows all stay.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.ship import ship
-from tideline.llm.common import cut
+from tideline.llm.common import cut, written
 
 SEED = 42
 BITS = 64
@@ -47,11 +47,11 @@ def hashes(text: str | None, shingle_words: int = 3) -> np.ndarray:
 
 
 def majorities(h: np.ndarray) -> np.ndarray:
-    """For each of 64 bits how often it is set less how often it is not."""
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(h), 4096):
-        part = h[at : at + 4096].astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    """For each bit of the rows of ``h`` (one or several words each) how often it is set less how often it is not."""
+    rows = h.astype("<u8").reshape(len(h), int(np.prod(h.shape[1:])))
+    ones = np.zeros(rows.shape[1] * BITS, np.int64)
+    for at in range(0, len(rows), 255):  # sums of 255 bits fit a byte
+        ones += np.add.reduce(np.unpackbits(rows[at : at + 255].view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return 2 * ones - len(h)
 
 
@@ -81,35 +81,48 @@ def _masks(max_distance: int, agree: int = 3) -> list[int]:
 
 
 def links(fps: DataFrame, max_distance: int = 2, block_limit: int = 16, salts: int = 16) -> DataFrame:
-    """Links (a, b) over the different values of ``fps.fp`` whose closure has every pair within ``max_distance`` bits."""
-    if max_distance > 2:
-        block_limit = 1 << 62  # the detour holds for two bits
+    """Links (a, b) over the different values of ``fps.fp``, each within ``max_distance`` bits, whose closure is that of all such pairs."""
     masks = _masks(max_distance)
     keys = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("x")).select("fp", "x.t", "x.k")
     sizes = keys.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = sizes.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     shared = keys.withColumn("s", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(sizes, ["t", "k", "s"])
-    shared = cut(shared.select("fp", "t", "k", "n"))
-    few = shared.filter(F.col("n") <= block_limit)
-    near = few.alias("a").join(few.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance))
-    near = near.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    crowded = shared.filter(F.col("n") > block_limit).select("fp").distinct()
+    shared = cut(shared.select("fp", "t", "k", "s", "n"))
+    few, crowded = shared.filter(F.col("n") <= block_limit), shared.filter(F.col("n") > block_limit)
+
+    def pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        close = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance)
+        for c in on:
+            close = (F.col(f"a.{c}") == F.col(f"b.{c}")) & close
+        return a.join(b, close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+    near = pairs(few, few, ["t", "k"])
+    if max_distance > 2:
+        to_all = crowded.drop("s").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return near.unionByName(pairs(crowded, to_all, ["t", "k", "s"])).distinct()
     flips = [0] + [1 << i for i in range(BITS - 1)] + [-(1 << (BITS - 1))]
-    centres = crowded.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in flips])).alias("z"))
+    centres = crowded.select("fp").distinct().select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(f)) for f in flips])).alias("z"))
     met = centres.groupBy("z").agg(F.sort_array(F.collect_list("fp")).alias("m")).filter(F.size("m") > 1)
-    star = met.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, BITS + 1)).alias("b"))
-    return near.unionByName(star).distinct()
+    if max_distance == 2:
+        star = met.select(F.col("m")[0].alias("a"), F.explode(F.slice("m", 2, BITS + 1)).alias("b"))
+    else:  # one bit apart are a centre that is there itself and what meets at it
+        star = met.filter(F.array_contains("m", F.col("z"))).select(F.col("z").alias("a"), F.explode("m").alias("b")).filter("a < b")
+    return near.unionByName(star.filter(F.lit(max_distance > 0))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(fp, root): the smallest value reachable over ``edges``. Labels spread and jump; each round is checkpointed."""
-    both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))))
-    labels = cut(both.groupBy(F.col("u").alias("fp")).agg(F.least(F.min("v"), F.col("fp")).alias("root")))
+    """(fp, root): the smallest value reachable over ``edges``. Labels spread and jump; each round is written, so that no estimate of size is carried from round to round.
+
+    A value with many edges is no hot key: the joins on it may be split by the adaptive plan, the sums on it are made before rows move.
+    """
+    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
+    labels = written(both.groupBy(F.col("u").alias("fp")).agg(F.least(F.min("v"), F.col("fp")).alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("fp").alias("v"), F.col("root").alias("r")), "v").groupBy(F.col("u").alias("fp")).agg(F.min("r").alias("r"))
         step = labels.join(near, "fp").select("fp", F.col("root").alias("old"), F.least("root", "r").alias("root"))
         jump = step.join(labels.select(F.col("fp").alias("root"), F.col("root").alias("far")), "root", "left")
-        new = cut(jump.select("fp", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
+        new = written(jump.select("fp", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
         labels = new.select("fp", "root")
         if new.filter("root < old").isEmpty():
             return labels
@@ -126,161 +139,203 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(by_fp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: 64-bit lanes, bits in a symbol's group, symbols in a block, blocks.
-LANES, GROUP, SYMBOLS, BLOCKS = 8, 8, 6, 96
-_SUBSETS = np.stack([np.random.default_rng(t).choice(LANES * BITS // GROUP, SYMBOLS, replace=False) for t in range(BLOCKS)])
+#: Wide fingerprints: 64-bit lanes; rotations of the majorities; coordinates that a symbol is chosen from; symbols in a block key, blocks.
+LANES, ROTATIONS, GROUP, SYMBOLS, BLOCKS = 8, 96, 512, 3, 64
+WIDE = LANES * BITS
+_DEAL = np.random.default_rng(0)
+_SIGNS = _DEAL.choice(np.array([-1, 1], np.float32), (ROTATIONS, WIDE))
+#: Each symbol goes into two keys.
+_SUBSETS = np.concatenate([_DEAL.permutation(ROTATIONS * WIDE // GROUP).reshape(-1, SYMBOLS) for _ in range(2)])
 
 
-def wide_fingerprint(text: str | None, shingle_words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(bits, blocks): ``LANES`` fingerprint words from remixed hashes of the set of shingles, and the keys of the blocks.
+def _hadamard(n: int) -> np.ndarray:
+    h = np.ones((1, 1), np.float32)
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]])
+    return h
 
-    Bits with a small majority flip first when a text is edited, so a block is not made of whole stretches of bits: of each group of eight bits the most certain
-    one gives its place and value as a symbol, and a block is six such symbols.
-    """
+
+_LEFT, _RIGHT = _hadamard(32), _hadamard(WIDE // 32)
+
+
+def wide_majorities(text: str | None, shingle_words: int = 5) -> tuple[np.ndarray, int, int]:
+    """(majorities, size, id) of the set of shingles: ``WIDE`` majorities over remixed hashes, how many shingles differ, and a hash of the whole set."""
     h = np.unique(hashes(text, shingle_words))
-    lanes = []
+    lane = np.arange(LANES, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for lane in range(LANES):
-            x = h * np.uint64(2 * lane + 1) + np.uint64(lane)
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            lanes.append(majorities(x ^ (x >> np.uint64(29))))
-        m = np.concatenate(lanes)
-        groups = m.reshape(-1, GROUP)
-        best = np.abs(groups).argmax(1)
-        symbols = (best * 2 + (groups[np.arange(len(best)), best] > 0)).astype(np.uint64)
-        keys = np.arange(BLOCKS, dtype=np.uint64) + np.uint64(1)
-        for column in _SUBSETS.T:
-            keys = (keys ^ symbols[column]) * np.uint64(0x9E3779B97F4A7C15)
-            keys ^= keys >> np.uint64(29)
-    return np.packbits(m > 0, bitorder="little").view("<i8"), keys.view(np.int64)
-
-
-#: Cells of block keys that are counted to find crowded blocks; what is broadcast is a quarter of them at most.
-CELLS = 1 << 16
-
-
-def _to_leaders(keyed: DataFrame, total: int, parts: int, floor: int = 1000) -> DataFrame:
-    """Links (a, b) from each member of a block (fp, k) to the block's leader, each once.
-
-    A block of a large group may hold a third of all documents. Blocks in cells far above the mean are therefore dealt out in ``parts`` pieces, each with a
-    leader of its own, and the pieces' leaders are linked to the least of them. All rows move once, by block and piece.
+        x = h[:, None] * (np.uint64(2) * lane + np.uint64(1)) + lane
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return majorities(x ^ (x >> np.uint64(29))), len(h), int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64))
+
+
+def block_keys(m: np.ndarray, chunk: int = 128) -> np.ndarray:
+    """The block keys (rows x ``BLOCKS``) of rows of majorities.
+
+    A fingerprint's bits with a small majority flip first when a text is edited, so blocks are not cut from the bits as they are. The majorities are rotated (random
+    signs, then a Hadamard transform); of each rotation the largest coordinate gives its place and sign as a symbol of ten bits, and a block is three symbols.
+    """
+    m = m >> np.maximum(np.frexp(np.abs(m).max(axis=1, initial=1).astype(np.float64))[1] - 14, 0)[:, None]  # sums stay exact in single precision
+    out = np.empty((len(m), BLOCKS), np.uint64)
+    for at in range(0, len(m), chunk):
+        part = m[at : at + chunk].astype(np.float32)
+        n = len(part)
+        symbols = np.empty((n, ROTATIONS * WIDE // GROUP), np.uint64)
+        for r in range(ROTATIONS):
+            x = (part * _SIGNS[r]).reshape(-1, 32) @ _LEFT
+            x = x.reshape(n, -1, 32).transpose(0, 2, 1).reshape(-1, WIDE // 32) @ _RIGHT
+            x = x.reshape(n * WIDE // GROUP, GROUP)
+            best = np.abs(x).argmax(1)
+            s = best * 2 + (x[np.arange(len(best)), best] > 0)
+            symbols[:, r * WIDE // GROUP : (r + 1) * WIDE // GROUP] = s.reshape(n, -1)
+        keys = np.broadcast_to(np.arange(1, BLOCKS + 1, dtype=np.uint64), (n, BLOCKS)).copy()
+        with np.errstate(over="ignore"):
+            for column in _SUBSETS.T:
+                keys = (keys ^ symbols[:, column]) * np.uint64(0x9E3779B97F4A7C15)
+                keys ^= keys >> np.uint64(29)
+        out[at : at + n] = keys
+    return out.view(np.int64)
+
+
+def wide_fingerprints(texts: pd.Series, shingle_words: int, least: int) -> pd.DataFrame:
+    """fp (id of the shingle set), n (its size), bits, keys of each text; sets of fewer than ``least`` shingles get no keys."""
+    made = [wide_majorities(t, shingle_words) for t in texts]
+    m = np.array([x[0] for x in made]).reshape(-1, WIDE)
+    n = np.array([x[1] for x in made], np.int64)
+    keys, none = block_keys(m), np.zeros(0, np.int64)
+    bits = np.packbits(m > 0, axis=1, bitorder="little").view("<i8")
+    return pd.DataFrame({"fp": [x[2] for x in made], "n": n, "bits": list(bits), "keys": [k if s >= least else none for k, s in zip(keys, n, strict=True)]}, index=texts.index)
+
+
+#: Blocks whose leaders are tried first; fingerprints beyond which a block is dealt out; pieces of such blocks.
+FIRST, CROWD, SALTS = 8, 64, 16
+
+
+def _apart(x: str, y: str) -> Column:
+    """Differing bits of two fingerprints."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, LANES)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
+
+
+def _pieces(n: Column) -> Column:
+    """All pieces of a block of ``n`` fingerprints, as an array."""
+    return F.sequence(F.lit(0), F.when(n > CROWD, SALTS - 1).otherwise(0))
+
+
+def _piece(n: Column) -> Column:
+    """A fingerprint's own piece of its block."""
+    return F.when(n > CROWD, F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(SALTS)).cast("int")).otherwise(0)
+
+
+def _mixed(nodes: DataFrame, roots: DataFrame, blocks: int) -> DataFrame:
+    """(k, fp, root, n, n_block): the members of the first ``blocks`` blocks of each fingerprint that hold several groups. Only sizes and least and greatest groups are joined to members."""
+    of = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n", F.explode(F.slice("keys", 1, blocks)).alias("k"))
+    sizes = of.groupBy("k").agg(F.count(F.lit(1)).alias("n_block"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    return written(of.join(sizes.select("k", "n_block"), "k").select("k", "fp", "root", "n", "n_block"), "mixed")
+
+
+def _to_leaders(mixed: DataFrame) -> DataFrame:
+    """Pairs (fp, to) of members and their block's leader, if that is of another group.
+
+    The leader is the member that meets most others over all its blocks: of a family of copies the one that the others were made from, or the next to it. Equals are told apart by a hash.
     """
-    cell = F.pmod(F.xxhash64("k"), F.lit(CELLS))
-    crowd = keyed.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > floor + 4 * total / CELLS).select("cell", F.lit(True).alias("crowded"))
-    piece = F.when(F.col("crowded"), F.pmod(F.xxhash64("fp"), F.lit(parts)).cast("int")).otherwise(-1)
-    dealt = keyed.withColumn("cell", cell).join(F.broadcast(crowd), "cell", "left").select("fp", "k", piece.alias("s")).repartition(parts, "k", "s")
-    # xor with the block's hash makes another fingerprint the least in each block
-    mixed = F.col("fp").bitwiseXOR(F.xxhash64("k"))
-    heads = dealt.groupBy("k", "s").agg(F.count(F.lit(1)).alias("n"), F.min(mixed).alias("m"))
-    leader = F.col("m").bitwiseXOR(F.xxhash64("k")).alias("leader")
-    within = dealt.join(heads.filter("n > 1").select("k", "s", leader), ["k", "s"]).select("fp", "leader")
-    pieces = heads.filter("s >= 0").select("k", "m", F.col("m").bitwiseXOR(F.xxhash64("k")).alias("fp"))
-    first = pieces.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")).filter("n > 1")
-    between = pieces.select("k", "fp").join(first.select("k", leader), "k").select("fp", "leader")
-    return within.unionByName(between).filter("fp <> leader").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
-
-
-#: Blocks whose leaders are tried first; rounds of further leaders while blocks of over CROWD fingerprints hold several groups; pieces of such blocks.
-FIRST, ROUNDS, CROWD, SALTS = 16, 1, 32, 16
-
-
-def _mixed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(fp, k, root, n, s): the members of all blocks that hold several groups, with the size of the block and a piece."""
-    of = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.explode("keys").alias("k"))
-    sizes = of.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("k", "n")
-    sizes = sizes.withColumn("s", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > CROWD, SALTS - 1).otherwise(0))))
-    # members look for their own piece and for piece 0: small blocks have only that one
-    dealt = of.withColumn("p", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).withColumn("s", F.explode(F.array_distinct(F.array("p", F.lit(0)))))
-    return cut(dealt.join(sizes, ["k", "s"]).filter(f"s = p or n <= {CROWD}").select("fp", "k", "root", "n", "s"))
-
-
-def _leaders_of_others(mixed: DataFrame, seed: int) -> DataFrame:
-    """Pairs (a, b) of each member with its block's leader, if that is of another group; ``seed`` makes another member the leader."""
-    mix = F.xxhash64("k", F.lit(seed))
-    heads = mixed.groupBy("k", "n").agg(F.min(F.struct(F.col("fp").bitwiseXOR(mix).alias("m"), F.col("root").alias("its"))).alias("h"))
-    heads = heads.select("k", F.col("h.m").bitwiseXOR(mix).alias("leader"), "h.its", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > CROWD, SALTS - 1).otherwise(0))).alias("s"))
-    return mixed.join(heads, ["k", "s"]).filter("root <> its").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
-
-
-def _across(mixed: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a block that are of different groups. One side of a crowded block goes to all pieces, so none is left out and none meets in one task."""
-    right = mixed.select("k", F.col("fp").alias("b"), F.col("root").alias("other"), F.explode(F.sequence(F.lit(0), F.when(F.col("n") > CROWD, SALTS - 1).otherwise(0))).alias("s"))
-    met = mixed.join(right, ["k", "s"]).filter("root < other")
-    return met.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
+    mix = F.xxhash64("k")
+    met = mixed.groupBy("fp").agg(F.sum("n_block").alias("met"))
+    best = F.min(F.struct((-F.col("met")).alias("less"), F.col("fp").bitwiseXOR(mix).alias("m"), F.col("fp").alias("to"), F.col("root").alias("its")))
+    heads = mixed.join(met, "fp").groupBy("k", "n_block").agg(best.alias("h")).select("k", "h.to", "h.its", F.explode(_pieces(F.col("n_block"))).alias("s"))
+    return mixed.withColumn("s", _piece(F.col("n_block"))).join(heads, ["k", "s"]).filter("root <> its").select("fp", "to").distinct()
+
+
+def _across(mixed: DataFrame, bits: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """All pairs (a, b) of a block that are of different groups, near in size and in fingerprint; nothing else leaves the join. One side of a crowded block goes to all pieces, so that no pair is left out and none meets in one task."""
+    full = mixed.join(bits, "fp")
+    left = full.select("k", "fp", "root", "n", "bits", _piece(F.col("n_block")).alias("s"))
+    right = full.select(F.col("k").alias("block"), F.col("fp").alias("to"), F.col("root").alias("its"), F.col("n").alias("m"), F.col("bits").alias("others"), F.explode(_pieces(F.col("n_block"))).alias("piece"))
+    near = (F.col("k") == F.col("block")) & (F.col("s") == F.col("piece")) & (F.col("root") < F.col("its")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & (_apart("bits", "others") <= limit)
+    return left.join(right, near).select(F.least("fp", "to").alias("a"), F.greatest("fp", "to").alias("b")).distinct()
+
+
+def _nearest(pairs: DataFrame, nodes: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """Of the pairs (fp, to) that are near in size and fingerprint, the nearest of each ``fp``, as (a, b)."""
+    mine = nodes.select("fp", "n", "bits")
+    its = nodes.select(F.col("fp").alias("to"), F.col("n").alias("m"), F.col("bits").alias("others"))
+    near = pairs.join(mine, "fp").join(its, "to").filter(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9).select("fp", "to", _apart("bits", "others").alias("apart"))
+    best = near.filter(F.col("apart") <= limit).groupBy("fp").agg(F.min(F.struct("apart", "to")).alias("m"))
+    return best.select(F.least("fp", "m.to").alias("a"), F.greatest("fp", "m.to").alias("b")).distinct()
 
 
 #: Up to so many texts to be compared, their ids are broadcast; beyond, texts are joined by shuffle.
 FEW = 100_000
 
 
-def _alike(pairs: DataFrame, one_row: DataFrame, bodies: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are alike to ``similarity`` or more; ``one_row`` (fp, doc_id, th) tells where a fingerprint's text is in ``bodies`` (id, own, body)."""
+class _Texts:
+    """Shingle sets of fingerprints' texts, each read once."""
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([np.unique(hashes(t, shingle_words)).view(np.int64) for t in texts], index=texts.index, dtype=object)
+    def __init__(self, docs: DataFrame, doc_id: str, body: Column, marked: DataFrame, shingle_words: int):
+        self.bodies = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("own"), body.alias("body"))
+        self.at = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("fp", "r.*")
+        self.sets: DataFrame | None = None
+        self.shingle_words = shingle_words
 
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    need = cut(one_row.join(ends, "fp"))
-    few = F.broadcast(need) if need.count() <= FEW else need
-    texts = bodies.join(few, bodies["id"].eqNullSafe(few["doc_id"]) & (bodies["own"] == few["th"])).select("fp", "body").dropDuplicates(["fp"])
-    sets = cut(texts.select("fp", shingles("body").alias("set")))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return cut(both.filter(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
+    def alike(self, pairs: DataFrame, similarity: float) -> DataFrame:
+        """The pairs (a, b) whose sets of shingles are alike to ``similarity`` or more."""
+        words = self.shingle_words
+
+        @F.pandas_udf(T.ArrayType(T.LongType()))
+        def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series([np.unique(hashes(t, words)).view(np.int64) for t in texts], index=texts.index, dtype=object)
+
+        pairs = written(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+        if self.sets is not None:
+            ends = ends.join(self.sets.select("fp"), "fp", "left_anti")
+        need = written(self.at.join(ends, "fp"), "need")
+        few = F.broadcast(need) if need.count() <= FEW else need
+        texts = self.bodies.join(few, self.bodies["id"].eqNullSafe(few["doc_id"]) & (self.bodies["own"] == few["th"])).select("fp", "body").dropDuplicates(["fp"])
+        new = cut(texts.select("fp", shingles("body").alias("set")))
+        self.sets = new if self.sets is None else self.sets.unionByName(new)
+        both = pairs.join(self.sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(self.sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return written(both.filter(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "links")
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: doc_id, th (hash of the text), component_id and root (the group), for texts whose shingles are alike to ``similarity`` or more.
 
-    Two fingerprints that share a block are compared unless they are of one group already: first each with the leaders of its blocks, then all pairs across the
-    groups of a block. A pair is linked if its shingle sets, compared whole, are alike to ``similarity``; the Hamming distance only spares comparisons, with nine
-    standard deviations to spare. Blocks are a matter of chance: of pairs just at 0.8 most share one (measured in the README); equal texts always do.
+    Texts with equal sets of shingles are one fingerprint from the start. Two fingerprints are linked if they share a block, differ in at most ``limit`` bits (the
+    expectation at ``similarity`` and three standard deviations more) and their shingle sets, compared whole, are alike to ``similarity``; groups are what links reach.
+    Links that cannot change the groups are spared: first members are compared with leaders of their first blocks, then with leaders of all blocks that still hold
+    several groups, and in what is left all pairs across groups. So groups depend on the texts only, neither on the choice of leaders nor on partitions.
+
+    At this similarity a pair differs in 15 % of the bits, and no pigeonhole of blocks that select anything can promise a block to every such pair: blocks are a matter of
+    chance. Recall is measured in the README; equal sets always meet. Sets too small to be alike without being equal have no blocks.
     """
     ship(docs.sparkSession)
     cosine = 2 * similarity / (1 + similarity)
     share = float(np.arccos(cosine) / np.pi)
-    limit = int(LANES * BITS * share + 9 * np.sqrt(LANES * BITS * share * (1 - share)))
+    limit = int(WIDE * share + 3 * np.sqrt(WIDE * share * (1 - share)))
+    least = int(np.floor(similarity / (1 - similarity) + 1e-9)) if similarity < 1 else 1 << 30
 
-    @F.pandas_udf(T.StructType([T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))]))
+    @F.pandas_udf("fp long, n int, bits array<long>, keys array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            made = [wide_fingerprint(t, shingle_words) for t in texts]
-            yield pd.DataFrame({"fp": [m[0] for m in made], "keys": [m[1] for m in made]}, index=texts.index)
+            yield wide_fingerprints(texts, shingle_words, least)
 
     body = docs[text].cast("string")
     marked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("th"), run(body).alias("w")).withColumn("row", F.monotonically_increasing_id())
-    marked = cut(marked.select("doc_id", "th", "row", F.xxhash64("w.fp").alias("fp"), F.col("w.fp").alias("bits"), F.col("w.keys").alias("keys")))
+    marked = cut(marked.select("doc_id", "th", "row", "w.fp", "w.n", "w.bits", "w.keys"))
     one = marked.groupBy("fp").agg(F.min("row").alias("row"))
-    nodes = cut(marked.join(one.select("row"), "row", "left_semi").select("fp", "bits", "keys"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = nodes.select("fp", "bits")
-
-    def near(pairs: DataFrame, nearest: bool) -> DataFrame:
-        """The pairs (a, b) within the Hamming limit; if ``nearest``, of each fingerprint only the nearest."""
-        both = pairs.join(bits.select(F.col("fp").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("fp").alias("b"), F.col("bits").alias("y")), "b")
-        apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, n: t + n)
-        found = both.select("a", "b", apart.alias("apart")).filter(F.col("apart") <= limit)
-        if nearest:
-            ways = F.explode(F.array(F.struct(F.col("a").alias("fp"), F.col("b").alias("to")), F.struct(F.col("b").alias("fp"), F.col("a").alias("to"))))
-            best = found.select("apart", ways.alias("w")).groupBy("w.fp").agg(F.min(F.struct("apart", "w.to")).alias("m"))
-            found = best.select(F.least("fp", "m.to").alias("a"), F.greatest("fp", "m.to").alias("b")).distinct()
-        return cut(found.select("a", "b"))
-
-    one_row = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("fp", "r.*")
-    verified = lambda pairs: _alike(pairs, one_row, docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("own"), body.alias("body")), shingle_words, similarity)
-    links = verified(near(_to_leaders(nodes.select("fp", F.explode(F.slice("keys", 1, FIRST)).alias("k")), nodes.count() * FIRST, parts), True))
+    nodes = marked.join(one.select("row"), "row", "left_semi").filter(F.size("keys") > 0).select("fp", "n", "bits", "keys")
+    texts = _Texts(docs, doc_id, body, marked, shingle_words)
+    nobody = nodes.sparkSession.createDataFrame([], "fp long, root long")
+
+    links = texts.alike(_nearest(_to_leaders(_mixed(nodes, nobody, FIRST)), nodes, similarity, limit), similarity)
+    mixed = _mixed(nodes, components(links), BLOCKS)
+    links = links.unionByName(texts.alike(_nearest(_to_leaders(mixed), nodes, similarity, limit), similarity))
     roots = components(links)
-    for seed in range(ROUNDS):
-        mixed = _mixed(nodes, roots)
-        if mixed.filter(F.col("n") > CROWD).isEmpty():
-            break
-        links = cut(links.unionByName(verified(near(_leaders_of_others(mixed, seed), True))))
-        roots = components(links)
-    else:
-        mixed = _mixed(nodes, roots)
-    roots = components(links.unionByName(verified(near(_across(mixed), False))))
+    mixed = mixed.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    left = mixed.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("k")
+    across = _across(written(mixed.join(left, "k", "left_semi"), "mixed"), nodes.select("fp", "bits"), similarity, limit)
+    roots = components(links.unionByName(texts.alike(across, similarity)))
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marked.select("doc_id", "th", "fp").join(first.select("fp", "root").join(named, "root"), "fp").select("doc_id", "th", "component_id", "root")
