@@ -3,23 +3,27 @@
 Addresses are cut into host and path. Segments of a path that look like numbers or hexadecimal keys become shapes. Down each host's tree, level by level,
 
 1. rare children are generalised: a child with fewer than ``min_child`` addresses becomes a wildcard;
-2. similar branches merge: siblings of the same labelled tendency whose distribution over the next level's shapes cannot be told from their
-   pool's by a chi-square bound become one wildcard branch;
-3. what results are templates. A template is rejected if its share of bad labels, smoothed by ``alpha`` addresses of share ``prior``, reaches ``purity``.
+2. similar branches merge: siblings whose distribution over the next level's shapes cannot be told from that of all siblings by a chi-square bound become one
+   wildcard branch, whether they have labels or not, and their labels are pooled. A labelled child whose share of bad labels is over two standard deviations off its
+   branch's keeps its own name;
+3. what results are templates. A template is rejected if its share of bad labels, smoothed by ``alpha`` addresses of share ``prior``, reaches ``purity``. One without labels is
+   judged by its nearest labelled ancestor on the host, else by the same template over all hosts.
 
-Levels beyond ``depth`` are one rest. Statistics are sums over distinct (host, shapes), so a hot host is summed before it moves; joins that bring
-decisions back to children are dealt out by salt. Explicit rules (host suffix and path prefix, the longest wins) come before templates, and the
-addresses that rules decide are the labels from which the templates of other addresses are judged, unless a label column is given.
+The tree is as deep as its paths, save that a branch of fewer than ``min_branch`` addresses ends in one rest. Statistics are sums over distinct (host, shapes), so a hot host is
+summed before it moves. Explicit rules (host suffix and path prefix, the longest wins) come before templates, and the addresses that rules decide are the labels
+from which the templates of other addresses are judged, unless a label column is given.
 
-Null addresses and such without ``://`` have empty host and path; they form the template of the empty host. Repeated rows count as often as they occur.
+Null addresses and such without ``://`` have empty host and path; they form the root template of the empty host. Repeated rows count as often as they occur.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ascii_lower, cut
+from tideline.llm.common import ascii_lower, written
 
 
 def host_of(url: Column) -> Column:
@@ -49,61 +53,91 @@ def shape(segment: Column) -> Column:
     )
 
 
-def shapes_of(path: Column, depth: int) -> Column:
-    """Shapes of the first segments, then ``{rest}`` if there are more; as many as ``depth`` + 1 at most."""
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    head = F.transform(F.slice(segments, 1, depth), shape)
-    return F.when(F.size(segments) > depth, F.concat(head, F.array(F.lit("{rest}")))).otherwise(head)
-
-
-def _tendency(labelled: Column, bad: Column) -> Column:
-    return F.when(labelled == 0, "u").when(2 * bad >= labelled, "b").otherwise("g")
-
-
-def templates(addresses: DataFrame, depth: int = 4, min_child: int = 3, salts: int = 16) -> DataFrame:
-    """(host, shapes, template, n, labelled, bad) for each different (host, shapes).
-
-    ``addresses``: host, shapes and bad (1 bad, 0 good, null unknown).
+def shapes_of(path: Column) -> Column:
+    """Shapes of all segments."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shape)
+
+
+#: The token of a merged branch, and of what follows in a branch of too few addresses.
+ANY, REST = "*", "**"
+SUMS = ("n", "labelled", "bad")
+
+
+def _tokens(pairs: DataFrame, min_child: int, salts: int) -> DataFrame:
+    """(host, template, child, token) for the children of each node; ``pairs``: (host, template, child, following) with their sums."""
+    key = ["host", "template"]
+    kids = pairs.groupBy(*key, "child").agg(*[F.sum(c).alias(f"{c}_child") for c in SUMS])
+    pool = pairs.groupBy(*key, "following").agg(F.sum("n").alias("n_pool"))
+    total = pool.groupBy(*key).agg(F.sum("n_pool").alias("n_total"), F.count(F.lit(1)).alias("kinds"))
+    siblings = kids.groupBy(*key).agg(F.count(F.lit(1)).alias("siblings"))
+    stats = pool.join(total.join(siblings, key), key)
+    spread = stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    tested = pairs.withColumn("salt", F.pmod(F.xxhash64("child"), F.lit(salts)).cast("int")).join(spread, [*key, "following", "salt"])
+    # sum (o-e)^2/e over all shapes of the pool = sum o^2/e - n_child, for which the shapes that occur suffice; e = n_child * n_pool / n_total
+    square = F.sum(F.col("n") * F.col("n") * F.col("n_total") / F.col("n_pool"))
+    judged = tested.groupBy(*key, "child").agg(square.alias("square"), F.first("kinds").alias("kinds"), F.first("siblings").alias("siblings")).join(kids, [*key, "child"])
+    free = F.col("kinds") - 1
+    alike = (F.col("siblings") > 1) & (F.col("square") / F.col("n_child") - F.col("n_child") <= free + 2 * F.sqrt(2 * free) + 1e-9)
+    fits = judged.withColumn("fits", ~F.col("child").startswith("{") & (alike | (F.col("n_child") < min_child)))
+    merged = fits.filter("fits").groupBy(*key).agg(F.sum("labelled_child").alias("l"), F.sum("bad_child").alias("b"))
+    both = fits.join(merged, key, "left")
+    share = F.when(F.col("l") > 0, F.col("b") / F.col("l"))
+    off = F.col("bad_child") - F.col("labelled_child") * share
+    contrary = (F.col("labelled_child") > 0) & (off * off > 4 * F.col("labelled_child") * share * (1 - share) + 1e-9)
+    return both.select(*key, "child", F.when(F.col("fits") & ~F.coalesce(contrary, F.lit(False)), ANY).otherwise(F.col("child")).alias("token"))
+
+
+def templates(addresses: DataFrame, min_child: int = 3, min_branch: int = 8, salts: int = 16) -> DataFrame:
+    """(host, shapes, n, labelled, bad, template) for each different (host, shapes); ``template`` is an array of tokens.
+
+    ``addresses``: host, shapes and bad (1 bad, 0 good, null unknown). Levels are added until every path has ended or is in a branch of fewer than ``min_branch`` addresses.
+    """
+    nodes = addresses.groupBy("host", "shapes").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    going, done, level = written(nodes.withColumn("template", F.array().cast("array<string>")), "nodes"), [], 0
+    while True:
+        ended = F.size("shapes") <= level
+        done.append(going.filter(ended))
+        on = going.filter(~ended)
+        if on.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        child, following = F.get("shapes", F.lit(level)), F.coalesce(F.get("shapes", F.lit(level + 1)), F.lit("{end}"))
+        sizes = on.groupBy("host", "template").agg(F.sum("n").alias("n_branch"))
+        here = written(on.withColumns({"child": child, "following": following}).join(sizes, ["host", "template"]), "here")
+        few = F.col("n_branch") < min_branch
+        columns = [c for c in going.columns if c != "template"]
+        done.append(here.filter(few).select(*columns, F.concat("template", F.array(F.lit(REST))).alias("template")))
+        large = here.filter(~few)
+        pairs = large.groupBy("host", "template", "child", "following").agg(*[F.sum(c).alias(c) for c in SUMS])
+        tokens = _tokens(written(pairs, "pairs"), min_child, salts)
+        going = written(large.join(tokens, ["host", "template", "child"]).select(*columns, F.concat("template", F.array("token")).alias("template")), "nodes")
+        level += 1
+
+
+def shares(nodes: DataFrame, alpha: float, prior: float) -> DataFrame:
+    """(host, template, template_share): the smoothed share of bad labels. A template without labels takes the share of its nearest ancestor on the host that has any,
+    else that of the same template, or its nearest ancestor, over all hosts, else ``prior``."""
+    own = nodes.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    prefixes = F.transform(F.sequence(F.lit(0), F.size("template")), lambda i: F.slice("template", 1, i))
+    each = written(own.select("host", "template", "l", "b", F.explode(prefixes).alias("prefix")), "prefixes")
+    smooth = (F.sum("b") + alpha * prior) / (F.sum("l") + alpha)
+    of_host = each.filter("l > 0").groupBy("host", "prefix").agg(smooth.alias("host_share"))
+    of_all = each.filter("l > 0").groupBy("prefix").agg(smooth.alias("all_share"))
+    depth = F.size("prefix")
+    found = each.join(of_host, ["host", "prefix"], "left").join(of_all, "prefix", "left")
+    best = found.groupBy("host", "template").agg(F.max_by("host_share", F.when(F.col("host_share").isNotNull(), depth)).alias("h"), F.max_by("all_share", F.when(F.col("all_share").isNotNull(), depth)).alias("a"))
+    return best.select("host", "template", F.coalesce("h", "a", F.lit(prior)).alias("template_share"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", key: str = "page_id", label: str | None = None, min_child: int = 3, min_branch: int = 8, alpha: float = 2.0, prior: float = 0.1, purity: float = 0.5, salts: int = 16) -> DataFrame:
+    """One row per row of ``pages``: key, host, path, rule, verdict, template, template_share. Other columns of ``pages`` are left out, so none can clash.
+
+    The join that brings a template back to addresses is on (host, shapes), which may be hot: the adaptive plan splits it.
     """
-    nodes = cut(addresses.groupBy("host", "shapes").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumn("template", F.lit("")))
-    for level in range(depth + 1):
-        child = F.coalesce(F.get("shapes", F.lit(level)), F.lit("{end}"))
-        following = F.coalesce(F.get("shapes", F.lit(level + 1)), F.lit("{end}"))
-        here = nodes.withColumns({"child": child, "following": following})
-        key = ["host", "template"]
-        pairs = here.groupBy(*key, "child", "following").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
-        kids = pairs.groupBy(*key, "child").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
-        kids = kids.withColumn("side", _tendency(F.col("labelled"), F.col("bad"))).withColumnRenamed("n", "n_child")
-        sided = cut(pairs.select(*key, "child", "following", "n").join(kids.select(*key, "child", "n_child", "side"), [*key, "child"]))
-        pool = sided.groupBy(*key, "side", "following").agg(F.sum("n").alias("n_pool"))
-        total = pool.groupBy(*key, "side").agg(F.sum("n_pool").alias("n_total"), F.count(F.lit(1)).alias("kinds"))
-        count = sided.groupBy(*key, "side").agg(F.countDistinct("child").alias("siblings"))
-        stats = pool.join(total, [*key, "side"]).join(count, [*key, "side"])
-        salt = F.pmod(F.xxhash64("child"), F.lit(salts)).cast("int")
-        spread = stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        tested = sided.withColumn("salt", salt).join(spread, [*key, "side", "following", "salt"])
-        expected = F.col("n_child") * F.col("n_pool") / F.col("n_total")
-        # sum (o-e)^2/e over all shapes of the pool = sum o^2/e - n_child, for which the shapes that occur suffice
-        judged = tested.groupBy(*key, "side", "child").agg((F.sum(F.col("n") * F.col("n") / expected) - F.first("n_child")).alias("chi"), F.first("n_child").alias("n_child"), F.first("kinds").alias("kinds"), F.first("siblings").alias("siblings"))
-        free = F.col("kinds") - 1
-        alike = (F.col("siblings") > 1) & (F.col("chi") <= free + 2 * F.sqrt(2 * free) + 1e-9)
-        shaped = F.col("child").startswith("{")
-        token = F.when(shaped, F.col("child")).when((F.col("n_child") < min_child) | alike, F.concat(F.lit("*"), F.col("side"))).otherwise(F.col("child"))
-        named = judged.select(*key, "child", token.alias("token"))
-        nodes = cut(here.join(named, [*key, "child"]).select("host", "shapes", "n", "labelled", "bad", F.when(F.col("child") == "{end}", F.col("template")).otherwise(F.concat("template", F.lit("/"), "token")).alias("template")))
-    return nodes
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", key: str = "page_id", label: str | None = None, depth: int = 4, alpha: float = 2.0, prior: float = 0.1, purity: float = 0.5, salts: int = 16) -> DataFrame:
-    """One row per row of ``pages``: key, host, path, rule, verdict, template, template_share."""
     base = pages.select(F.col(key).alias(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), *([F.col(label).alias("__label")] if label else []))
-    base = base.withColumns({"__rule": rule_for(F.col("host"), F.col("path"), rules), "shapes": shapes_of(F.col("path"), depth)})
+    base = base.withColumns({"__rule": rule_for(F.col("host"), F.col("path"), rules), "shapes": shapes_of(F.col("path"))})
     bad = F.col("__label").cast("int") if label else (F.col("__rule.verdict") == "block").cast("int")
-    nodes = templates(base.select("host", "shapes", bad.alias("bad")), depth, salts=salts)
-    sums = nodes.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-    share = sums.select("host", "template", ((F.col("b") + alpha * prior) / (F.col("l") + alpha)).alias("template_share"))
-    of = nodes.select("host", "shapes", "template").join(share, ["host", "template"])
-    of = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = base.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(of, ["host", "shapes", "salt"])
+    nodes = written(templates(base.select("host", "shapes", bad.alias("bad")), min_child, min_branch, salts), "nodes")
+    of = nodes.select("host", "shapes", "template").join(shares(nodes, alpha, prior), ["host", "template"])
     learned = F.when(F.col("template_share") >= purity, "block").otherwise("allow")
-    return out.select(key, "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce(F.col("__rule.verdict"), learned).alias("verdict"), "template", "template_share")
+    name = F.concat(F.lit("/"), F.array_join("template", "/")).alias("template")
+    return base.join(of, ["host", "shapes"]).select(key, "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce(F.col("__rule.verdict"), learned).alias("verdict"), name, "template_share")
