@@ -2,11 +2,12 @@
 
 A text and a licence template are lists of words. Words that occur exactly once in both are anchors; the longest run of anchors in the same order
 on both sides is kept (longest increasing subsequence by patience piles), and the gaps between anchors are aligned in the same way. Gaps
-without an anchor are matched from both ends. The coverage of a template is the share of its words that lie in the best stretch of
-the text, one not longer than ``slack`` times the template.
+without an anchor are matched from both ends. The coverage of a template is the share of its words that are matched in a window of the text of at most
+``slack`` times the template. Each window that may begin a copy is aligned on its own, and every place of every template is told, so copies that
+follow each other or stand among other words of a template are all found.
 
 A template is aligned only if the text holds enough of its different words to reach ``threshold``, which skips nothing that could.
-Null, empty and wordless texts match nothing. Repeated rows get equal results.
+Null, empty and wordless texts match nothing. Repeated rows get equal results. An input column ``licenses`` is replaced.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -102,7 +105,7 @@ class Scanner:
         self.threshold, self.slack = threshold, slack
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, first word, last word) for each template covered well enough, best first."""
+        """(template, coverage, first word, last word) for every place where a template is covered well enough, best first; places of one template do not overlap."""
         tokens = words(text)
         places: dict[str, list[int]] = {}
         for i, w in enumerate(tokens):
@@ -113,44 +116,50 @@ class Scanner:
             need = self.threshold * len(template)
             if sum(min(n, len(places.get(w, ()))) for w, n in self.counts[name].items()) < need:
                 continue
-            best = (0, 0, 0)
-            for lo, hi, windows in self._regions(places, template):
-                found_here = self._stretch(tokens, lo, hi, template)
-                if found_here[0] < len(template) and len(windows) > 1:
-                    # copies close together leave no word unique in the merged stretch
-                    found_here = max([found_here, *(self._stretch(tokens, a, b, template) for a, b in windows)])
-                best = max(best, found_here)
-            if best[0] >= need:
-                found.append((name, best[0] / len(template), -best[1], best[2]))
-        return sorted(found, key=lambda f: (-f[1], -len(self.templates[f[0]]), f[0]))
+            hits = sorted({i for w in self.counts[name] for i in places.get(w, ())})
+            for matched, first, last in self._places(tokens, hits, template):
+                found.append((name, matched / len(template), first, last))
+        return sorted(found, key=lambda f: (-f[1], -len(self.templates[f[0]]), f[0], f[2]))
 
-    def _stretch(self, tokens: list[str], lo: int, hi: int, template: list[str]) -> tuple[int, int, int]:
-        """(matched words, less the first, last) of the best stretch within ``tokens[lo:hi]``."""
-        pairs = [(i + lo, j) for i, j in align(tokens[lo:hi], template)]
-        best, begin = (0, 0, 0), 0
-        for end in range(len(pairs)):
-            while pairs[end][0] - pairs[begin][0] + 1 > self.slack * len(template):
-                begin += 1
-            best = max(best, (end - begin + 1, -pairs[begin][0], pairs[end][0]))
-        return best
-
-    def _regions(self, places: dict[str, list[int]], template: list[str]) -> list[tuple[int, int, list[tuple[int, int]]]]:
-        """Stretches, each with the windows merged in it, that hold enough of the template's words; words of no template lie between them. Whole copies far apart are aligned apart."""
-        width = int(self.slack * len(template))
-        hits = sorted({i for w in set(template) for i in places.get(w, ())})
-        out, begin = [], 0
+    def _places(self, tokens: list[str], hits: list[int], template: list[str]) -> list[tuple[int, int, int]]:
+        """(matched words, first, last) of places that do not overlap, the best taken first and of equals the first.
+
+        A window opens at every word of the template that may be its first matched one (so many words can be missing at most) and is aligned on its own, so nothing that
+        stands before or beside a copy hides it. What a place takes is taken from the windows it overlaps, and these are aligned again.
+        """
         need = self.threshold * len(template)
-        for end in range(len(hits)):
-            while hits[end] - hits[begin] + 1 > width:
-                begin += 1
-            if end - begin + 1 >= need:
-                lo, hi = hits[begin], hits[end] + 1
-                if out and lo < out[-1][1] and hi - out[-1][0] <= 2 * width:
-                    out[-1] = (out[-1][0], hi, [*out[-1][2], (lo, hi)])
-                else:
-                    out.append((lo, hi, [(lo, hi)]))
+        openers = set(template[: len(template) - ceil(need) + 1])
+        stops: set[tuple[int, int]] = set()
+        taken, out = [], []
+        for at, first in enumerate(hits):
+            if tokens[first] in openers:
+                for width in (len(template), int(self.slack * len(template))):
+                    end = bisect_left(hits, first + width)
+                    if end - at >= need:
+                        stops.add((first, hits[end - 1] + 1))
+        todo = [(*self._stretch(tokens, lo, hi, template), lo, hi) for lo, hi in sorted(stops)]
+        heap = [(-m, a, b, lo, hi) for m, a, b, lo, hi in todo if m >= need]
+        heapify(heap)
+        while heap:
+            less, a, b, lo, hi = heappop(heap)
+            over = [(x, y) for x, y in taken if x < hi and lo <= y]
+            if not any(x <= b and a <= y for x, y in over):
+                taken.append((a, b))
+                out.append((-less, a, b))
+            else:  # what is left of the window on both sides of what was taken
+                edges = sorted(over)
+                for left, right in zip([lo, *(y + 1 for _, y in edges)], [*(x for x, _ in edges), hi], strict=True):
+                    if right - left >= need:
+                        m, a, b = self._stretch(tokens, left, right, template)
+                        if m >= need:
+                            heappush(heap, (-m, a, b, left, right))
         return out
 
+    def _stretch(self, tokens: list[str], lo: int, hi: int, template: list[str]) -> tuple[int, int, int]:
+        """(matched words, first, last) of the alignment of ``tokens[lo:hi]``."""
+        pairs = align(tokens[lo:hi], template)
+        return (len(pairs), pairs[0][0] + lo, pairs[-1][0] + lo) if pairs else (0, lo, lo)
+
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, text: str = "text") -> DataFrame:
     """``docs`` with ``licenses``: array of (license, coverage, first_word, last_word), best first."""
