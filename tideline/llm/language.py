@@ -169,7 +169,8 @@ class Tagger:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 1500, *where: Column) -> Crf | None:
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     ids = bounded_ids(known, doc_id, max_rows, *where)
-    rows = known.join(F.broadcast(ids), doc_id).select(doc_id, text, lang).toPandas().sort_values([doc_id, text, lang])
+    bounded = known.join(F.broadcast(ids), doc_id).select(doc_id, text, lang).orderBy(F.xxhash64(F.col(doc_id).cast("string"), text, lang)).limit(max_rows)  # ids may repeat
+    rows = bounded.toPandas().sort_values([doc_id, text, lang])
     return train(rows[text].tolist(), rows[lang].tolist())
 
 

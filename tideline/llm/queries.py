@@ -38,7 +38,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(table(spark, sf_dir, "documents"))
     best = F.get("licenses", F.lit(0))
-    return out.select("doc_id", F.size("licenses").alias("n_licenses"), best["license"].alias("license"), best["coverage"].alias("coverage"), best["first_word"].alias("first_word"), best["last_word"].alias("last_word"))
+    return out.select("doc_id", F.size("licenses").alias("n_licenses"), best["license"].alias("license"), best["coverage"].alias("coverage"), best["first_word"].alias("first_word"), best["last_word"].alias("last_word"), "licenses")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,11 +84,12 @@ QUERIES = {
 }
 
 OP5_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages WHERE page_id IS NOT NULL),
-d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
-w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS best FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN best <> page_id THEN best END AS refers_to
+WITH p AS (SELECT row_number() OVER () AS r, page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT r, page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best,
+             payload_bytes < 1000 OR row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST, r) = 1 AS own FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN NOT own THEN best END AS refers_to
 FROM w
 """
 

@@ -183,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Train on at most ``max_rows`` labelled rows of ``docs``; ``where`` are conditions on ``labels``."""
     ids = bounded_ids(labels.filter(F.col(label).isNotNull()), doc_id, max_rows, *where)
     known = labels.join(F.broadcast(ids), doc_id).groupBy(doc_id).agg(F.max(label).alias("__y"))
-    rows = docs.select(doc_id, F.col(text).alias("__text")).join(F.broadcast(known), doc_id).select("__text", "__y", doc_id).toPandas()
+    rows = docs.select(doc_id, F.col(text).alias("__text")).join(F.broadcast(known), doc_id).select("__text", "__y", doc_id)
+    rows = rows.orderBy(F.xxhash64(F.col(doc_id).cast("string"), "__text")).limit(max_rows).toPandas()  # ids may repeat
     rows = rows.sort_values([doc_id, "__text"], na_position="last")
     return train(rows["__text"].tolist(), [int(v > 0) for v in rows["__y"]])
 

@@ -8,7 +8,9 @@ Every record is a gzip member of its own, so a record is read by its offset alon
 other attempt of a task uses, and only files that a finished task has reported count: a task that is run again leaves no double.
 
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the largest key is the response and the others are revisits of it; smaller
-ones are responses. Null bodies are empty; null addresses get a ``urn:`` address; white space in addresses is escaped. Keys must be there and differ.
+ones are responses. Null bodies are empty; null addresses get a ``urn:`` address; white space in addresses is escaped. A record with a null key has no key header
+and is a response only if no other of its payload has a key; of records with one key and one payload one is the response and the others revisit it. Other columns of
+the input are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -111,8 +113,13 @@ def http_value(head: bytes, name: bytes) -> str | None:
     return None
 
 
+def _key(head: bytes) -> int | None:
+    value = http_value(head, KEY)
+    return None if value is None else int(value)
+
+
 def warc_record(fields: dict[str, str], body: bytes, refers_to: tuple[str, str] | None) -> bytes:
-    """A WARC/1.0 record of an ARC record; ``refers_to``: (record id, key) of the response if it is a revisit."""
+    """A WARC/1.0 record of an ARC record; ``refers_to``: (record id, key or none) of the response if it is a revisit."""
     head, payload = split_http(body)
     digest, date = hashlib.sha1(payload).hexdigest(), warc_date(fields["Archive-date"])
     key = http_value(head, KEY) or ""
@@ -121,7 +128,7 @@ def warc_record(fields: dict[str, str], body: bytes, refers_to: tuple[str, str]
         f"WARC-Target-URI: {fields['URL']}", f"WARC-IP-Address: {fields['IP-address']}", f"WARC-Date: {date}", f"WARC-Payload-Digest: {_b32(digest)}",
     ]
     if refers_to:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to[0]}", f"X-Refers-To-Key: {refers_to[1]}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to[0]}", *([f"X-Refers-To-Key: {refers_to[1]}"] if refers_to[1] else [])]
     block = head if refers_to else body
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
@@ -181,13 +188,14 @@ def write_arc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "u
                     version = "12"[files % 2]
                     out.put(arc_head(version, out.name, date))
                 payload = (h or "").encode("utf-8", "surrogatepass")
-                head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n%s: %d\r\n\r\n" % (len(payload), KEY, k)
-                address = quote(u, safe="%/:?#[]@!$&'()*+,;=~") if u else f"urn:record:{k}"
+                own = b"%s: %s\r\n" % (KEY, k.encode()) if k is not None else b""
+                head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n%s\r\n" % (len(payload), own)
+                address = quote(u, safe="%/:?#[]@!$&'()*+,;=~") if u else f"urn:record:{k or 'none'}"
                 places.append(out.put(arc_record(version, address, date, head + payload, out.at, out.name)))
             yield pd.DataFrame(places, columns=["file", "offset", "length"])
         out.close()
 
-    return pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(run, "file string, offset long, length long")
+    return pages.select(F.col(key).cast("string").alias("k"), F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(run, "file string, offset long, length long")
 
 
 def _arc_members(rows: pd.DataFrame, source: dict) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -215,20 +223,21 @@ def arc_index(places: DataFrame) -> DataFrame:
             rows = []
             for i, fields, body in _arc_members(b, source):
                 head, payload = split_http(body)
-                rows.append((b["file"].iat[i], b["offset"].iat[i], b["length"].iat[i], int(http_value(head, KEY) or -1), fields["URL"], fields["Archive-date"], len(payload), hashlib.sha1(payload).hexdigest()))
-            yield pd.DataFrame(rows, columns=["file", "offset", "length", "key", "url", "date", "payload_bytes", "digest"])
+                rows.append((b["file"].iat[i], b["offset"].iat[i], b["length"].iat[i], _key(head), fields["URL"], fields["Archive-date"], len(payload), hashlib.sha1(payload).hexdigest()))
+            yield pd.DataFrame(rows, columns=["file", "offset", "length", "key", "url", "date", "payload_bytes", "digest"]).assign(key=pd.array([r[3] for r in rows], "Int64"))
 
     return places.mapInPandas(run, "file string, offset long, length long, key long, url string, date string, payload_bytes long, digest string")
 
 
 def decide(index: DataFrame, min_bytes: int = 1000, salts: int = 16) -> DataFrame:
-    """``index`` with (ref_key, ref_url, ref_date) for revisits, null for responses. Groups of equal payloads are dealt out by salt."""
-    slim = index.filter(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("key", "url", "date")).alias("best")).filter("n > 1")
+    """``index`` with revisit (whether it is one) and (ref_key, ref_url, ref_date) of the response it revisits. Groups of equal payloads are dealt out by salt."""
+    at = ["key", "url", "date", "file", "offset"]
+    slim = index.filter(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*at)).alias("best")).filter("n > 1")
     spread = slim.select("digest", "best", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = index.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+    salted = index.withColumn("salt", F.pmod(F.xxhash64("file", "offset"), F.lit(salts)).cast("int"))
     joined = salted.join(spread, ["digest", "salt"], "left")
-    other = (F.col("payload_bytes") >= min_bytes) & (F.col("best.key") != F.col("key"))
-    return joined.select(*index.columns, *[F.when(other, F.col(f"best.{c}")).alias(f"ref_{c}") for c in ("key", "url", "date")])
+    other = F.coalesce((F.col("payload_bytes") >= min_bytes) & ((F.col("best.file") != F.col("file")) | (F.col("best.offset") != F.col("offset"))), F.lit(False))
+    return joined.select(*index.columns, other.alias("revisit"), *[F.when(other, F.col(f"best.{c}").cast("string")).alias(f"ref_{c}") for c in ("key", "url", "date")])
 
 
 def convert(decided: DataFrame, folder: str) -> DataFrame:
@@ -240,13 +249,13 @@ def convert(decided: DataFrame, folder: str) -> DataFrame:
             places = []
             for i, fields, body in _arc_members(b, source):
                 r = b.iloc[i]
-                other = None if pd.isna(r["ref_key"]) else (record_id(r["ref_url"], r["ref_date"], r["digest"], str(int(r["ref_key"]))), str(int(r["ref_key"])))
+                other = (record_id(r["ref_url"], r["ref_date"], r["digest"], r["ref_key"] or ""), r["ref_key"]) if r["revisit"] else None
                 out.begin()
                 places.append(out.put(warc_record(fields, body, other)))
             yield pd.DataFrame(places, columns=["file", "offset", "length"])
         out.close()
 
-    slim = decided.select("file", "offset", "length", "digest", "ref_key", "ref_url", "ref_date")
+    slim = decided.select("file", "offset", "length", "digest", "revisit", "ref_key", "ref_url", "ref_date")
     return slim.repartition("file", F.floor(F.col("offset") / (8 << 20))).sortWithinPartitions("file", "offset").mapInPandas(run, "file string, offset long, length long")
 
 
@@ -271,8 +280,10 @@ def read_back(places: DataFrame) -> DataFrame:
                     if not revisit and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"payload of {fields['WARC-Record-ID']} does not match its digest")
                     size = int(http_value(head, b"Content-Length")) if revisit else len(payload)
-                    rows.append((int(http_value(head, KEY)), size, digest, fields["WARC-Type"], int(fields["X-Refers-To-Key"]) if revisit else None))
-            yield pd.DataFrame(rows, columns=["key", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"refers_to": "Int64"})
+                    other = fields.get("X-Refers-To-Key")
+                    rows.append((_key(head), size, digest, fields["WARC-Type"], int(other) if other else None))
+            out = pd.DataFrame(rows, columns=["key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            yield out.assign(**{c: pd.array([r[i] for r in rows], "Int64") for c, i in (("key", 0), ("refers_to", 4))})
 
     return places.mapInPandas(run, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
@@ -281,6 +292,6 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """Pages as ARC files, converted to WARC files, read back."""
     spark = pages.sparkSession
     ship(spark)
-    arcs = cut(write_arc(pages.filter(F.col(key).isNotNull()), fresh_path(spark, "arc"), key, url, html))
+    arcs = cut(write_arc(pages, fresh_path(spark, "arc"), key, url, html))
     warcs = cut(convert(decide(cut(arc_index(arcs)), min_bytes), fresh_path(spark, "warc")))
     return read_back(warcs)
