@@ -15,6 +15,7 @@ one kind only, the score is the share of toxic labels (0 without any), kept belo
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -179,6 +180,41 @@ class Scorer:
         return float(_probability(m.slope * z + m.offset))
 
 
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 6000, *where: Column) -> DataFrame:
+    """(__text, __y, doc_id): at most ``max_rows`` labelled rows of ``docs``, also where ids repeat; ``where`` are conditions on ``labels``."""
+    ids = bounded_ids(labels.filter(F.col(label).isNotNull()), doc_id, max_rows, *where)
+    known = labels.join(F.broadcast(ids), doc_id).groupBy(doc_id).agg(F.max(label).alias("__y"))
+    rows = docs.select(doc_id, F.col(text).alias("__text")).join(F.broadcast(known), doc_id).select("__text", F.col("__y").cast("int").alias("__y"), doc_id)
+    return rows.orderBy(F.xxhash64(F.col(doc_id).cast("string"), "__text")).limit(max_rows)
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 6000, *where: Column) -> Model:
+    """Train on ``sample``. The training is one task over these rows, so neither they nor its arrays take the driver's memory, and a lost executor only repeats it."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            rows = pd.concat(parts).sort_values([doc_id, "__text"], na_position="last")
+            yield pd.DataFrame({"model": [pickle.dumps(train(rows["__text"].tolist(), [int(v > 0) for v in rows["__y"]]))]})
+
+    packed = sample(docs, labels, doc_id, text, label, max_rows, *where).coalesce(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(packed[0].model) if packed else train([], [])
+
+
+def score(self, text: str | None) -> float:
+        m = self.model
+        if m.bucket_logit is None:
+            return m.prior if m.prior == 1.0 else min(m.prior, 0.49)
+        tokens = subwords.words(text)
+        if not tokens:
+            return min(m.prior, 0.49)
+        self.words.room()
+        at = self.words.ids(tokens)
+        z = _window_logits(self.words.rows[at, 0], m.bias).max()
+        return float(_probability(m.slope * z + m.offset))
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 6000, *where: Column) -> Model:
     """Train on at most ``max_rows`` labelled rows of ``docs``; ``where`` are conditions on ``labels``."""
     ids = bounded_ids(labels.filter(F.col(label).isNotNull()), doc_id, max_rows, *where)
