@@ -142,7 +142,7 @@ def test_search_of_unknown_words_is_empty(spark):
 def test_value_score_merges_or_replaces(spark):
     row = spark.createDataFrame([(1.0,) * 6], [*ranking.TASKS])
     merged, alone = row.select(ranking.value_score({"click": 2.0}), ranking.value_score({"click": 2.0}, replace=True)).first()
-    assert merged == pytest.approx(sum(ranking.DEFAULT_WEIGHTS.values()) + 1.0) and alone == 2.0
+    assert merged == pytest.approx(sum(ranking.DEFAULT_WEIGHTS.values()) - ranking.DEFAULT_WEIGHTS["click"] + 2.0) and alone == 2.0
 
 
 def test_vectors(spark):
@@ -184,20 +184,6 @@ def test_config_overrides():
         load({"nosuch.k": 1}, {})
 
 
-def test_generated_rows_do_not_depend_on_partitions(spark):
-    from tideline.operators import simulate
-
-    items = simulate.catalog(spark, 60)
-    a = simulate.impressions(items, 20).collect()
-    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
-    try:
-        b = simulate.impressions(simulate.catalog(spark, 60).repartition(7), 20).collect()
-    finally:
-        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
-    assert sorted(a) == sorted(b)
-    assert all(r.watch_fraction > 0 if r.clicked else r.watch_fraction == 0 and not r.satisfied for r in a)
-
-
 def test_file_sources(spark, tmp_path):
     from pyspark.sql import types as T
 
@@ -229,3 +215,23 @@ def test_streaming_popularity_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(spark.table("pop").collect()) == sorted(windowed_popularity(rows).collect())
+
+
+def test_blocked_products_against_all_pairs(spark):
+    import numpy as np
+
+    from tideline.operators import recall
+
+    rng = np.random.default_rng(2)
+    v, q = rng.normal(size=(150, 8)), rng.normal(size=(40, 8))
+    v[17] = v[3]  # a tie
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item long, v array<double>")
+    queries = spark.createDataFrame([(i, x.tolist(), 1 + i % 7) for i, x in enumerate(q)], "query long, q array<double>, need int")
+    from pyspark.sql import functions as F
+
+    got = sorted((r.query, r.item) for r in recall.blocked_topk(queries, items, "query", F.col("need"), rows=16).collect())
+    score = np.round(q @ v.T, 6)
+    want = sorted((i, j) for i in range(40) for j in sorted(range(150), key=lambda j, i=i: (-score[i, j], j))[: 1 + i % 7])
+    assert got == want
+    assert recall.blocked_topk(queries.limit(0), items, "query", 3).count() == 0
+    assert recall.blocked_topk(queries, items.limit(0), "query", 3).count() == 0

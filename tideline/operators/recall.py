@@ -53,6 +53,35 @@ def vector_scores(queries: DataFrame, items: DataFrame, key: str = "query") -> D
     return items.join(F.broadcast(queries), how="cross").select(key, "item", dot(F.col("q"), F.col("v")).alias("score"))
 
 
+def blocked_topk(queries: DataFrame, items: DataFrame, key: str, k: int | Column, rows: int = 4096, digits: int = 6) -> DataFrame:
+    """(key, item, score): for each query (key, ``q``) its best ``k`` items (item, ``v``) by dot product; ties in the rounded score go to the smaller item.
+
+    Queries and items are dealt into blocks of about ``rows``; each pair of blocks is one matrix product that gives back ``k`` rows a query, and the blocks' best are
+    merged. No task holds more than a block of each side. ``k`` may be a column of the queries, such as the length of a history that is taken out afterwards.
+    """
+    ship(items.sparkSession)
+    across, down = (max(1, -(-df.count() // rows)) for df in (items, queries))
+    k = k if isinstance(k, Column) else F.lit(k)
+    left = queries.select(key, "q", k.cast("int").alias("k"), F.pmod(F.xxhash64(key), F.lit(down)).alias("down"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("across"))
+    right = items.select("item", "v", F.pmod(F.xxhash64("item"), F.lit(across)).alias("across"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("down"))
+
+    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({key: [], "item": [], "score": [], "k": []})
+        b = b.sort_values("item")
+        score = np.stack(a["q"]) @ np.stack(b["v"]).T
+        best = np.argsort(-np.round(score, digits), axis=1, kind="stable")
+        most = np.minimum(a["k"].to_numpy(), len(b))
+        row = np.repeat(np.arange(len(a)), most)
+        at = np.concatenate([best[i, :n] for i, n in enumerate(most)])
+        return pd.DataFrame({key: a[key].to_numpy()[row], "item": b["item"].to_numpy()[at], "score": score[row, at], "k": a["k"].to_numpy()[row]})
+
+    schema = f"{key} {dict(queries.dtypes)[key]}, item {dict(items.dtypes)['item']}, score double, k int"
+    parts = left.groupBy("down", "across").cogroup(right.groupBy("down", "across")).applyInPandas(lambda a, b: cell(a, b), schema)
+    best = Window.partitionBy(key).orderBy(F.desc(F.round("score", digits)), "item")
+    return parts.withColumn("rank", F.row_number().over(best)).filter("rank <= k").select(key, "item", "score")
+
+
 def channel_scores(affinity: DataFrame, items: DataFrame, quality: Column) -> DataFrame:
     """(user_id, item, score) from (user_id, channel_id, affinity)."""
     return affinity.join(items.withColumn("__q", quality), "channel_id").select("user_id", F.col("video_id").alias("item"), (F.col("affinity") * (1 + 0.15 * F.log1p("__q"))).alias("score"))

@@ -1,40 +1,14 @@
-"""Generated data and checks of artifacts."""
+"""Checks of artifacts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import recall, simulate
-from tideline.operators import interactions as ix
 from tideline.registry import query
 from tideline.sources.adapters import catalog, table
 from tideline.sources.files import missing_keys
 
 
-@query()
-def generated_catalog(spark, d):
-    """As many items as there are parts."""
-    return simulate.catalog(spark, table(spark, d, "part").count())
-
-
-@query()
-def generated_impressions(spark, d):
-    """Impressions of as many users as there are customers over 500 generated items."""
-    return simulate.impressions(simulate.catalog(spark, 500), table(spark, d, "customer").count())
-
-
-@query()
-def position_bias(spark, d):
-    """Click rate by position of generated impressions: it falls, as the cascade makes it."""
-    imp = simulate.impressions(simulate.catalog(spark, 500), 300)
-    return imp.groupBy("rank_shown").agg(F.avg("clicked").alias("ctr"), F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def generated_covisit(spark, d):
-    return recall.covisitation(simulate.impressions(simulate.catalog(spark, 200), 300))
-
-
 @query()
 def artifact_checks(spark, d):
     """Rows of each artifact and how many of its keys do not fit the catalog."""
@@ -42,11 +16,3 @@ def artifact_checks(spark, d):
     sold = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item"))
     bad = missing_keys(sold, c, "item").filter("side = 'artifact'").agg(F.count(F.lit(1)).alias("unknown"))
     return sold.agg(F.count(F.lit(1)).alias("rows")).crossJoin(bad).withColumn("artifact", F.lit("lineitem"))
-
-
-@query()
-def user_taste(spark, d):
-    """Topics that generated users click, by share."""
-    imp = ix.clicks(simulate.impressions(simulate.catalog(spark, 300), 100))
-    j = imp.join(simulate.catalog(spark, 300).select("item", "topic"), "item")
-    return j.groupBy("user_id", "topic").agg(F.count(F.lit(1)).alias("n"))

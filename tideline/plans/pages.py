@@ -41,12 +41,14 @@ def page_candidates(spark: SparkSession, d: str) -> DataFrame:
     return j.select("user_id", "item", "base", "v", "category", (F.col("item") % 20).alias("channel"), (-F.log2(F.col("p") / F.col("t"))).alias("surprise"), draw.alias("draw"), "sources")
 
 
-@query(with_sql("RECURSIVE " + VEC.strip(), "c AS (SELECT p.p_partkey % 5 AS req, v.item, v.v, v.category, v.item % 20 AS ch, round((v.item * 37 % 101) / 101.0, 6) AS rel FROM (SELECT p_partkey FROM part WHERE p_partkey < 5) p, vec v WHERE v.item < 40 AND v.item % 5 >= p.p_partkey % 5 - 2)",
+@query(with_sql("RECURSIVE " + VEC.strip(), "c AS (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY req ORDER BY rel DESC, item) AS place FROM (SELECT p.p_partkey % 5 AS req, v.item, v.v, v.category, v.item % 20 AS ch, round((v.item * 37 % 101) / 101.0, 6) AS rel FROM (SELECT p_partkey FROM part WHERE p_partkey < 5) p, vec v WHERE v.item % 5 >= p.p_partkey % 5 - 2)) WHERE place <= 40)",
     "s AS (SELECT DISTINCT req, 0 AS k, [-1::BIGINT] AS picked FROM c UNION ALL SELECT req, k, picked FROM (SELECT s.req, s.k + 1 AS k, list_append(s.picked, c.item) AS picked, row_number() OVER (PARTITION BY s.req ORDER BY round(0.72 * c.rel - 0.28 * greatest(0, coalesce((SELECT max(0.75 * list_inner_product(b.v, c.v) + 0.25 * (b.category = c.category)::INT) FROM vec b WHERE list_contains(s.picked, b.item)), 0)), 9) DESC, c.rel DESC, c.item) AS n FROM s JOIN c ON c.req = s.req WHERE s.k < 6 AND NOT list_contains(s.picked, c.item) AND len(list_filter(s.picked[2:], lambda x: x % 20 = c.ch)) < 2) WHERE n = 1)",
     then="SELECT req, unnest(picked[2:]) AS item, generate_subscripts(picked[2:], 1)::INT - 1 AS position FROM s WHERE k = 6"))
 def mmr_page(spark, d):
     req = spark.range(5).select(F.col("id").alias("req"))
-    c = req.crossJoin(vectors(spark, d).filter("item < 40")).filter("item % 5 >= req - 2").select("req", "item", F.round((F.col("item") * 37 % 101) / 101.0, 6).alias("base"), "v", "category", (F.col("item") % 20).alias("channel"), F.lit(1.0).alias("surprise"), F.lit(0.5).alias("draw"))
+    best = Window.partitionBy("req").orderBy(F.desc("base"), "item")
+    c = vectors(spark, d).crossJoin(F.broadcast(req)).filter("item % 5 >= req - 2").select("req", "item", F.round((F.col("item") * 37 % 101) / 101.0, 6).alias("base"), "v", "category", (F.col("item") % 20).alias("channel"), F.lit(1.0).alias("surprise"), F.lit(0.5).alias("draw"))
+    c = c.withColumn("place", F.row_number().over(best)).filter("place <= 40").drop("place")
     return policy.page(c, "req", policy.Policy(k=6, slots=0)).select("req", "item", "position")
 
 

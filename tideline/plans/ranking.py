@@ -9,17 +9,14 @@ from tideline.functions.vectors import dot
 from tideline.operators import intent, metrics, ranking, recall
 from tideline.operators import interactions as ix
 from tideline.plans.relational import EHIST, HIST, STATS, stats
-from tideline.plans.retrieval import ECOV, PROFILE, profiles
+from tideline.plans.retrieval import ECOV, ESCORE, PROFILE, SEEN, profiles, reasons
 from tideline.registry import query
 from tideline.sources.adapters import CAT, EV, IMP, NOW, VEC, catalog, event_impressions, retail_impressions, table, vectors, with_sql
 
 
-@query(with_sql(EV, VEC, EHIST, then="SELECT h.user_id, c.item, round(max(round(list_inner_product(a.v, c.v), 9)), 6) AS sim FROM ehist h JOIN vec a ON a.item = h.item, vec c WHERE c.item < 20 GROUP BY ALL"))
+@query(with_sql(*ECOV, VEC, EHIST, ESCORE, SEEN, then="SELECT user_id, cand AS item, max(sim) AS sim FROM rs GROUP BY ALL"))
 def sim_max_hist(spark, d):
-    v = vectors(spark, d).select("item", "v")
-    h = ix.history(event_impressions(spark, d)).select("user_id", "item").distinct().join(v, "item").select("user_id", F.col("v").alias("h"))
-    c = h.crossJoin(F.broadcast(v.filter("item < 20")))
-    return c.groupBy("user_id", "item").agg(F.round(F.max(F.round(dot(F.col("h"), F.col("v")), 9)), 6).alias("sim"))
+    return reasons(spark, d).groupBy("user_id", F.col("cand").alias("item")).agg(F.max("sim").alias("sim"))
 
 
 DUR = "med AS (SELECT user_id, median(duration_seconds / 60.0) AS m, avg(ln(1 + view_count)) AS lv FROM hist JOIN cat ON item = video_id GROUP BY 1)"
@@ -124,16 +121,16 @@ def heads(spark: SparkSession, d: str) -> DataFrame:
     return event_impressions(spark, d).select("event_id", F.col("clicked").cast("double").alias("click"), w.alias("long_watch"), (w * w).alias("completion"), *[F.col(c).cast("double").alias(c) for c in ("liked", "satisfied", "dismissed")])
 
 
-@query(with_sql(EV, HEADS, then="SELECT event_id, round(1.0 * click + 0.6 * long_watch + 0.4 * completion + 2.0 * liked + 0.9 * satisfied - 0.8 * dismissed, 6) AS score FROM h"))
+@query(with_sql(EV, HEADS, then="SELECT event_id, round(0.10 * click + 0.25 * long_watch + 0.15 * completion + 2.0 * liked + 0.40 * satisfied - 0.20 * dismissed, 6) AS score FROM h"))
 def multi_objective(spark, d):
     return heads(spark, d).select("event_id", F.round(ranking.value_score({"liked": 2.0}), 6).alias("score"))
 
 
-@query(with_sql(EV, HEADS, then="SELECT event_id, task, round(v, 4) AS part FROM (SELECT event_id, unnest(['click', 'long_watch', 'completion', 'liked', 'satisfied', 'dismissed']) AS task, unnest([click, 0.6 * long_watch, 0.4 * completion, 0.5 * liked, 0.9 * satisfied, -0.8 * dismissed]) AS v FROM h WHERE event_id % 10 = 0)"))
+@query(with_sql(EV, HEADS, then="SELECT event_id, task, round(v, 6) AS part FROM (SELECT event_id, unnest(['click', 'long_watch', 'completion', 'liked', 'satisfied', 'dismissed']) AS task, unnest([0.10 * click, 0.25 * long_watch, 0.15 * completion, 0.15 * liked, 0.40 * satisfied, -0.20 * dismissed]) AS v FROM h)"))
 def objective_breakdown(spark, d):
-    h = heads(spark, d).filter("event_id % 10 = 0")
+    h = heads(spark, d)
     w = F.create_map(*[F.lit(x) for kv in ranking.DEFAULT_WEIGHTS.items() for x in kv])
-    return h.unpivot(["event_id"], ranking.TASKS, "task", "v").select("event_id", "task", F.round(F.element_at(w, F.col("task")) * F.col("v"), 4).alias("part"))
+    return h.unpivot(["event_id"], ranking.TASKS, "task", "v").select("event_id", "task", F.round(F.element_at(w, F.col("task")) * F.col("v"), 6).alias("part"))
 
 
 @query("SELECT p_partkey, round(coalesce(CASE WHEN p_size % 3 > 0 THEN p_retailprice / 1000 END, 1.0 / (60 + p_size)), 6) AS score FROM part")
@@ -203,7 +200,7 @@ def multitask_heads(spark, d):
     """Each head's AUC on the last fifth of time."""
     f = ix.temporal_split(features(spark, d)).select("*", *[c for c in ranking.task_labels() if c._jc.toString() not in ("liked", "satisfied", "dismissed")]).cache()
     out = None
-    for task, model in ranking.fit_heads(f.filter("is_train"), FEATURES[:6]).items():
+    for task, model in ranking.fit_heads(f.filter("is_train"), FEATURES).items():
         a = metrics.auc(model(f.filter("not is_train")), "probability", task).withColumn("task", F.lit(task))
         out = a if out is None else out.unionByName(a)
     return out

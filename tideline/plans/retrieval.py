@@ -27,11 +27,11 @@ def covisit_topk(spark, d):
     return recall.covisitation(retail_impressions(spark, d)).select("item", "neighbour", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(with_sql(*ECOV, then="SELECT item, neighbour, round(score, 6) AS score FROM nbr WHERE item < 5 AND rank <= 12 AND neighbour >= 10"))
+@query(with_sql(*ECOV, then="SELECT item, neighbour, round(score, 6) AS score FROM nbr WHERE rank <= 12 AND neighbour >= 10"))
 def covisit_similar(spark, d):
     near = recall.covisitation(event_impressions(spark, d))
     seen = spark.range(10).select(F.col("id").alias("neighbour"))
-    return near.filter("item < 5 and rank <= 12").join(seen, "neighbour", "left_anti").select("item", "neighbour", F.round("score", 6).alias("score"))
+    return near.filter("rank <= 12").join(seen, "neighbour", "left_anti").select("item", "neighbour", F.round("score", 6).alias("score"))
 
 
 RSCORE = "sc AS (SELECT h.user_id, n.neighbour AS item, sum(n.score * h.decayed) AS score FROM hist h JOIN nbr n ON h.item = n.item GROUP BY ALL)"
@@ -58,11 +58,11 @@ def covisit_pool(spark, d):
     return recall.covisit_scores(ix.history(ev), recall.covisitation(ev).filter("rank <= 60"), exclude=False).select("user_id", "item", F.round("score", 6).alias("mass"))
 
 
-@query(with_sql(VEC, "q AS (SELECT item AS query, v AS q FROM vec WHERE item % 50 = 0)", "x AS (SELECT query, item, list_inner_product(q, v) AS score FROM q, vec WHERE item <> query)", then="SELECT query, item, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, item) AS rank FROM x) WHERE rank <= 10"))
+@query(with_sql(VEC, "q AS (SELECT item AS query, v AS q FROM vec WHERE item % 100 = 0)", "x AS (SELECT query, item, list_inner_product(q, v) AS score FROM q, vec WHERE item <> query)", then="SELECT query, item, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, item) AS rank FROM x) WHERE rank <= 10"))
 def vector_topk(spark, d):
     v = vectors(spark, d)
-    queries = v.filter("item % 50 = 0").select(F.col("item").alias("query"), F.col("v").alias("q"))
-    out = recall.top_by(recall.vector_scores(queries, v).filter("item <> query"), "query", 10)
+    queries = v.filter("item % 100 = 0").select(F.col("item").alias("query"), F.col("v").alias("q"))
+    out = recall.top_by(recall.blocked_topk(queries, v, "query", 11).filter("item <> query"), "query", 10)
     return out.select("query", "item", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -90,24 +90,38 @@ def taste_profile(spark, d):
     return profiles(spark, d).select("user_id", F.round(F.col("q")[0], 6).alias("q1"), F.round(F.col("q")[63], 6).alias("q64"))
 
 
-@query(with_sql(EV, VEC, EHIST, PROFILE, "near AS (SELECT user_id, item, list_inner_product(q, v) AS score FROM prof, vec WHERE item < 100)", "last AS (SELECT h.user_id, b.item, 0.85 * list_inner_product(a.v, b.v) AS score FROM ehist h JOIN vec a ON a.item = h.item, vec b WHERE pos_back = 0 AND b.item < 100 AND b.item <> h.item)",
+@query(with_sql(EV, VEC, EHIST, PROFILE, "near AS (SELECT user_id, item, list_inner_product(q, v) AS score FROM prof, vec)", "last AS (SELECT h.user_id, b.item, 0.85 * list_inner_product(a.v, b.v) AS score FROM ehist h JOIN vec a ON a.item = h.item, vec b WHERE pos_back = 0 AND b.item <> h.item)",
     "u AS (SELECT user_id, item, max(score) AS score FROM (SELECT * FROM near UNION ALL SELECT * FROM last) WHERE (user_id, item) NOT IN (SELECT (user_id, item) FROM ehist) GROUP BY ALL)", then="SELECT user_id, item, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, item) AS rank FROM u) WHERE rank <= 10"))
 def content_history(spark, d):
     h = ix.history(event_impressions(spark, d))
-    items = vectors(spark, d).filter("item < 100").select("item", "v")
-    near = profiles(spark, d).crossJoin(F.broadcast(items)).select("user_id", "item", dot(F.col("q"), F.col("v")).alias("score"))
-    recent = h.filter("pos_back = 0").join(items, "item").select("user_id", F.col("item").alias("seed"), F.col("v").alias("q"))
-    last = recent.crossJoin(F.broadcast(items)).filter("item <> seed").select("user_id", "item", (0.85 * dot(F.col("q"), F.col("v"))).alias("score"))
+    items = vectors(spark, d).select("item", "v")
+    seen = h.groupBy("user_id").agg((F.countDistinct("item") + 10).alias("need"))
+    near = recall.blocked_topk(profiles(spark, d).join(seen, "user_id"), items, "user_id", F.col("need"))
+    recent = h.filter("pos_back = 0").join(items, "item").select("user_id", F.transform("v", lambda x: 0.85 * x).alias("q")).join(seen, "user_id")
+    last = recall.blocked_topk(recent, items, "user_id", F.col("need"))
     best = near.unionByName(last).groupBy("user_id", "item").agg(F.max("score").alias("score")).join(h, ["user_id", "item"], "left_anti")
     return recall.top_by(best, "user_id", 10).select("user_id", "item", F.round("score", 6).alias("score"))
 
 
-@query(with_sql(EV, VEC, EHIST, "c AS (SELECT DISTINCT h.user_id, h.item AS hist_item, v.item AS cand, round(list_inner_product(a.v, v.v), 6) AS sim FROM ehist h JOIN vec a ON a.item = h.item, vec v WHERE v.item < 20)", then="SELECT user_id, cand, hist_item, sim FROM (SELECT *, row_number() OVER (PARTITION BY user_id, cand ORDER BY sim DESC, hist_item) AS n FROM c) WHERE n = 1"))
+ESCORE = RSCORE.replace("FROM hist", "FROM ehist")
+SEEN = """
+rc AS (SELECT user_id, item FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, item) AS n FROM sc WHERE (user_id, item) NOT IN (SELECT (user_id, item) FROM ehist)) WHERE n <= 10),
+rs AS (SELECT DISTINCT h.user_id, h.item AS hist_item, c.item AS cand, round(list_inner_product(a.v, c.v), 6) AS sim FROM rc JOIN ehist h USING (user_id) JOIN vec a ON a.item = h.item JOIN vec c ON c.item = rc.item)
+"""
+
+
+def reasons(spark: SparkSession, d: str) -> DataFrame:
+    """(user_id, cand, hist_item, sim): every user's ten recommendations by co-visitation beside each item of the user's history."""
+    ev = event_impressions(spark, d)
+    h, v = ix.history(ev), vectors(spark, d).select("item", "v")
+    rec = recall.top_by(recall.covisit_scores(h, recall.covisitation(ev)), "user_id", 10).select("user_id", "item").join(v, "item").select("user_id", F.col("item").alias("cand"), "v")
+    seen = h.select("user_id", "item").distinct().join(v, "item").select("user_id", F.col("item").alias("hist_item"), F.col("v").alias("h"))
+    return rec.join(seen, "user_id").select("user_id", "cand", "hist_item", F.round(dot(F.col("h"), F.col("v")), 6).alias("sim"))
+
+
+@query(with_sql(*ECOV, VEC, EHIST, ESCORE, SEEN, then="SELECT user_id, cand, hist_item, sim FROM (SELECT *, row_number() OVER (PARTITION BY user_id, cand ORDER BY sim DESC, hist_item) AS n FROM rs) WHERE n = 1"))
 def nearest_reason(spark, d):
-    v = vectors(spark, d).select("item", "v")
-    h = ix.history(event_impressions(spark, d)).select("user_id", "item").distinct().join(v, "item").select("user_id", F.col("item").alias("hist_item"), F.col("v").alias("h"))
-    c = h.crossJoin(F.broadcast(v.filter("item < 20").select(F.col("item").alias("cand"), "v"))).withColumn("sim", F.round(dot(F.col("h"), F.col("v")), 6))
-    best = c.groupBy("user_id", "cand").agg(F.max(F.struct("sim", (-F.col("hist_item")).alias("m"))).alias("b"))
+    best = reasons(spark, d).groupBy("user_id", "cand").agg(F.max(F.struct("sim", (-F.col("hist_item")).alias("m"))).alias("b"))
     return best.select("user_id", "cand", (-F.col("b.m")).alias("hist_item"), F.col("b.sim").alias("sim"))
 
 
@@ -133,9 +147,9 @@ def affinity(spark: SparkSession, d: str, by: str) -> DataFrame:
     return h.groupBy("user_id", by).agg(F.sum("decayed").alias("affinity"))
 
 
-@query(with_sql(IMP, CAT, NOW, STATS, HIST, AFF, "c AS (SELECT a.user_id, video_id AS item, affinity * (1 + 0.15 * ln(1 + log_views * (1 + 1.5 * engagement_rate))) AS score FROM aff a JOIN stats USING (channel_id) WHERE user_id < 40)", then="SELECT user_id, item, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, item) AS n FROM c WHERE (user_id, item) NOT IN (SELECT (user_id, item) FROM hist)) WHERE n <= 20"))
+@query(with_sql(IMP, CAT, NOW, STATS, HIST, AFF, "c AS (SELECT a.user_id, video_id AS item, affinity * (1 + 0.15 * ln(1 + log_views * (1 + 1.5 * engagement_rate))) AS score FROM aff a JOIN stats USING (channel_id) )", then="SELECT user_id, item, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, item) AS n FROM c WHERE (user_id, item) NOT IN (SELECT (user_id, item) FROM hist)) WHERE n <= 20"))
 def channel_recall(spark, d):
-    a = affinity(spark, d, "channel_id").filter("user_id < 40")
+    a = affinity(spark, d, "channel_id")
     scored = recall.channel_scores(a, stats(spark, d), cat.popular_score())
     fresh = scored.join(ix.history(retail_impressions(spark, d)), ["user_id", "item"], "left_anti")
     return recall.top_by(fresh, "user_id", 20).select("user_id", "item", F.round("score", 6).alias("score"))
@@ -210,19 +224,21 @@ def als_rmse(spark, d):
 @query()
 def als_foldin(spark, d):
     ui, _, items = _als(spark, d)
-    return recall.ImplicitALS(factors=8).fold_in(ui.filter("user_id % 3 = 0"), items)
+    return recall.ImplicitALS(factors=8).fold_in(ui, items)
 
 
 @query()
 def als_recommend(spark, d):
     ui, users, items = _als(spark, d)
-    scored = users.select(F.col("id").alias("user_id"), F.col("y").alias("q")).crossJoin(items.select(F.col("id").alias("item"), F.col("y").alias("v"))).select("user_id", "item", dot(F.col("q"), F.col("v")).alias("score"))
+    need = ui.groupBy(F.col("user_id").alias("id")).agg((F.count(F.lit(1)) + 10).alias("need"))
+    asked = users.join(need, "id").select(F.col("id").alias("user_id"), F.col("y").alias("q"), "need")
+    scored = recall.blocked_topk(asked, items.select(F.col("id").alias("item"), F.col("y").alias("v")), "user_id", F.col("need"))
     return recall.top_by(scored.join(ui, ["user_id", "item"], "left_anti"), "user_id", 10)
 
 
 @query()
 def als_similar(spark, d):
     _, _, items = _als(spark, d)
-    q = items.filter("id < 10").select(F.col("id").alias("query"), F.col("y").alias("q"))
-    scored = items.select(F.col("id").alias("item"), F.col("y").alias("v")).crossJoin(F.broadcast(q)).filter("item <> query").select("query", "item", cosine(F.col("q"), F.col("v")).alias("score"))
-    return recall.top_by(scored, "query", 10)
+    q = items.filter("id % 100 = 0").select(F.col("id").alias("query"), l2(F.col("y")).alias("q"))
+    scored = recall.blocked_topk(q, items.select(F.col("id").alias("item"), l2(F.col("y")).alias("v")), "query", 11)
+    return recall.top_by(scored.filter("item <> query"), "query", 10)
