@@ -76,7 +76,7 @@ def test_blocks_shared_with_unrelated_texts_and_two_families(spark, monkeypatch)
     one, two = make(rnd, 300), make(rnd, 300)
     # two interleaved families whose copies are like their base but seldom like each other, and unrelated texts
     texts = [" ".join(one), " ".join(two)] + [" ".join(edited(rnd, base, 6)) for _ in range(30) for base in (one, two)] + [" ".join(make(rnd, 300)) for _ in range(40)]
-    monkeypatch.setattr(simhash, "block_keys", lambda m: np.ones((len(m), simhash.BLOCKS), np.int64))  # one block, over CROWD, for all
+    monkeypatch.setattr(simhash, "block_keys", lambda m: np.ones((len(m), 1), np.int64))  # one block, over CROWD, for all
     got = groups(spark, texts)
     sets = [shingle_set(t) for t in texts]
     want = closure(len(texts), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)

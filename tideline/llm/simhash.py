@@ -16,7 +16,7 @@ component's are null. Texts without words have fingerprint zero and link like an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -196,12 +196,12 @@ def block_keys(m: np.ndarray, chunk: int = 128) -> np.ndarray:
     return out.view(np.int64)
 
 
-def wide_fingerprints(texts: pd.Series, shingle_words: int, least: int) -> pd.DataFrame:
+def wide_fingerprints(texts: pd.Series, shingle_words: int, least: int, blocks: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
     """fp (id of the shingle set), n (its size), bits, keys of each text; sets of fewer than ``least`` shingles get no keys."""
     made = [wide_majorities(t, shingle_words) for t in texts]
     m = np.array([x[0] for x in made]).reshape(-1, WIDE)
     n = np.array([x[1] for x in made], np.int64)
-    keys, none = block_keys(m), np.zeros(0, np.int64)
+    keys, none = blocks(m), np.zeros(0, np.int64)
     bits = np.packbits(m > 0, axis=1, bitorder="little").view("<i8")
     return pd.DataFrame({"fp": [x[2] for x in made], "n": n, "bits": list(bits), "keys": [k if s >= least else none for k, s in zip(keys, n, strict=True)]}, index=texts.index)
 
@@ -318,7 +318,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     @F.pandas_udf("fp long, n int, bits array<long>, keys array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield wide_fingerprints(texts, shingle_words, least)
+            yield wide_fingerprints(texts, shingle_words, least, block_keys)
 
     body = docs[text].cast("string")
     marked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("th"), run(body).alias("w")).withColumn("row", F.monotonically_increasing_id())
