@@ -202,29 +202,6 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return pickle.loads(packed[0].model) if packed else train([], [])
 
 
-def score(self, text: str | None) -> float:
-        m = self.model
-        if m.bucket_logit is None:
-            return m.prior if m.prior == 1.0 else min(m.prior, 0.49)
-        tokens = subwords.words(text)
-        if not tokens:
-            return min(m.prior, 0.49)
-        self.words.room()
-        at = self.words.ids(tokens)
-        z = _window_logits(self.words.rows[at, 0], m.bias).max()
-        return float(_probability(m.slope * z + m.offset))
-
-
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 6000, *where: Column) -> Model:
-    """Train on at most ``max_rows`` labelled rows of ``docs``; ``where`` are conditions on ``labels``."""
-    ids = bounded_ids(labels.filter(F.col(label).isNotNull()), doc_id, max_rows, *where)
-    known = labels.join(F.broadcast(ids), doc_id).groupBy(doc_id).agg(F.max(label).alias("__y"))
-    rows = docs.select(doc_id, F.col(text).alias("__text")).join(F.broadcast(known), doc_id).select("__text", "__y", doc_id)
-    rows = rows.orderBy(F.xxhash64(F.col(doc_id).cast("string"), "__text")).limit(max_rows).toPandas()  # ids may repeat
-    rows = rows.sort_values([doc_id, "__text"], na_position="last")
-    return train(rows["__text"].tolist(), [int(v > 0) for v in rows["__y"]])
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with a double column ``column``."""
     ship(docs.sparkSession)
