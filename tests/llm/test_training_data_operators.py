@@ -188,6 +188,17 @@ def test_decontamination_against_brute_force(spark, docs):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in got) == brute_hits(rows_of(docs), items)
 
 
+def test_decontamination_in_pieces(spark, docs, monkeypatch):
+    """A prefix word as common as can be, its places dealt out one by one."""
+    monkeypatch.setattr(decontaminate, "PLACES", 2)
+    rows = [(i, "so so so on and so on") for i in range(30)] + [(30, "and so it goes"), (None, "so"), (30, "and so it goes")]
+    items = [("a", "so"), ("b", "so on"), ("c", "on and so"), (None, "goes")]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    want = brute_hits(rows, [x for x in items if x[0]])
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, ",".join(r["items"]), r.contaminated) for r in got) == [(a, b, n, ids, c) for a, b, n, _, ids, c in want]
+    assert {r.n_hit for r in got if r.doc_id == 30} == {2}  # a null id counts as a hit but not as an item
+
+
 def test_decontamination_empty(spark, docs, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(docs, items).filter("contaminated").count() == 0

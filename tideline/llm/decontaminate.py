@@ -13,7 +13,6 @@ each get their own result row; repeated or null item_ids are taken as they come
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,9 @@ from tideline.llm.common import ascii_lower, cut, text_of
 #: Everything that ends a word.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: The commonest prefix word's places are dealt out in pieces of about so many, up to so many pieces; each window goes to all pieces of its word.
+PLACES, MOST_PIECES = 10_000, 256
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), GAP), lambda w: w != "")
@@ -35,15 +37,20 @@ def _windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFram
 
 
 class _BitSet:
-    """A literal bit set over word hashes; it lets some others pass, which the join removes."""
+    """A literal bit set over the column ``h`` of ``df``; it lets some others pass, which the join removes.
+
+    The bits are set by an aggregate, so the driver gets at most ``max_bits / 64`` longs however many words the benchmark has.
+    """
 
-    def __init__(self, hashes: np.ndarray, max_bits: int = 1 << 21):
-        n = 1 << 12
-        while n < 64 * len(hashes) and n < max_bits:
+    def __init__(self, df: DataFrame, max_bits: int = 1 << 21):
+        most, n = 64 * df.select("h").distinct().count(), 1 << 12
+        while n < most and n < max_bits:
             n <<= 1
-        bits = np.zeros(n, np.uint8)
-        bits[np.mod(hashes, n)] = 1
-        self.n, self.longs = n, np.packbits(bits, bitorder="little").view("<i8").tolist()
+        at = F.col("h").bitwiseAND(F.lit(n - 1))
+        words = df.groupBy(F.shiftright(at, 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+        self.n, self.longs = n, [0] * (n // 64)
+        for r in words.collect():
+            self.longs[r.i] = r.bits
 
     def has(self, h: Column) -> Column:
         at = h.bitwiseAND(F.lit(self.n - 1))
@@ -55,7 +62,7 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str
     """(__id, __th, item_id, start, len): each occurrence of a window, positions from 0."""
     wins = cut(_windows(items, item_id, item_text, window))
     vocabulary = cut(wins.select(F.explode("w").alias("t")).distinct().withColumn("h", F.xxhash64("t")))
-    known = _BitSet(_hashes(vocabulary))
+    known = _BitSet(vocabulary)
     body = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(text_of(docs, text)).alias("__th"), words(text_of(docs, text)).alias("ws"))
 
     seen = body.select(F.explode(F.filter(F.transform("ws", lambda x: F.xxhash64(x)), known.has)).alias("h"))
@@ -64,24 +71,22 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str
 
     placed = wins.select("item_id", "w", F.posexplode("w").alias("o", "t")).join(counts, "t")
     rarest = placed.groupBy("item_id", "w").agg(F.min(F.struct("n", "h", "o", "t")).alias("r"))
-    prefix = cut(rarest.select("item_id", "w", F.size("w").alias("len"), F.col("r.t").alias("t"), F.col("r.h").alias("h"), F.col("r.o").alias("o")))
-    necessary = _BitSet(_hashes(prefix))
+    prefix = cut(rarest.select("item_id", "w", F.size("w").alias("len"), F.col("r.t").alias("t"), F.col("r.h").alias("h"), F.col("r.o").alias("o"), F.col("r.n").alias("n")))
+    necessary = _BitSet(prefix)
 
     reach = 2 * window - 1
     spots = F.filter(F.transform("ws", lambda x, i: F.when(necessary.has(F.xxhash64(x)), i)), lambda i: i.isNotNull())
     near = body.select("__id", "__th", F.explode(F.transform(spots, lambda i: F.struct(i.alias("p"), F.get(F.col("ws"), i).alias("t"), F.greatest(i - window + 1, F.lit(0)).alias("from"), F.slice(F.col("ws"), F.greatest(i - window + 2, F.lit(1)), reach).alias("around")))).alias("x")).select("__id", "__th", "x.*")
-    found = near.join(prefix, "t")
+    pieces = prefix.agg(F.max("n")).first()[0] or 0
+    pieces = min(pieces // PLACES + 1, MOST_PIECES)
+    salt = F.pmod(F.xxhash64("__id", "__th", "p"), F.lit(pieces)).cast("int").alias("s")
+    found = near.select("*", salt).join(prefix.drop("n").select("*", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("s")), ["t", "s"])
     first = F.col("p") - F.col("o")
     room = (first >= F.col("from")) & (first - F.col("from") + F.col("len") <= F.size("around"))
     same = F.slice(F.col("around"), F.when(room, first - F.col("from") + 1).otherwise(1), F.col("len")) == F.col("w")
     return found.filter(room & same).select("__id", "__th", "item_id", first.alias("start"), "len")
 
 
-def _hashes(df: DataFrame) -> np.ndarray:
-    """The hashes of benchmark words: bounded by the benchmark, which is small by nature; they fill a bit set of fixed size."""
-    return np.array([r.h for r in df.select("h").distinct().toLocalIterator()], np.int64)
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """One row per row of ``docs``: doc_id, __th (hash of the text), n_words, n_hit, n_items, items (sorted ids), contaminated."""
     found = cut(hits(docs, items, doc_id, text, item_id, item_text, window).distinct())
