@@ -309,6 +309,16 @@ def test_bpe_equals_the_library(docs, tokenizer):
         assert r["ids"] == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_frequent_words(spark, docs, empty, tokenizer):
+    """Ties are told apart by the word; fewer words than asked for are all of them."""
+    spec = bpe.Spec(open(tokenizer[0], encoding="utf-8").read())
+    counts = {"ant": 3, "bee": 3, "cat": 2, "dog": 2, "elk": 2, "fox": 1}
+    texts = spark.createDataFrame([(" ".join(k for k, n in counts.items() if n > i),) for i in range(3)], "text string")
+    for most in range(1, 9):
+        assert bpe.frequent_words(texts, spec, most) == sorted(sorted(counts, key=lambda w: (-counts[w], w))[:most])
+    assert bpe.frequent_words(empty, spec, 5) == []
+
+
 def test_bpe_digests(docs, empty, tokenizer):
     path, library = tokenizer
     for r in bpe.digests(docs, path).collect():

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.ship import ship
-from tideline.llm.common import text_of
+from tideline.llm.common import text_of, written
 
 #: Unicode's White_Space property.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -260,9 +260,18 @@ def _encoder(source: str, file: bytes) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, spec: Spec, most: int, text: str = "text") -> list[str]:
-    """The ``most`` most frequent runs of letters, counted over all documents, by count and then by word."""
+    """The ``most`` most frequent runs of letters, counted over all documents, by count and then by word.
+
+    The least count that is needed comes from a histogram of the counts, so only words at or above it are sorted out.
+    """
     found = docs.select(F.explode(F.regexp_extract_all(F.lower(text_of(docs, text)), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    top = found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most)
+    found = written(found.groupBy("w").count(), "words")
+    least, sofar = 1, 0
+    for r in found.groupBy("count").agg(F.count("w").alias("n")).orderBy(F.desc("count")).limit(most).toLocalIterator():
+        least, sofar = r["count"], sofar + r.n
+        if sofar >= most:
+            break
+    top = found.filter(F.col("count") >= least).orderBy(F.desc("count"), "w").limit(most)
     return sorted({w for r in top.toLocalIterator() for c in spec.chunks(r.w) for w in spec.words.findall(c)})
 
 
