@@ -54,7 +54,7 @@ class _BitSet:
 
     def has(self, h: Column) -> Column:
         at = h.bitwiseAND(F.lit(self.n - 1))
-        word = F.get(F.lit(self.longs), F.shiftright(at, 6).cast("int"))
+        word = F.get(F.lit(self.longs).cast("array<bigint>"), F.shiftright(at, 6).cast("int"))
         return F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 

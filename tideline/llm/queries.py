@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, cws, decontaminate, language, licenses, lines, simhash, toxicity, urls, warc
+from tideline.llm import bpe, cws, decontaminate, language, licenses, lines, merkle, simhash, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,11 +78,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(part(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = merkle.manifest(docs, claimed={"n_chars": F.try_add("n_chars", F.lit(1))}, where=part(7) == 0)
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_document_fingerprints, op3_license_scans, op4_simhash_near_dedup, op5_warc, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_bpe, op10_toxicity)
+    for f in (op1_url_filters, op2_document_fingerprints, op3_license_scans, op4_simhash_near_dedup, op5_warc, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_bpe, op10_toxicity, op13_merkle_manifest)
 }
 
+#: CRC-32 of a key's decimal form, bit by bit: every byte is followed by seven empty ones.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, e: xor(xor(a, e) >> 1, (xor(a, e) & 1) * 3988292384)), 4294967295)"""
+
 OP5_SQL = """
 WITH p AS (SELECT row_number() OVER () AS r, page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT r, page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest FROM p),
@@ -115,4 +125,36 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce
 FROM dw LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 """
 
-ORACLE_SQL = {"op5_warc": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL}
+OP13_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS own, [doc_id::VARCHAR, source, lang, (n_chars + 1)::VARCHAR, text] AS other FROM documents),
+h AS (SELECT r, doc_id, coalesce('=' || lang, '') AS tree,
+  sha256(list_aggregate(list_transform(own, lambda s: coalesce(strlen(s) || ':' || s, '-')), 'string_agg', '')) AS leaf,
+  sha256(list_aggregate(list_transform(other, lambda s: coalesce(strlen(s) || ':' || s, '-')), 'string_agg', '')) AS other FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM h),
+low(tree, lvl, pos, n, d) AS (
+  SELECT tree, 0, pos, n, leaf FROM p
+  UNION ALL
+  SELECT a.tree, a.lvl + 1, a.pos // 2, (a.n + 1) // 2, sha256(a.d || coalesce(b.d, '')) FROM low a LEFT JOIN low b ON b.tree = a.tree AND b.pos = a.pos + 1 WHERE a.n > 1 AND a.pos % 2 = 0),
+sub AS (SELECT tree, lvl AS depth, d, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high(lvl, pos, n, d) AS (
+  SELECT 0, pos, n, d FROM sub
+  UNION ALL
+  SELECT a.lvl + 1, a.pos // 2, (a.n + 1) // 2, sha256(a.d || coalesce(b.d, '')) FROM high a LEFT JOIN high b ON b.pos = a.pos + 1 WHERE a.n > 1 AND a.pos % 2 = 0),
+steps AS (
+  SELECT p.r, l.lvl, coalesce(s.d, '') AS d, (p.pos >> l.lvl) % 2 AS odd FROM p JOIN low l ON l.tree = p.tree AND l.pos = p.pos >> l.lvl AND l.n > 1
+  LEFT JOIN low s ON s.tree = l.tree AND s.lvl = l.lvl AND s.pos = xor(l.pos, 1)
+  UNION ALL
+  SELECT p.r, sub.depth + l.lvl, coalesce(s.d, ''), (sub.pos >> l.lvl) % 2 FROM p JOIN sub USING (tree) JOIN high l ON l.pos = sub.pos >> l.lvl AND l.n > 1
+  LEFT JOIN high s ON s.lvl = l.lvl AND s.pos = xor(l.pos, 1)),
+proofs AS (SELECT r, list({'d': d, 'odd': odd} ORDER BY lvl) AS path, string_agg(d, '' ORDER BY lvl) AS proof FROM steps GROUP BY r),
+fold(r, i, d) AS (
+  SELECT r, 0, CASE WHEN (@CRC@) % 7 = 0 THEN other ELSE leaf END FROM p
+  UNION ALL
+  SELECT fold.r, i + 1, sha256(CASE WHEN path[i + 1].odd = 1 THEN path[i + 1].d || fold.d ELSE fold.d || path[i + 1].d END) FROM fold JOIN proofs ON proofs.r = fold.r WHERE i < len(path)),
+done AS (SELECT r, arg_max(d, i) AS folded_root FROM fold GROUP BY r)
+SELECT p.doc_id, p.leaf, sub.d AS subroot, root.d AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root.d AS verified
+FROM p JOIN sub USING (tree) JOIN (SELECT d FROM high WHERE n = 1) root ON true LEFT JOIN proofs USING (r) JOIN done USING (r)
+""".replace("@CRC@", CRC_SQL)
+
+ORACLE_SQL = {"op13_merkle_manifest": OP13_SQL, "op5_warc": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL}
