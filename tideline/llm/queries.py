@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, cws, decontaminate, language, licenses, lines, merkle, simhash, toxicity, urls, warc
+from tideline.llm import align, bpe, cws, decontaminate, language, licenses, lines, merkle, simhash, toxicity, urls, warc
+from tideline.llm.common import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +22,10 @@ def part(mod: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(part(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    out = align.counted(written(aligned.withColumn("groups", digest), "aligned"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = merkle.manifest(docs, claimed={"n_chars": F.try_add("n_chars", F.lit(1))}, where=part(7) == 0)
@@ -86,7 +94,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_document_fingerprints, op3_license_scans, op4_simhash_near_dedup, op5_warc, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_bpe, op10_toxicity, op13_merkle_manifest)
+    for f in (op1_url_filters, op2_document_fingerprints, op3_license_scans, op4_simhash_near_dedup, op5_warc, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_bpe, op10_toxicity, op11_tokenizer_alignment, op13_merkle_manifest)
 }
 
 #: CRC-32 of a key's decimal form, bit by bit: every byte is followed by seven empty ones.
