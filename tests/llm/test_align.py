@@ -52,13 +52,11 @@ def brute(all_texts):
 
 
 @pytest.mark.parametrize("chunk", [3, 400_000])
-def test_equal_to_plain_loops(spark, tmp_path, monkeypatch, chunk):
-    monkeypatch.setattr(align, "CHUNK_LINKS", chunk)
-    monkeypatch.setattr(align, "AT_ONCE", 500)
+def test_equal_to_plain_loops(spark, tmp_path, chunk):
     all_texts = texts(chunk)
     all_texts += all_texts[20:24]
     docs = spark.createDataFrame([(i if i % 9 else None, t, i) for i, t in enumerate(all_texts)], "doc_id long, text string, n_a int").repartition(3)
-    align.align(docs, A, B).write.parquet(str(tmp_path / "a"))
+    align.align(docs, A, B, at_once=500, chunk_links=chunk).write.parquet(str(tmp_path / "a"))
     got = align.counted(spark.read.parquet(str(tmp_path / "a"))).collect()
     want = [(i if i % 9 else None, *x) for i, x in enumerate(brute(all_texts))]
     assert sorted(((r.doc_id, r.n_a, r.n_b, r.n_groups, r.groups, r.n_links, r.n_best, r.count_sum) for r in got), key=str) == sorted(want, key=str)

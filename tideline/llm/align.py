@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from tideline.functions.ship import ship
 from tideline.llm.bpe import byte_letters
-from tideline.llm.common import written
+from tideline.llm.common import pack, unpack, written
 
 # Fixed value: how byte-level BPE cuts a text into words before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bytes of text that are aligned at once, and links of a chunk.
-AT_ONCE, CHUNK_LINKS = 1 << 21, 400_000
+AT_ONCE, CHUNK_LINKS = 1 << 19, 400_000
 PAIR = 32
 
 
@@ -132,13 +132,13 @@ class Aligner:
         groups = np.searchsorted(cuts, ends[0][np.cumsum(n[0]) - 1], side="right")
         begin = first = 0
         for k, i in enumerate(at):
-            out[i] = int(n[0][k]), int(n[1][k]), int(groups[k] - first), "".join(strings[begin : stops[k]])[:-1], links[first : groups[k]].tobytes()
+            out[i] = int(n[0][k]), int(n[1][k]), int(groups[k] - first), "".join(strings[begin : stops[k]])[:-1], pack(links[first : groups[k]])
             begin, first = stops[k], groups[k]
         return out
 
 
-def align(docs: DataFrame, a_json: str, b_model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_a, n_b, n_groups, groups, links, chunk) of every row; ``groups`` is like ``a1,a2|b1;a3|b2,b3`` and ``links`` has eight bytes a link, for ``counted``."""
+def align(docs: DataFrame, a_json: str, b_model: str, key: str = "doc_id", text: str = "text", at_once: int = AT_ONCE, chunk_links: int = CHUNK_LINKS) -> DataFrame:
+    """(key, n_a, n_b, n_groups, groups, links, chunk) of every row; ``groups`` is like ``a1,a2|b1;a3|b2,b3`` and ``links`` has packed pairs of ids, for ``counted``."""
     ship(docs.sparkSession)
     with open(a_json, encoding="utf-8") as f, open(b_model, "rb") as g:
         shared = docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))
@@ -148,10 +148,10 @@ def align(docs: DataFrame, a_json: str, b_model: str, key: str = "doc_id", text:
         aligner, chunk, held = Aligner(ByteLevel(shared.value[0]), Pieces(shared.value[1])), TaskContext.get().partitionId() << 33, 0
         for batch in batches:
             size = batch["text"].str.len().fillna(0).cumsum()
-            for _, part in batch.groupby((size // AT_ONCE).astype("int64").to_numpy(), sort=False):
+            for _, part in batch.groupby((size // at_once).astype("int64").to_numpy(), sort=False):
                 rows = [(k, *x, chunk) for k, x in zip(part["key"], aligner.align(part["text"].tolist()), strict=True)]
                 held += sum(r[3] for r in rows)
-                if held >= CHUNK_LINKS:
+                if held >= chunk_links:
                     chunk, held = chunk + 1, 0
                 out = pd.DataFrame(rows, columns=columns, index=part.index)
                 yield out.assign(key=part["key"])
@@ -160,10 +160,14 @@ def align(docs: DataFrame, a_json: str, b_model: str, key: str = "doc_id", text:
     return docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInPandas(run, f"key {kind}, n_a long, n_b long, n_groups long, groups string, links binary, chunk long").withColumnRenamed("key", key)
 
 
+def _flat(links: pd.Series) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[unpack(x) for x in links if x]])
+
+
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for chunk, links in batch.groupby("chunk", sort=False)["links"]:
-            pairs, n = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
+            pairs, n = np.unique(_flat(links), return_counts=True)
             yield pd.DataFrame({"chunk": chunk, "pair": pairs, "n": n.astype(np.int64)})
 
 
@@ -183,8 +187,8 @@ def counted(aligned: DataFrame, drop: tuple[str, ...] = ("links", "chunk")) -> D
 
     def sums(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         pairs = pairs.sort_values("pair")
-        at = np.searchsorted(pairs["pair"].to_numpy(), np.frombuffer(b"".join(rows["links"]), np.int64))
-        n = rows["links"].map(len).to_numpy() // 8
+        at = np.searchsorted(pairs["pair"].to_numpy(), _flat(rows["links"]))
+        n = rows["n_groups"].to_numpy()  # a group ends in one link
         ends = np.cumsum(n)
 
         def of(x: np.ndarray) -> np.ndarray:

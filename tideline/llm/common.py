@@ -6,6 +6,8 @@ import string
 import tempfile
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def pack(x: np.ndarray) -> bytes:
+    """An array, compressed; integers byte by byte, as their high bytes are mostly 0."""
+    raw = np.ascontiguousarray(x)
+    body = raw.tobytes() if raw.dtype.kind == "f" else raw.view(np.uint8).reshape(len(raw), -1).T.tobytes() if len(raw) else b""
+    return raw.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    kind, body = np.dtype(packed[:1].decode()), zstandard.ZstdDecompressor().decompress(packed[1:])
+    if kind.kind == "f":
+        return np.frombuffer(body, kind)
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, string.ascii_uppercase, string.ascii_lowercase))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import align, bpe, cws, decontaminate, language, licenses, lines, merkle, simhash, toxicity, urls, warc
+from tideline.llm import align, bpe, cws, decontaminate, language, licenses, lines, merkle, simhash, suffix_tree, toxicity, urls, warc
 from tideline.llm.common import written
 
 
@@ -86,6 +86,11 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_tree.score(table(spark, sf_dir, "documents"), part(10) != 0)
+    return out.select("doc_id", F.coalesce(part(10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = merkle.manifest(docs, claimed={"n_chars": F.try_add("n_chars", F.lit(1))}, where=part(7) == 0)
@@ -94,7 +99,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_document_fingerprints, op3_license_scans, op4_simhash_near_dedup, op5_warc, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_bpe, op10_toxicity, op11_tokenizer_alignment, op13_merkle_manifest)
+    for f in (op1_url_filters, op2_document_fingerprints, op3_license_scans, op4_simhash_near_dedup, op5_warc, op6_line_dedup, op7_benchmark_decontamination, op8_language_id, op9_bpe, op10_toxicity, op11_tokenizer_alignment, op12_lm_scoring, op13_merkle_manifest)
 }
 
 #: CRC-32 of a key's decimal form, bit by bit: every byte is followed by seven empty ones.
