@@ -36,7 +36,6 @@ def plain(texts, train, depth, min_count, cutoff):
     n, v = sum(count.values()), len(count)
     root = lambda w: (count[(w,)] + 0.1) / (n + 0.1 * (v + 1))
     strength = {(): 1.0}
-    counted = {(): True}
     grams = [count]
 
     def probability(context, w):
@@ -49,18 +48,13 @@ def plain(texts, train, depth, min_count, cutoff):
         return (grams[len(context)][(*context, w)] + m * below) / (grams[len(context) - 1][context] + m)
 
     for k in range(1, depth + 1):
-        contexts, pairs, asked = set(), Counter(), set()
+        pairs = Counter()
         for ts, tr in zip(toks, train, strict=True):
             for i in range(k, len(ts)):
                 c = tuple(ts[i - k : i])
-                # grown from a state, if the context of the word before was counted
-                if c[1:] in strength and c[:-1] in counted and grams[k - 1][c] >= min_count:
-                    contexts.add(c)
-                    asked.add(c)
-                    if tr:
-                        pairs[(*c, ts[i])] += 1
+                if tr and grams[k - 1][c] >= min_count:
+                    pairs[(*c, ts[i])] += 1
         grams.append(pairs)
-        counted |= dict.fromkeys(asked, True)
         gains = {}
         for (*c, w), x in pairs.items():
             c = tuple(c)
@@ -73,20 +67,11 @@ def plain(texts, train, depth, min_count, cutoff):
                 strength[c] = max((x, m) for x, m in zip(g, suffix_tree.STRENGTHS, strict=True))[1]
     out = []
     for ts in toks:
-        full = sum(math.log10(probability(_longest(ts, i, depth, strength), w)) for i, w in enumerate(ts))
+        full = sum(math.log10(probability(tuple(ts[max(0, i - depth) : i]), w)) for i, w in enumerate(ts))
         out.append((len(ts), sum(count[(w,)] > 0 for w in ts), n, sum(math.log10(root(w)) for w in ts), full))
     return out, strength
 
 
-def _longest(ts, i, depth, strength):
-    c = ()
-    for k in range(1, min(depth, i) + 1):
-        if tuple(ts[i - k : i]) not in strength:
-            break
-        c = tuple(ts[i - k : i])
-    return c
-
-
 @pytest.mark.parametrize(("depth", "sizes"), [(1, {}), (2, {"chunk": 300, "bucket": 200, "hot": 30}), (3, {"chunk": 100, "bucket": 5000, "hot": 1000})])
 def test_equal_to_a_plain_tree(spark, depth, sizes):
     texts = corpus(depth, 150)

@@ -1,9 +1,10 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-A text's tokens are its words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and one end. The root of the tree predicts a token by its count in the training texts with additive smoothing. A context,
-the up to ``depth`` words before a token, is grown one word to the left at a time. It is a state if it was seen ``min_count`` times in training, its suffix is a state, and its next tokens diverge from
-what the suffix predicts: predicted by the other occurrences of the context (leave one out), mixed with the suffix's distribution as ``m`` further tokens would be, the training tokens that
-follow it must gain ``cutoff`` nats or more. ``m`` is chosen for each state among ``STRENGTHS`` by that gain. A token is scored by the longest suffix of the words before it that is a state.
+A text's tokens are its words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and one end. The root of the tree predicts a token by its count in the training texts with additive smoothing. Contexts are
+the up to ``depth`` words before a token; all that training has ``min_count`` times are tested. A context is a state if its next tokens diverge from
+what its suffix predicts: predicted by the other occurrences of the context (leave one out), mixed with the suffix's distribution as ``m`` further tokens would be, the training tokens that
+follow it must gain ``cutoff`` nats or more. ``m`` is chosen for each state among ``STRENGTHS`` by that gain. Contexts that are no states predict as their suffix does, so
+a token is scored by the longest suffix of the words before it that is a state.
 
 The tree has no bound, nor does it ever lie in one place: it grows with the corpus and is dealt out by context. Texts are tokenised once into chunks of some million tokens. A
 chunk sends its different words, then its different pairs of context and next token, with their training counts, to the buckets that own them; a bucket adds up what all chunks sent, tests its contexts and sends the
@@ -122,15 +123,12 @@ class _Walk:
         # at level 0 a pair is the token; ends lead no further
         ends = np.zeros(len(self.seen), bool)
         ends[self.tok[np.cumsum(self.length) - 1]] = True
-        first = np.zeros(len(self.tok), bool)
-        first[self.starts] = True
         self.pos, self.pair = np.arange(len(self.tok)), self.tok.astype(np.int64)
         self.count, self.node = np.where(ends, 0, self.seen), self.ids
-        self.open = ~first
 
     def grow(self) -> None:
-        """Pairs of the next level: of open tokens whose predecessor was counted often enough as a pair to be a context."""
-        led = np.append(False, (self.pos[1:] == self.pos[:-1] + 1) & (self.count[self.pair[:-1]] >= self.min_count)) & self.open
+        """Pairs of the next level: of tokens whose predecessor was counted often enough as a pair to be a context."""
+        led = np.append(False, (self.pos[1:] == self.pos[:-1] + 1) & (self.count[self.pair[:-1]] >= self.min_count))
         at = np.flatnonzero(led)
         code, one, pair = np.unique(self.pair[at - 1] * len(self.seen) + self.tok[self.pos[at]], return_index=True, return_inverse=True)
         before, self.word = np.divmod(code, len(self.seen))
@@ -156,7 +154,6 @@ class _Walk:
         strength = np.array([states.get(c, 0.0) for c in self.context.tolist()])[self.of]
         p = np.where(strength > 0, (self.count + strength * self.prior) / (np.maximum(self.context_count[self.of], 1) + strength), self.prior)
         self.p[self.pos] = p[self.pair]
-        self.open = (strength > 0)[self.pair]
 
     def requests(self, chunk: int, bucket_count: int) -> list[tuple]:
         bucket, order = self.buckets(bucket_count)
