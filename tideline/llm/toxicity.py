@@ -1,16 +1,14 @@
 """Toxicity from subword-bag embeddings.
 
-A word is the mean of the embeddings of its hashed character n-grams and of itself; a window of ``WINDOW`` words is the mean of its
-words; a linear softmax over that mean gives the window's probability. Embeddings and softmax are trained jointly in numpy (Adam). A text's
-score is that of its worst window, so a long text is judged by what it holds and not by its length; windows overlap by half.
+A word is the mean of the embeddings of its hashed character n-grams and of itself; a text is the mean of its words; a linear softmax over ``SCALE`` times that mean gives
+its probability. Embeddings and softmax are trained jointly in numpy (Adam) over whole texts. An n-gram has an embedding if it is found in ``LEAST`` training texts or more and
+its share of toxic texts is off that of all by ``SIGNIFICANT`` standard deviations; the many that tell nothing would only be learned by heart. Misspelt words share most n-grams with the words they come from.
+At the end a one-variable logistic curve from the softmax to the labels sets the level.
 
-Labels are of texts, so training goes in rounds: the first takes windows evenly spread, each later one those that the model so far finds
-worst, of toxic texts as toxic and of clean texts as clean. At the end a one-variable logistic curve from the worst window to the
-text's label is fitted. All of this reads a bounded sample: at most ``max_rows`` labelled rows, those of smallest hash. Scoring
-reads every word of every text.
+Training reads at most ``max_rows`` labelled rows, those of smallest hash, each of them whole; scoring reads every word of every text.
 
-Null and empty texts and texts without letters score the model's prior, which is never toxic. Without labelled rows, or with labels of
-one kind only, the score is the share of toxic labels (0 without any), kept below one half unless all are toxic. Repeated rows score alike.
+Null and empty texts and texts without letters score the model's prior, which is never toxic. Without labelled rows, with labels of
+one kind only or without an n-gram that tells them apart, the score is the share of toxic labels (0 without any), kept below one half unless all are toxic. Repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -28,10 +26,11 @@ from tideline.functions.ship import ship
 from tideline.llm import subwords
 from tideline.llm.common import bounded_ids
 
-WINDOW = 10
 LO, HI = 3, 5
-BUCKETS = 1 << 16
-DIMS = 6
+BUCKETS = 1 << 18
+DIMS = 4
+SCALE = 100.0
+LEAST, SIGNIFICANT = 3, 4.0
 
 
 @dataclass
@@ -44,13 +43,6 @@ class Model:
     offset: float = 0.0
 
 
-def windows_of(n: int, size: int = WINDOW) -> np.ndarray:
-    """Starts of windows over n words; the last one ends at the end."""
-    if n <= size:
-        return np.zeros(1, np.int64)
-    return np.append(np.arange(0, n - size, size // 2), n - size)
-
-
 def _adam(params: list[np.ndarray], grads: list[np.ndarray], state: list, step: int, rate: float) -> None:
     for p, g, s in zip(params, grads, state, strict=True):
         s[0] = 0.9 * s[0] + 0.1 * g
@@ -58,36 +50,10 @@ def _adam(params: list[np.ndarray], grads: list[np.ndarray], state: list, step:
         p -= rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + 1e-8)
 
 
-class _Groups:
-    """Sums of rows by group; the order is sorted out once."""
-
-    def __init__(self, group: np.ndarray):
-        self.order = None if np.all(group[1:] >= group[:-1]) else np.argsort(group, kind="stable")
-        group = group if self.order is None else group[self.order]
-        self.starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        self.groups = group[self.starts]
-
-    def sum(self, rows: np.ndarray, at: np.ndarray, n: int = 0) -> np.ndarray:
-        sums = np.add.reduceat(rows[at if self.order is None else at[self.order]], self.starts, axis=0)
-        n = n or int(self.groups[-1]) + 1
-        if n == len(self.groups):
-            return sums
-        out = np.zeros((n, rows.shape[1]), rows.dtype)
-        out[self.groups] = sums
-        return out
-
-
 def _probability(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def _window_logits(scores: np.ndarray, bias: float) -> np.ndarray:
-    s = np.concatenate([[0.0], np.cumsum(scores)])
-    width = min(WINDOW, len(scores))
-    starts = windows_of(len(scores))
-    return (s[starts + width] - s[starts]) / width + bias
-
-
 def _curve(z: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]:
     """Slope and offset of a logistic curve, by Newton's method with a small ridge."""
     x, beta = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0])
@@ -99,67 +65,69 @@ def _curve(z: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]
     return float(beta[0]), float(beta[1])
 
 
-def train(texts: list[str], toxic: list[int], rounds: int = 5, steps: int = 20, windows: tuple[int, int] = (4, 6), seed: int = 7) -> Model:
-    """``windows``: how many of a clean and of a toxic text a round takes."""
+def _sums(of: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by group."""
+    return np.stack([np.bincount(of, rows[:, k], minlength=n) for k in range(rows.shape[1])], 1).astype(np.float32)
+
+
+def _telling(grams: np.ndarray, begins: np.ndarray, words: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """Which buckets have n-grams whose share of toxic texts is off that of all texts."""
+    found = np.zeros((2, BUCKETS))
+    for w, y in zip(words, label, strict=True):
+        found[y, np.unique(np.concatenate([grams[begins[i] : begins[i + 1]] for i in w]))] += 1
+    n, toxic = len(label), int(label.sum())
+    share = found.sum(0) / n
+    spread = np.sqrt(share * (1 - share) * toxic * (n - toxic) / n)
+    return (found.sum(0) >= LEAST) & (np.abs(found[1] - toxic * share) >= SIGNIFICANT * np.maximum(spread, 1e-9))
+
+
+def train(texts: list[str], toxic: list[int], steps: int = 80, rate: float = 0.1, decay: float = 1e-6, seed: int = 7) -> Model:
     label = np.asarray(toxic, np.int64)
     prior = float(label.mean()) if len(label) else 0.0
     index: dict[str, int] = {}
     tokens = [np.fromiter((index.setdefault(w, len(index)) for w in subwords.words(t)), np.int64) for t in texts]
     filled = [d for d, x in enumerate(tokens) if len(x)]
-    if len(set(label[filled].tolist())) < 2:
+    label = label[filled]
+    if len(set(label.tolist())) < 2:
         return Model(None, 0.0, prior)
+    words, times = zip(*[np.unique(tokens[d], return_counts=True) for d in filled], strict=True)
     vocabulary = list(index)
-    grams, counts = [], []
-    for at in range(0, len(vocabulary), 8192):
-        part = vocabulary[at : at + 8192]
-        ids, of = subwords.ngrams(part, LO, HI, BUCKETS)
-        grams.append(ids.astype(np.int32))
-        counts.append(np.bincount(of, minlength=len(part)))
-    grams, counts = np.concatenate(grams), np.concatenate(counts)
-    begins = np.concatenate([[0], np.cumsum(counts)])
+    parts = [subwords.ngrams(vocabulary[at : at + 8192], LO, HI, BUCKETS) for at in range(0, len(vocabulary), 8192)]
+    grams, owner = np.concatenate([ids for ids, _ in parts]), np.concatenate([of + 8192 * i for i, (_, of) in enumerate(parts)])
+    size = np.bincount(owner, minlength=len(vocabulary))
+    telling = _telling(grams, np.concatenate([[0], np.cumsum(size)]), words, label)
+    if not telling.any():
+        return Model(None, 0.0, prior)
+    kept = telling[grams]
+    grams, owner = np.cumsum(telling)[grams[kept]] - 1, owner[kept]
 
+    word = np.concatenate(words)
+    text = np.repeat(np.arange(len(filled)), [len(w) for w in words])
+    weight_in_text = np.concatenate([n / n.sum() for n in times]).astype(np.float32)[:, None]
+    weight_in_word = (1.0 / size[owner]).astype(np.float32)[:, None]
     rng = np.random.default_rng(seed)
-    table, soft, bias = (rng.normal(0, x, shape).astype(np.float32) for x, shape in ((0.1, (BUCKETS, DIMS)), (0.3, (DIMS, 2)), (0.0, 2)))
-    state, step = [[0.0, 0.0] for _ in range(3)], 0
-
-    def word_scores() -> np.ndarray:
-        logit = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float64)
-        return np.add.reduceat(logit[grams], begins[:-1]) / counts
-
-    for turn in range(rounds):
-        score = word_scores() if turn else None
-        rows, y = [], []
-        for d in filled:
-            starts = windows_of(len(tokens[d]))
-            most = windows[int(label[d])]
-            if len(starts) > most:
-                order = np.argsort(-_window_logits(score[tokens[d]], 0.0), kind="stable")[:most] if turn else np.linspace(0, len(starts) - 1, most).astype(int)
-                starts = starts[order]
-            for s in starts:
-                rows.append(tokens[d][s : s + WINDOW])
-                y.append(label[d])
-        y = np.array(y, np.float32)
-        of_window = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        seen, word = np.unique(np.concatenate(rows), return_inverse=True)
-        of_word = np.repeat(np.arange(len(seen)), counts[seen])
-        ids = grams[np.repeat(begins[seen] - np.concatenate([[0], np.cumsum(counts[seen])[:-1]]), counts[seen]) + np.arange(len(of_word))]
-        size = np.bincount(of_window).astype(np.float32)[:, None]
-        share = (1.0 / counts[seen]).astype(np.float32)[:, None]
-        to_words, to_buckets, to_bags, from_bags = _Groups(of_word), _Groups(ids), _Groups(of_window), _Groups(word)
-        weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
-        for _ in range(steps):
-            step += 1
-            bag = to_bags.sum(to_words.sum(table, ids) * share, word) / size
-            z = bag @ soft + bias
-            d = weight * (_probability(z[:, 1] - z[:, 0]) - y)
-            dz = np.stack([-d, d], 1).astype(np.float32)
-            d_word = from_bags.sum((dz @ soft.T) / size, of_window) * share
-            d_table = to_buckets.sum(d_word, of_word, BUCKETS)
-            _adam([table, soft, bias], [d_table, bag.T @ dz + 1e-5 * soft, dz.sum(0)], state, step, 0.1)
-    score, b = word_scores(), float(bias[1] - bias[0])
-    worst = np.array([_window_logits(score[tokens[d]], b).max() for d in filled])
-    slope, offset = _curve(worst, label[filled].astype(float))
-    return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), b, prior, slope, offset)
+    n = int(telling.sum())
+    table, soft, bias = (rng.normal(0, x, shape).astype(np.float32) for x, shape in ((0.1, (n, DIMS)), (0.3, (DIMS, 2)), (0.0, 2)))
+    state = [[0.0, 0.0] for _ in range(3)]
+    weight = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum()).astype(np.float32)
+
+    def bags() -> np.ndarray:
+        vectors = _sums(owner, table[grams] * weight_in_word, len(vocabulary))
+        return SCALE * _sums(text, vectors[word] * weight_in_text, len(filled))
+
+    for step in range(1, steps + 1):
+        bag = bags()
+        z = bag @ soft + bias
+        d = weight * (_probability(z[:, 1] - z[:, 0]) - label)
+        dz = np.stack([-d, d], 1).astype(np.float32)
+        d_word = _sums(word, (SCALE * dz @ soft.T)[text] * weight_in_text, len(vocabulary))
+        d_table = _sums(grams, d_word[owner] * weight_in_word, n)
+        _adam([table, soft, bias], [d_table + decay * table, bag.T @ dz + decay * soft, dz.sum(0)], state, step, rate)
+    z = bags() @ soft + bias
+    slope, offset = _curve(z[:, 1] - z[:, 0], label.astype(float))
+    logit = np.zeros(BUCKETS, np.float32)
+    logit[telling] = SCALE * (table @ (soft[:, 1] - soft[:, 0]))
+    return Model(logit, float(bias[1] - bias[0]), prior, slope, offset)
 
 
 class Scorer:
@@ -176,7 +144,7 @@ class Scorer:
             return min(m.prior, 0.49)
         self.words.room()
         at = self.words.ids(tokens)
-        z = _window_logits(self.words.rows[at, 0], m.bias).max()
+        z = float(self.words.rows[at, 0].mean()) + m.bias
         return float(_probability(m.slope * z + m.offset))
 
 
