@@ -80,10 +80,7 @@ def test_archive_of_null_and_repeated_keys(spark, tmp_path):
     assert sorted(mine, key=str) == sorted(want, key=str)
 
 
-def test_samples_bound_rows_of_repeated_ids(spark, monkeypatch):
+def test_samples_bound_rows_of_repeated_ids(spark):
     docs = spark.range(300).selectExpr("1L AS doc_id", "concat('some words number ', id) AS text", "'en' AS lang")
-    seen = []
-    monkeypatch.setattr(language, "train", lambda texts, langs: seen.append(len(texts)))
-    language.fit(docs, max_rows=20)
-    assert seen == [20]
+    assert language.sample(docs, max_rows=20).count() == 20
     assert toxicity.sample(docs, docs.selectExpr("doc_id", "1 AS toxic"), max_rows=20).count() == 20

@@ -103,29 +103,34 @@ def test_simhash_empty(empty):
     assert simhash.keep_one(empty).count() == 0
 
 
-def test_crowded_blocks_hang_together(spark):
+@pytest.mark.parametrize("crowd", [10, 10**6])
+def test_crowded_blocks_hang_together(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)  # 10 deals every block out in pieces
     rows = [(fp, 7) for fp in range(-60, 60)] + [(fp, fp % 40) for fp in range(200, 280)] + [(999, 1234)]
-    keyed = spark.createDataFrame(rows, "fp long, k long")
     blocks = {}
     for fp, k in rows:
         blocks.setdefault(k, set()).add(fp)
-    for floor in (0, 10**6):
-        # a total of 10 puts every block in a crowded cell if the floor is 0
-        links = [(r.a, r.b) for r in simhash._to_leaders(keyed, 10, 4, floor).collect()]
-        assert len(links) == len(set(links)) and all(a < b for a, b in links)
-        root = {fp: fp for fp, _ in rows}
-
-        def find(x, root=root):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for a, b in links:
-            assert any({a, b} <= m for m in blocks.values())
-            root[find(a)] = find(b)
-        for members in blocks.values():
-            assert len({find(fp) for fp in members}) == 1
-        assert len(links) <= len(rows)
+    nodes = spark.createDataFrame([(fp, 8, [0] * 8, sorted(k for k, m in blocks.items() if fp in m)) for fp in {fp for fp, _ in rows}], "fp long, n int, bits array<long>, keys array<long>")
+    nobody = spark.createDataFrame([], "fp long, root long")
+    mixed = simhash._mixed(nodes, nobody, 64)
+    assert {r.k for r in mixed.collect()} == {k for k, m in blocks.items() if len(m) > 1}
+    root = {fp: fp for fp, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [(r.fp, r.to) for r in simhash._to_leaders(mixed).collect()]
+    for a, b in links:
+        assert any({a, b} <= m for m in blocks.values())
+        root[find(a)] = find(b)
+    assert len(links) == len(set(links)) <= len(rows)
+    for members in blocks.values():
+        assert len({find(fp) for fp in members}) == 1
+    # what no leader has linked is compared with all others of its block
+    pairs = {(r.a, r.b) for r in simhash._across(mixed, nodes.select("fp", "bits"), 0.8, 0).collect()}
+    assert pairs == {(a, b) for m in blocks.values() for a in m for b in m if a < b}
 
 
 def test_keep_one_keeps_one_of_each_group(spark):

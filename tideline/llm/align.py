@@ -161,7 +161,7 @@ def align(docs: DataFrame, a_json: str, b_model: str, key: str = "doc_id", text:
 
 
 def _flat(links: pd.Series) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *[unpack(x) for x in links if x]])
+    return np.concatenate([np.zeros(0, np.int64), *[unpack(x)[0] for x in links if x]])
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.ship import ship
-from tideline.llm.common import text_of, written
+from tideline.llm.common import spare, text_of, written
 
 #: Unicode's White_Space property.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -276,12 +276,12 @@ def frequent_words(docs: DataFrame, spec: Spec, most: int, text: str = "text") -
 
 
 def encode(docs: DataFrame, tokenizer_json: str, lexicon_words: int = 20_000, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) and ``decoded``."""
+    """``docs`` with ``ids`` (array<int>) and ``decoded``, which take the place of columns of these names."""
     return _run(docs, tokenizer_json, lexicon_words, text, digest=False)
 
 
 def digests(docs: DataFrame, tokenizer_json: str, lexicon_words: int = 20_000, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids_text`` hashed and ``decoded`` hashed: the same encoding, of which only SHA-256 leaves the worker."""
+    """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, which take the place of columns of these names: the same encoding, of which only SHA-256 leaves the worker."""
     return _run(docs, tokenizer_json, lexicon_words, text, digest=True)
 
 
@@ -309,5 +309,6 @@ def _run(docs: DataFrame, tokenizer_json: str, lexicon_words: int, text: str, di
                     rows.append((ids, encoder.decode(ids)))
             yield pd.DataFrame(rows, columns=[n for n, _ in kinds], index=texts.index)
 
-    out = docs.withColumn("__e", run(docs[text].cast("string")))
-    return out.withColumns({n: F.col("__e")[n] for n, _ in kinds}).drop("__e")
+    (made,) = spare(docs, "made")
+    out = docs.withColumn(made, run(docs[text].cast("string")))
+    return out.withColumns({n: F.col(made)[n] for n, _ in kinds}).drop(made)

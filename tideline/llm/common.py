@@ -58,18 +58,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def pack(x: np.ndarray) -> bytes:
-    """An array, compressed; integers byte by byte, as their high bytes are mostly 0."""
-    raw = np.ascontiguousarray(x)
-    body = raw.tobytes() if raw.dtype.kind == "f" else raw.view(np.uint8).reshape(len(raw), -1).T.tobytes() if len(raw) else b""
-    return raw.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(body)
+def pack(*arrays: np.ndarray) -> bytes:
+    """One-dimensional arrays, compressed; integers byte by byte, as their high bytes are mostly 0."""
+    bodies = [x.tobytes() if x.dtype.kind == "f" else np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays]
+    head = " ".join(f"{x.dtype.char}{len(x)}" for x in arrays).encode("ascii")
+    return bytes([len(head)]) + head + zstandard.ZstdCompressor(level=1).compress(b"".join(bodies))
 
 
-def unpack(packed: bytes) -> np.ndarray:
-    kind, body = np.dtype(packed[:1].decode()), zstandard.ZstdDecompressor().decompress(packed[1:])
-    if kind.kind == "f":
-        return np.frombuffer(body, kind)
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+def unpack(packed: bytes) -> list[np.ndarray]:
+    at = packed[0] + 1
+    body, begin, out = zstandard.ZstdDecompressor().decompress(packed[at:]), 0, []
+    for part in packed[1:at].decode("ascii").split(" "):
+        kind, n = np.dtype(part[0]), int(part[1:])
+        raw = np.frombuffer(body, np.uint8, n * kind.itemsize, begin)
+        out.append(raw.view(kind) if kind.kind == "f" else np.ascontiguousarray(raw.reshape(kind.itemsize, n).T).view(kind).ravel())
+        begin += n * kind.itemsize
+    return out
 
 
 def ascii_lower(c: Column) -> Column:
@@ -82,6 +86,18 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(ASCII_SPACE))
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of passage that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def text_of(df: DataFrame, col: str = "text") -> Column:
     return F.coalesce(df[col].cast("string"), F.lit(""))
 

@@ -16,13 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ascii_lower, cut, text_of
+from tideline.llm.common import ascii_lower, cut, spare, text_of
 
 #: Everything that ends a word.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: The commonest prefix word's places are dealt out in pieces of about so many, up to so many pieces; each window goes to all pieces of its word.
-PLACES, MOST_PIECES = 10_000, 256
+#: A prefix word's places are dealt out in pieces of about so many; a window goes to all pieces of its own word.
+PLACES = 10_000
 
 
 def words(text: Column) -> Column:
@@ -77,10 +77,11 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str
     reach = 2 * window - 1
     spots = F.filter(F.transform("ws", lambda x, i: F.when(necessary.has(F.xxhash64(x)), i)), lambda i: i.isNotNull())
     near = body.select("__id", "__th", F.explode(F.transform(spots, lambda i: F.struct(i.alias("p"), F.get(F.col("ws"), i).alias("t"), F.greatest(i - window + 1, F.lit(0)).alias("from"), F.slice(F.col("ws"), F.greatest(i - window + 2, F.lit(1)), reach).alias("around")))).alias("x")).select("__id", "__th", "x.*")
-    pieces = prefix.agg(F.max("n")).first()[0] or 0
-    pieces = min(pieces // PLACES + 1, MOST_PIECES)
-    salt = F.pmod(F.xxhash64("__id", "__th", "p"), F.lit(pieces)).cast("int").alias("s")
-    found = near.select("*", salt).join(prefix.drop("n").select("*", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("s")), ["t", "s"])
+    pieces = (F.col("n") / PLACES).cast("int") + 1
+    shares = prefix.groupBy("t").agg(F.max("n").alias("n")).select("t", pieces.alias("pieces")).filter("pieces > 1")
+    near = near.join(shares, "t", "left").withColumn("s", F.pmod(F.xxhash64("__id", "__th", "p"), F.coalesce("pieces", F.lit(1))).cast("int"))
+    dealt = prefix.select("*", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("s")).drop("n")
+    found = near.drop("pieces").join(dealt, ["t", "s"])
     first = F.col("p") - F.col("o")
     room = (first >= F.col("from")) & (first - F.col("from") + F.col("len") <= F.size("around"))
     same = F.slice(F.col("around"), F.when(room, first - F.col("from") + 1).otherwise(1), F.col("len")) == F.col("w")
@@ -102,6 +103,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 10) -> DataFrame:
     """``docs`` without the rows that hold a window of an item."""
-    bad = cut(hits(docs, items, doc_id, text, window=window).select("__id", "__th").distinct())
-    own = docs.withColumn("__own", F.xxhash64(text_of(docs, text)))
-    return own.join(bad, own[doc_id].eqNullSafe(bad["__id"]) & (own["__own"] == bad["__th"]), "left_anti").drop("__own")
+    bad = hits(docs, items, doc_id, text, window=window).select(F.col("__id").alias("id_"), F.col("__th").alias("th_")).distinct()
+    (id_, th) = spare(docs, "id_", "th_")
+    bad = cut(bad.toDF(id_, th))
+    (own,) = spare(docs, "own")
+    hashed = docs.withColumn(own, F.xxhash64(text_of(docs, text)))
+    return hashed.join(bad, hashed[doc_id].eqNullSafe(bad[id_]) & (hashed[own] == bad[th]), "left_anti").drop(own)

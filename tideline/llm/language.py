@@ -8,12 +8,14 @@ that changes of language are learned too, runs put together from pieces of texts
 A text gets the posterior of every label for every word by forward-backward; its language is the label with the largest expected share
 of words, its score that share. Texts without a letter, null or empty ones are ``und`` with score 0, as is every text where nothing was learned.
 
-Training reads a bounded sample: ``max_rows`` labelled rows, those of smallest hash, and of each ``runs`` runs of ``RUN`` words.
-Prediction reads whole texts. Repeated rows are predicted alike.
+Training reads a bounded sample: ``max_rows`` labelled rows, those of smallest hash, each of them whole, in runs of ``RUN`` words. It ends when the words of
+the sample get their own label with a probability of ``SURE`` on average, after ``steps`` steps at the latest. It is one task, so neither rows nor arrays take the driver's memory.
+Prediction reads whole texts. Repeated rows are predicted alike. Columns ``lang_pred`` and ``lang_score`` of the input are written over. An empty table has no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +27,12 @@ from pyspark.sql import types as T
 
 from tideline.functions.ship import ship
 from tideline.llm import subwords
-from tideline.llm.common import bounded_ids
+from tideline.llm.common import bounded_ids, spare
 
 LO, HI = 1, 3
 BUCKETS = 1 << 15
 RUN = 24
+SURE = 0.995
 
 
 @dataclass
@@ -76,15 +79,13 @@ def posteriors(emit: np.ndarray, length: np.ndarray, start: np.ndarray, moves: n
     return post, expected
 
 
-def train(texts: list[str], langs: list[str], runs: int = 4, steps: int = 40, seed: int = 11) -> Crf | None:
+def train(texts: list[str], langs: list[str], steps: int = 40, seed: int = 11) -> Crf | None:
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
     pieces: list[tuple[list[str], int]] = []
     for text, lang in zip(texts, langs, strict=True):
         w = subwords.words(text)
-        for at in dict.fromkeys(np.linspace(0, max(len(w) - RUN, 0), runs).astype(int).tolist()):
-            if w:
-                pieces.append((w[at : at + RUN], labels.index(lang)))
+        pieces += [(w[at : at + RUN], labels.index(lang)) for at in range(0, len(w), RUN)]
     if not pieces:
         return None
     seqs = [(w, [y] * len(w)) for w, y in pieces]
@@ -113,6 +114,8 @@ def train(texts: list[str], langs: list[str], runs: int = 4, steps: int = 40, se
         emit[live] = emit_word[flat]
         post, expected = posteriors(emit, length, start, moves, pairs=True)
         d = post[live] - gold_hot
+        if 1 + d[np.arange(len(gold)), gold].mean() > SURE:
+            break
         d_word = np.stack([np.bincount(flat, d[:, j], minlength=len(vocabulary)) for j in range(k)], 1)
         d_weights = np.stack([np.bincount(ids, d_word[owner, j], minlength=BUCKETS) for j in range(k)], 1)
         grads = [d_weights / len(seqs) + 1e-4 * weights, (post[:, 0].sum(0) - gold_start) / len(seqs) + 1e-4 * start, (expected - gold_moves) / len(seqs) + 1e-4 * moves]
@@ -166,12 +169,26 @@ class Tagger:
         return out
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 1500, *where: Column) -> Crf | None:
+def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 600, *where: Column) -> DataFrame:
+    """At most ``max_rows`` rows with a label and a text, also where ids repeat."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     ids = bounded_ids(known, doc_id, max_rows, *where)
-    bounded = known.join(F.broadcast(ids), doc_id).select(doc_id, text, lang).orderBy(F.xxhash64(F.col(doc_id).cast("string"), text, lang)).limit(max_rows)  # ids may repeat
-    rows = bounded.toPandas().sort_values([doc_id, text, lang])
-    return train(rows[text].tolist(), rows[lang].tolist())
+    rows = known.join(F.broadcast(ids), doc_id).select(doc_id, F.col(text).alias("text"), F.col(lang).alias("lang"))
+    return rows.orderBy(F.xxhash64(F.col(doc_id).cast("string"), "text", "lang")).limit(max_rows)
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 600, *where: Column) -> Crf | None:
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            rows = pd.concat(parts).sort_values(["doc_id", "text", "lang"])
+            yield pd.DataFrame({"model": [pickle.dumps(train(rows["text"].tolist(), rows["lang"].tolist()))]})
+
+    rows = sample(docs, doc_id, text, lang, max_rows, *where).select(F.col(doc_id).alias("doc_id"), "text", "lang")
+    packed = rows.coalesce(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(packed[0].model) if packed else None
 
 
 def predict(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFrame:
@@ -189,4 +206,5 @@ def predict(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFrame
                 found += tagger.languages(part) if tagger else [("und", 0.0)] * len(part)
             yield pd.DataFrame(found, columns=["lang", "score"], index=texts.index)
 
-    return docs.withColumn("__l", run(docs[text].cast("string"))).withColumns({"lang_pred": F.col("__l.lang"), "lang_score": F.col("__l.score")}).drop("__l")
+    (made,) = spare(docs, "made")
+    return docs.withColumn(made, run(docs[text].cast("string"))).withColumns({"lang_pred": F.col(made)["lang"], "lang_score": F.col(made)["score"]}).drop(made)

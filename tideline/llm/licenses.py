@@ -13,7 +13,7 @@ Null, empty and wordless texts match nothing. Repeated rows get equal results. A
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -142,13 +142,14 @@ class Scanner:
         heapify(heap)
         while heap:
             less, a, b, lo, hi = heappop(heap)
-            over = [(x, y) for x, y in taken if x < hi and lo <= y]
+            # places taken do not overlap, so those that touch the window stand in a row
+            over = taken[max(0, bisect_left(taken, (lo, lo)) - 1) : bisect_left(taken, (hi, hi))]
+            over = [(x, y) for x, y in over if lo <= y]
             if not any(x <= b and a <= y for x, y in over):
-                taken.append((a, b))
+                insort(taken, (a, b))
                 out.append((-less, a, b))
             else:  # what is left of the window on both sides of what was taken
-                edges = sorted(over)
-                for left, right in zip([lo, *(y + 1 for _, y in edges)], [*(x for x, _ in edges), hi], strict=True):
+                for left, right in zip([lo, *(y + 1 for _, y in over)], [*(x for x, _ in over), hi], strict=True):
                     if right - left >= need:
                         m, a, b = self._stretch(tokens, left, right, template)
                         if m >= need:

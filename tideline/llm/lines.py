@@ -7,30 +7,36 @@ merged into one of the next level; a merge moves the keys that have reached ``mi
 ``LineRuns.frequent`` sums what is left. Every run is a plain table in the shared folder, so a lost executor loses nothing.
 
 A key is the line without ASCII white space at both ends and with A-Z lower-cased; keys of fewer than ``min_chars``
-code points are never dropped. Hashes are 64-bit (XXH64). Each row of the input counts as a document of its own, also where rows or ids repeat.
-A null or empty text is one empty line. Columns of the input with any other name stay as they are.
+code points are never dropped. Hashes are 64-bit (XXH64); where different keys share a frequent hash, which a second one tells, each is counted again on its own. Each row of the input counts as a document of its own, also where rows or ids repeat.
+A null or empty text is one empty line. Columns of the input stay as they are, but for ``kept_text``, ``n_lines`` and ``n_dropped``, which are written over.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ascii_lower, fresh_path, text_of, trimmed
+from tideline.llm.common import ascii_lower, fresh_path, spare, text_of, trimmed, written
 
 
 def line_key(line: Column) -> Column:
     return ascii_lower(trimmed(line))
 
 
-def line_hashes(text: Column, min_chars: int = 1) -> Column:
-    """For each line its key's hash; null for keys that are too short."""
+def _hash(key: Column) -> Column:
+    return F.xxhash64(key)
 
-    def one(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(F.length(key) >= min_chars, F.xxhash64(key))
 
-    return F.transform(F.split(text, "\n", -1), one)
+def _each_key(text: Column, min_chars: int, make: Callable[[Column], Column]) -> Column:
+    """``make`` of each line's key; null for keys that are too short."""
+    return F.transform(F.transform(F.split(text, "\n", -1), line_key), lambda key: F.when(F.length(key) >= min_chars, make(key)))
+
+
+def line_hashes(text: Column, min_chars: int = 1) -> Column:
+    """For each line its key's hash; null for keys that are too short."""
+    return _each_key(text, min_chars, _hash)
 
 
 class LineRuns:
@@ -92,6 +98,15 @@ def batch_counts(docs: DataFrame, text: str = "text", min_chars: int = 1, *keep:
     return keys.groupBy(*names, "h").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _of_frequent_keys(at_hot: DataFrame, min_docs: int) -> DataFrame:
+    """The places whose key itself is in ``min_docs`` rows or more. A second hash tells keys of equal hash apart; where there are any, they are counted again, each on its own."""
+    shared = at_hot.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("h")
+    if shared.isEmpty():
+        return at_hot
+    counted = at_hot.join(shared, "h", "left_semi").select("row", "h", "g").distinct().groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"))
+    return at_hot.join(shared, "h", "left_anti").unionByName(at_hot.join(counted.filter(F.col("n") >= min_docs), ["h", "g"], "left_semi"))
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, min_chars: int = 1, batches: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` (before) and ``n_dropped``.
 
@@ -110,16 +125,19 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     if hot.count() <= broadcast_rows:  # 8 bytes a row
         hot = F.broadcast(hot)
     body = text_of(docs, text)
-    at_hot = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(body).alias("__th"), F.posexplode(line_hashes(body, min_chars)).alias("__pos", "h")).filter(F.col("h").isNotNull()).join(hot, "h")
-    dropped = at_hot.groupBy("__id", "__th").agg(F.collect_set("__pos").alias("__dropped"))
-    own = docs.withColumn("__th2", F.xxhash64(body))
+    places = _each_key(body, min_chars, lambda key: F.struct(_hash(key).alias("h"), F.xxhash64(F.lit("second"), key).alias("g")))
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("th"), F.monotonically_increasing_id().alias("row"), F.posexplode(places).alias("pos", "x"))
+    at_hot = _of_frequent_keys(written(rows.select("id", "th", "row", "pos", "x.h", "x.g").filter(F.col("h").isNotNull()).join(hot, "h"), "hot-lines"), min_docs)
+    id_, th, th2, gone = spare(docs, "id", "th", "th2", "gone")
+    dropped = at_hot.groupBy(F.col("id").alias(id_), F.col("th").alias(th)).agg(F.collect_set("pos").alias(gone))
+    own = docs.withColumn(th2, F.xxhash64(body))
     lines = F.split(text_of(own, text), "\n", -1)
     every = F.sequence(F.lit(0), F.size(lines) - 1)
-    joined = own.join(dropped, own[doc_id].eqNullSafe(dropped["__id"]) & (own["__th2"] == dropped["__th"]), "left")
-    kept = F.array_join(F.transform(F.array_except(every, F.col("__dropped")), lambda i: F.get(lines, i)), "\n")
+    joined = own.join(dropped, own[doc_id].eqNullSafe(dropped[id_]) & (own[th2] == dropped[th]), "left")
+    kept = F.array_join(F.transform(F.array_except(every, F.col(gone)), lambda i: F.get(lines, i)), "\n")
     joined = joined.withColumns({
-        "kept_text": F.when(F.col("__dropped").isNull(), text_of(joined, text)).otherwise(kept),
+        "kept_text": F.when(F.col(gone).isNull(), text_of(joined, text)).otherwise(kept),
         "n_lines": F.size(lines).cast("long"),
-        "n_dropped": F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("long"),
+        "n_dropped": F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"),
     })
-    return joined.drop("__id", "__th", "__th2", "__dropped")
+    return joined.drop(id_, th, th2, gone)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.functions.ship import ship
-from tideline.llm.common import cut, written
+from tideline.llm.common import cut, spare, written
 
 SEED = 42
 BITS = 64
@@ -349,14 +349,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     groups = cut(similar_groups(docs, doc_id, text, shingle_words, similarity))
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("best"))
     marked = cut(groups.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n")).join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))))
-    ids = [F.col("doc_id").alias("__id"), F.col("th").alias("__th")]
-    same = lambda d: d[doc_id].eqNullSafe(F.col("__id")) & (d["__own"] == F.col("__th"))
-    own = docs.withColumn("__own", F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))))
+    own, id_, th = spare(docs, "own", "id", "th")
+    ids = [F.col("doc_id").alias(id_), F.col("th").alias(th)]
+    same = lambda d: d[doc_id].eqNullSafe(F.col(id_)) & (d[own] == F.col(th))
+    hashed = docs.withColumn(own, F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))))
     gone = marked.filter(~F.col("stays")).select(*ids)
-    kept = own.join(gone, same(own), "left_anti")
+    kept = hashed.join(gone, same(hashed), "left_anti")
     repeated = marked.filter(F.col("stays") & (F.col("n") > 1)).select(*ids)
     if repeated.isEmpty():
-        return kept.drop("__own")
+        return kept.drop(own)
     once = kept.join(repeated, same(kept), "left_anti")
-    twice = kept.join(repeated, same(kept), "left_semi").dropDuplicates(["__own"])  # a text has one root and a root one text that stays
-    return once.unionByName(twice).drop("__own")
+    twice = kept.join(repeated, same(kept), "left_semi").dropDuplicates([own])  # a text has one root and a root one text that stays
+    return once.unionByName(twice).drop(own)

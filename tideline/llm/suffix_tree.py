@@ -16,7 +16,6 @@ Null and empty texts have the end only. Repeated rows are scored alike and count
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -31,11 +30,11 @@ from tideline.functions.ship import ship
 from tideline.llm.common import pack, unpack, written
 
 #: Tokens of a chunk, tokens a bucket answers for, and occurrences of a context beyond which it takes several buckets.
-CHUNK, BUCKET, HOT = 1 << 21, 1 << 21, 1 << 20
+CHUNK, BUCKET, HOT = 1 << 20, 1 << 20, 1 << 20
 #: As how many tokens the suffix's distribution counts.
 STRENGTHS = (1.0, 8.0, 64.0, 512.0)
 ADDED = 0.1
-RETURNS = "chunk long, bucket long, counts binary, nodes binary, contexts array<long>, seen array<long>, gains array<array<double>>"
+RETURNS = "chunk long, bucket long, answers binary, contexts array<long>, seen array<long>, gains array<array<double>>"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -52,30 +51,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _chunks(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     """Rows of whole documents, of ``most`` tokens and the last document's. Words are numbered in the order of their CRC, the end (an empty word) among them."""
-    chunk, held, docs, known = TaskContext.get().partitionId() << 32, [], [], {b"": 0}
+    chunk, held, size, docs, known = TaskContext.get().partitionId() << 32, [], 0, [], {b"": 0}
 
     def flush() -> pd.DataFrame:
-        nonlocal chunk, held, docs, known
+        nonlocal chunk, held, size, docs, known
         words = list(known)
         order = np.lexsort((np.arange(len(words)), np.fromiter(map(zlib.crc32, words), np.int64, len(words))))
         at = np.empty(len(words), np.int32)
         at[order] = np.arange(len(words), dtype=np.int32)
-        flat, length = at[np.array(held, np.int64)], np.array([d[1] for d in docs], np.int32)
+        flat, length = at[np.concatenate(held)], np.array([d[1] for d in docs], np.int32)
         train = np.repeat(np.array([d[2] for d in docs], bool), length)
-        state = pickle.dumps((pack(length), pack(np.array([d[2] for d in docs], np.uint8)), pack(flat)))
+        state = pack(length, np.array([d[2] for d in docs], np.uint8), flat)
         row = pd.DataFrame({"chunk": [chunk], "size": [len(flat)], "n_words": [len(words)], "keys": [pd.Series([d[0] for d in docs], dtype=object).tolist()], "state": [state]})
         row["words"] = [zstandard.ZstdCompressor(level=1).compress(b" ".join([words[i] for i in order]))]
         row["n"] = [pack(np.bincount(flat[train], minlength=len(words)).astype(np.int32))]
-        chunk, held, docs, known = chunk + 1, [], [], {b"": 0}
+        chunk, held, size, docs, known = chunk + 1, [], 0, [], {b"": 0}
         return row
 
     for batch in batches:
         for key, text, train in zip(batch["key"].astype(object).where(batch["key"].notna(), None), batch["text"], batch["train"], strict=True):
             own = tokens(text)
-            held += [known.setdefault(w, len(known)) for w in own]
-            held.append(0)
+            held.append(np.array([*[known.setdefault(w, len(known)) for w in own], 0], np.int32))
+            size += len(own) + 1
             docs.append((key, len(own) + 1, bool(train)))
-            if len(held) >= most:
+            if size >= most:
                 yield flush()
     if docs:
         yield flush()
@@ -85,7 +84,7 @@ def _word_requests(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for chunk, packed, n in zip(batch["chunk"], batch["words"], batch["n"], strict=True):
-                words, n = zstandard.ZstdDecompressor().decompress(packed).split(b" "), unpack(n)
+                words, n = zstandard.ZstdDecompressor().decompress(packed).split(b" "), unpack(n)[0]
                 bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) * buckets >> 32
                 starts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(words))
                 rows = [(bucket[a], chunk, zstandard.ZstdCompressor(level=1).compress(b" ".join(words[a:b])), pack(n[a:b])) for a, b in zip(starts, starts[1:], strict=False)]
@@ -103,9 +102,9 @@ def _count_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         asked.append(np.fromiter((of.setdefault(w, len(of)) for w in words), np.int64, len(words)))
     total = np.zeros(len(of), np.int64)
     for at, n in zip(asked, rows["n"], strict=True):
-        total[at] += unpack(n)  # a chunk asks once for a word
-    out = [(chunk, key[0], pack(total[at]), pack((int(key[0]) << 32) + at), None, None, None) for chunk, at in zip(rows["chunk"], asked, strict=True)]
-    out.append((None, key[0], None, None, None, [int((total > 0).sum()), int(total.sum())], None))
+        total[at] += unpack(n)[0]  # a chunk asks once for a word
+    out = [(chunk, key[0], pack(total[at], (int(key[0]) << 32) + at), None, None, None) for chunk, at in zip(rows["chunk"], asked, strict=True)]
+    out.append((None, key[0], None, None, [int((total > 0).sum()), int(total.sum())], None))
     return pd.DataFrame(out, columns=[c.split(" ")[0] for c in RETURNS.split(", ")])
 
 
@@ -113,7 +112,7 @@ class _Walk:
     """The tokens of a chunk, their probabilities so far, and the pairs of context and next token of the next level."""
 
     def __init__(self, state: bytes, words: tuple[np.ndarray, np.ndarray], n: int, v: int, min_count: int, hot: int):
-        self.length, train, self.tok = (unpack(x) for x in pickle.loads(state))
+        self.length, train, self.tok = unpack(state)
         self.train = np.repeat(train.astype(bool), self.length)
         self.starts = np.cumsum(self.length) - self.length
         self.seen, self.ids = words
@@ -166,13 +165,13 @@ class _Walk:
             of = self.of[at]
             heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             packed = (self.context[of[heads]], self.context_count[of[heads]], np.diff(np.append(heads, len(of))).astype(np.int32), self.ids[self.word[at]], n[at], self.prior[at].astype(np.float32))
-            out.append((sorted_bucket[a], chunk, pickle.dumps([pack(x) for x in packed])))
+            out.append((sorted_bucket[a], chunk, pack(*packed)))
         return out
 
 
 def _count_pairs(min_count: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [[unpack(x) for x in pickle.loads(p)] for p in rows["pairs"]]
+        parts = [unpack(p) for p in rows["pairs"]]
         sizes = [len(p[3]) for p in parts]
         context, seen = (np.concatenate([np.repeat(p[i], p[2]) for p in parts]) for i in (0, 1))
         word, n, prior = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
@@ -191,9 +190,9 @@ def _count_pairs(min_count: int):
         out, at = [], 0
         for chunk, size, p in zip(rows["chunk"], sizes, parts, strict=True):
             own = of[at : at + size]
-            out.append((chunk, key[0], pack(count[own]), pack(node[own]), p[0].tolist(), None, None))
+            out.append((chunk, key[0], pack(count[own], node[own]), p[0].tolist(), None, None))
             at += size
-        out.append((None, key[0], None, None, c[first].tolist(), None, np.stack(gains, 1).tolist()))
+        out.append((None, key[0], None, c[first].tolist(), None, np.stack(gains, 1).tolist()))
         return pd.DataFrame(out, columns=[x.split(" ")[0] for x in RETURNS.split(", ")])
 
     return run
@@ -208,7 +207,7 @@ class _Levels:
         self.buckets = [(size.words or 0) // bucket + 1]
         requests = chunks.select("chunk", "words", "n").mapInPandas(_word_requests(self.buckets[0]), "bucket long, chunk long, words binary, n binary")
         found = written(requests.groupBy("bucket").applyInPandas(_count_words, RETURNS), "words")
-        self.answers = [found.filter("chunk IS NOT NULL").select("chunk", F.lit(0).alias("level"), "bucket", "counts", "nodes")]
+        self.answers = [found.filter("chunk IS NOT NULL").select("chunk", F.lit(0).alias("level"), "bucket", "answers")]
         known = found.filter("chunk IS NULL").agg(F.sum(F.col("seen")[0]).alias("v"), F.sum(F.col("seen")[1]).alias("n")).first()
         self.v, self.n, self.size = known.v or 0, known.n or 0, size.size or 0
 
@@ -221,13 +220,13 @@ class _Levels:
 
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             def of(level: int) -> tuple[np.ndarray, np.ndarray]:
-                rows = right[(right["level"] == level) & right["counts"].notna()].sort_values("bucket")
-                return tuple(np.concatenate([np.zeros(0, np.int64), *map(unpack, rows[c])]) for c in ("counts", "nodes"))
+                rows = right[(right["level"] == level) & right["answers"].notna()].sort_values("bucket")
+                return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*map(unpack, rows["answers"]), strict=True)) or (np.zeros(0, np.int64),) * 2
 
             walk = _Walk(left["state"].iloc[0], of(0), n, v, min_count, hot)
             for level in range(1, len(buckets)):
                 walk.grow()
-                states = right[(right["level"] == level) & right["counts"].isna()]
+                states = right[(right["level"] == level) & right["answers"].isna()]
                 walk.answered(buckets[level], *of(level), {s["context"]: s["strength"] for row in states["states"] for s in row})
             return make(left["keys"].iloc[0], int(left["chunk"].iloc[0]), walk)
 
@@ -248,7 +247,7 @@ class _Levels:
         states = tested.select(F.col("contexts").alias("context"), best.alias("b")).filter(F.col("b.gain") >= self.cutoff).select("context", F.col("b.strength").alias("strength"))
         asked = found.filter("chunk IS NOT NULL").select("chunk", F.explode("contexts").alias("context")).distinct()
         told = asked.join(states, "context").groupBy("chunk").agg(F.collect_list(F.struct("context", "strength")).alias("states"))
-        self.answers.append(found.filter("chunk IS NOT NULL").select("chunk", F.lit(level).alias("level"), "bucket", "counts", "nodes"))
+        self.answers.append(found.filter("chunk IS NOT NULL").select("chunk", F.lit(level).alias("level"), "bucket", "answers"))
         self.answers.append(written(told.select("chunk", F.lit(level).alias("level"), "states"), "states"))
         self.buckets.append(buckets)
 
