@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.shared import written
 from tideline.functions.ship import ship
-from tideline.functions.vectors import dot
 from tideline.operators.interactions import clicks
 
 
@@ -48,9 +48,16 @@ def top_by(scored: DataFrame, key: str, k: int, score: str = "score", item: str
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def vector_scores(queries: DataFrame, items: DataFrame, key: str = "query") -> DataFrame:
-    """(key, item, score): dot products of a stated, small set of query vectors (``q``) with every item's (``v``)."""
-    return items.join(F.broadcast(queries), how="cross").select(key, "item", dot(F.col("q"), F.col("v")).alias("score"))
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's ``k`` best, best first, ties by column: only what reaches the k-th score is sorted."""
+    if k >= score.shape[1]:
+        return np.argsort(-score, axis=1, kind="stable")
+    least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+    out = np.empty((len(score), k), np.int64)
+    for i, row in enumerate(score):
+        at = np.flatnonzero(row >= least[i])
+        out[i] = at[np.argsort(-row[at], kind="stable")][:k]
+    return out
 
 
 def blocked_topk(queries: DataFrame, items: DataFrame, key: str, k: int | Column, rows: int = 4096, digits: int = 6) -> DataFrame:
@@ -60,9 +67,9 @@ def blocked_topk(queries: DataFrame, items: DataFrame, key: str, k: int | Column
     merged. No task holds more than a block of each side. ``k`` may be a column of the queries, such as the length of a history that is taken out afterwards.
     """
     ship(items.sparkSession)
+    items, queries = written(items.select("item", "v"), "items"), written(queries.select(key, "q", (k if isinstance(k, Column) else F.lit(k)).cast("int").alias("k")), "queries")
     across, down = (max(1, -(-df.count() // rows)) for df in (items, queries))
-    k = k if isinstance(k, Column) else F.lit(k)
-    left = queries.select(key, "q", k.cast("int").alias("k"), F.pmod(F.xxhash64(key), F.lit(down)).alias("down"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("across"))
+    left = queries.select(key, "q", "k", F.pmod(F.xxhash64(key), F.lit(down)).alias("down"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("across"))
     right = items.select("item", "v", F.pmod(F.xxhash64("item"), F.lit(across)).alias("across"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("down"))
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -70,8 +77,8 @@ def blocked_topk(queries: DataFrame, items: DataFrame, key: str, k: int | Column
             return pd.DataFrame({key: [], "item": [], "score": [], "k": []})
         b = b.sort_values("item")
         score = np.stack(a["q"]) @ np.stack(b["v"]).T
-        best = np.argsort(-np.round(score, digits), axis=1, kind="stable")
         most = np.minimum(a["k"].to_numpy(), len(b))
+        best = _best(np.round(score, digits), int(most.max()))
         row = np.repeat(np.arange(len(a)), most)
         at = np.concatenate([best[i, :n] for i, n in enumerate(most)])
         return pd.DataFrame({key: a[key].to_numpy()[row], "item": b["item"].to_numpy()[at], "score": score[row, at], "k": a["k"].to_numpy()[row]})
@@ -103,72 +110,88 @@ def fuse(candidates: DataFrame, key: str, weights: dict[str, float] = SOURCE_WEI
 class ImplicitALS:
     """Implicit-feedback factorisation: confidence 1 + alpha r, constant ridge, alternating exact solves.
 
-    Normal equations are summed per id inside each batch before they are shuffled, so an id with any number of interactions moves at most one
-    partial sum per batch. Factors travel by join, not by broadcast; only the f x f Gram matrix goes through the driver.
+    Several models may be fitted at once, told apart by a column ``fold`` of the interactions; each has its own Gram matrix, all else is keyed by (fold, id).
+    Normal equations (their upper triangle) are summed per id inside each batch before they are shuffled, so an id with any number of interactions moves at most one
+    partial sum per batch. Factors travel by join, not by broadcast, and are stored after each half round; only the f x f Gram matrices go through the driver.
     """
 
     def __init__(self, factors: int = 8, ridge: float = 0.05, alpha: float = 30.0, iterations: int = 3):
         self.f, self.ridge, self.alpha, self.iterations = factors, ridge, alpha, iterations
+        self.triangle = np.triu_indices(factors)
 
     def start(self, ids: DataFrame) -> DataFrame:
-        """(id, y): small values from integer arithmetic."""
+        """(fold, id, y): small values from integer arithmetic."""
         cells = [(F.pmod(F.xxhash64("id", F.lit(j)), F.lit(1_000_003)) / 1_000_003.0 - 0.5) * 0.2 for j in range(self.f)]
-        return ids.select("id", F.array(*cells).alias("y"))
+        return ids.select("fold", "id", F.array(*cells).alias("y"))
 
-    def gram(self, factors: DataFrame) -> np.ndarray:
+    def gram(self, factors: DataFrame) -> dict[int, np.ndarray]:
         f = self.f
 
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            g = np.zeros((f, f))
+            sums: dict[int, np.ndarray] = {}
             for b in batches:
-                if len(b):
-                    y = np.stack(b["y"])
-                    g += y.T @ y
-            yield pd.DataFrame({"g": [g.ravel()]})
+                for fold, ys in b.groupby("fold")["y"]:
+                    y = np.stack(ys)
+                    sums[fold] = sums.get(fold, 0.0) + y.T @ y
+            yield pd.DataFrame({"fold": list(sums), "g": [g.ravel() for g in sums.values()]})
 
-        cells = factors.select("y").mapInPandas(part, "g array<double>").select(F.posexplode("g")).groupBy("pos").agg(F.sum("col")).collect()
-        g = np.zeros(f * f)
-        for pos, value in cells:
-            g[pos] = value
-        return g.reshape(f, f)
+        out: dict[int, np.ndarray] = {}
+        for r in factors.select("fold", "y").mapInPandas(part, "fold int, g array<double>").select("fold", F.posexplode("g")).groupBy("fold", "pos").agg(F.sum("col").alias("x")).collect():
+            out.setdefault(r.fold, np.zeros(f * f))[r.pos] = r.x
+        return {fold: g.reshape(f, f) for fold, g in out.items()}
 
     def half_step(self, ratings: DataFrame, other: DataFrame) -> DataFrame:
-        """(id, y) solved from (id, other, r) and the other side's (id, y)."""
+        """(fold, id, y) solved from (fold, id, other, r) and the other side's (fold, id, y)."""
         ship(ratings.sparkSession)
-        f, alpha, ridge, gram = self.f, self.alpha, self.ridge, self.gram(other)
-        rows = ratings.join(other.select(F.col("id").alias("other"), "y"), "other").select("id", "r", "y")
+        f, alpha, ridge, (up, down), grams = self.f, self.alpha, self.ridge, self.triangle, self.gram(other)
+        rows = ratings.join(other.select("fold", F.col("id").alias("other"), "y"), ["fold", "other"]).select("fold", "id", "r", "y")
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b) == 0:
                     continue
                 y, c = np.stack(b["y"]), alpha * b["r"].to_numpy()
-                cells = np.concatenate([(y[:, :, None] * y[:, None, :] * c[:, None, None]).reshape(len(b), -1), y * (1 + c)[:, None]], axis=1)
-                ids, at = np.unique(b["id"].to_numpy(), return_inverse=True)
-                out = np.zeros((len(ids), cells.shape[1]))
-                np.add.at(out, at, cells)
-                yield pd.DataFrame({"id": ids, "s": list(out)})
-
-        def solve(ids: pd.Series, s: pd.Series) -> pd.Series:
+                cells = np.concatenate([y[:, up] * y[:, down] * c[:, None], y * (1 + c)[:, None]], axis=1)
+                at = b.groupby(["fold", "id"], sort=False).ngroup().to_numpy()
+                order = np.argsort(at, kind="stable")
+                firsts = np.flatnonzero(np.append(True, np.diff(at[order]) > 0))
+                heads = b.iloc[order[firsts]]
+                yield pd.DataFrame({"fold": heads["fold"].to_numpy(), "id": heads["id"].to_numpy(), "s": list(np.add.reduceat(cells[order], firsts, axis=0))})
+
+        def solve(fold: pd.Series, s: pd.Series) -> pd.Series:
             a = np.stack(s)
-            left = a[:, : f * f].reshape(-1, f, f) + gram + ridge * np.eye(f)
-            return pd.Series(list(np.linalg.solve(left, a[:, f * f :, None])[:, :, 0]), index=ids.index)
-
-        partial = rows.mapInPandas(sums, "id long, s array<double>")
-        cells = partial.select("id", F.posexplode("s").alias("p", "x")).groupBy("id", "p").agg(F.sum("x").alias("x"))
-        whole = cells.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda c: c["x"]).alias("s"))
-        return whole.select("id", F.pandas_udf(solve, "array<double>")("id", "s").alias("y"))
+            left = np.empty((len(a), f, f))
+            left[:, up, down] = left[:, down, up] = a[:, : len(up)]
+            left += np.stack([grams[i] for i in fold]) + ridge * np.eye(f)
+            return pd.Series(list(np.linalg.solve(left, a[:, len(up) :, None])[:, :, 0]), index=s.index)
+
+        partial = rows.mapInPandas(sums, f"fold int, id {dict(ratings.dtypes)['id']}, s array<double>")
+        cells = partial.select("fold", "id", F.posexplode("s").alias("p", "x")).groupBy("fold", "id", "p").agg(F.sum("x").alias("x"))
+        whole = cells.groupBy("fold", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda c: c["x"]).alias("s"))
+        return whole.select("fold", "id", F.pandas_udf(solve, "array<double>")("fold", "s").alias("y"))
+
+    @staticmethod
+    def _keyed(user_item: DataFrame) -> DataFrame:
+        fold = F.col("fold").cast("int") if "fold" in user_item.columns else F.lit(0)
+        return user_item.select(fold.alias("fold"), F.col("user_id").alias("id"), F.col("item").alias("other"), F.col("weight").alias("r"))
+
+    def fit_folds(self, user_item: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(users, items), each (fold, id, y), from (fold, user_id, item, weight)."""
+        by_user = written(self._keyed(user_item), "ratings")
+        by_item = by_user.select("fold", F.col("other").alias("id"), F.col("id").alias("other"), "r")
+        items = written(self.start(by_item.select("fold", "id").distinct()), "factors")
+        for _ in range(self.iterations):
+            users = written(self.half_step(by_user, items), "factors")
+            items = written(self.half_step(by_item, users), "factors")
+        return users, items
 
     def fit(self, user_item: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(users, items), each (id, y), from (user_id, item, weight)."""
-        by_user = user_item.select(F.col("user_id").alias("id"), F.col("item").alias("other"), F.col("weight").alias("r")).cache()
-        by_item = by_user.select(F.col("other").alias("id"), F.col("id").alias("other"), "r")
-        items = self.start(by_item.select("id").distinct())
-        for _ in range(self.iterations):
-            users = self.half_step(by_user, items).cache()
-            items = self.half_step(by_item, users).cache()
-        return users, items
+        users, items = self.fit_folds(user_item.drop("fold"))
+        return users.drop("fold"), items.drop("fold")
 
     def fold_in(self, user_item: DataFrame, items: DataFrame) -> DataFrame:
-        """(id, y) of users that were not in the fit."""
-        return self.half_step(user_item.select(F.col("user_id").alias("id"), F.col("item").alias("other"), F.col("weight").alias("r")), items)
+        """(id, y), with fold if ``items`` have one, of users that were not in the fit."""
+        many = "fold" in items.columns
+        out = self.half_step(self._keyed(user_item), items if many else items.withColumn("fold", F.lit(0)))
+        return out if many else out.drop("fold")
