@@ -79,3 +79,74 @@ def top1_share(df: DataFrame, key: str, score: str, label: str) -> DataFrame:
     best = Window.partitionBy(key)
     g = df.withColumn("top", F.max(score).over(best)).groupBy(key).agg(F.sum(label).alias("n_pos"), F.count_if(F.col(score) == F.col("top")).alias("ties"), F.max(F.when((F.col(score) == F.col("top")) & (F.col(label) == 1), 1).otherwise(0)).alias("won"))
     return g.filter("n_pos = 1").agg(F.avg(F.col("won") / F.col("ties")).alias("top1"), F.count(F.lit(1)).alias("n"))
+
+
+def auc_by(df: DataFrame, by: str, score: str, label: str, buckets: int = 64) -> DataFrame:
+    """(by, auc, n_pos, n_neg): many AUCs at once, ties half, of rows (by, score, label).
+
+    Rows are summed by score; each group's scores are cut into ranges at its own quantiles, so that no running sum goes over a whole group in one task.
+    """
+    g = df.groupBy(by, score).agg(F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0.0).otherwise(1.0)).alias("n"))
+    bounds = g.groupBy(by).agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 1000).alias("bounds"))
+    ranged = g.join(bounds, by).withColumn("range", F.size(F.filter(F.array_distinct("bounds"), lambda x: x <= F.col(score)))).drop("bounds")
+    before = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(by, "range").agg(F.sum("n").alias("whole")).select(by, "range", F.coalesce(F.sum("whole").over(before), F.lit(0.0)).alias("start"))
+    within = Window.partitionBy(by, "range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    below = ranged.withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0.0))).join(starts, [by, "range"])
+    t = below.groupBy(by).agg(F.sum(F.col("p") * (F.col("start") + F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    return t.select(by, F.try_divide(F.col("u"), F.col("n_pos") * F.col("n_neg")).alias("auc"), F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
+
+
+def expected_place(above: Column, ties: Column) -> dict[str, Column]:
+    """What a row is worth that shares its score with ``ties`` rows, itself included, below ``above`` others, if ties are broken at random: chance of the first place, mean of 1 / place and of 1 / log2(place + 1)."""
+    places = F.sequence(above + 1, above + ties)
+    mean = lambda f: F.aggregate(places, F.lit(0.0), lambda s, r: s + f(r)) / ties
+    return {"top1": F.when(above == 0, 1 / ties).otherwise(0.0), "mrr": mean(lambda r: 1 / r), "ndcg": mean(lambda r: 1 / F.log2(r + 1))}
+
+
+def expected_hits(above: Column, ties: Column, k: int) -> dict[str, Column]:
+    """Chance of a place among the first ``k``, discounted gain there, and mean place, ties broken at random."""
+    inside = F.greatest(F.least(above + ties, F.lit(k)) - above, F.lit(0))
+    places = F.when(inside > 0, F.sequence(above + 1, above + inside))
+    gain = F.coalesce(F.aggregate(places, F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1)), F.lit(0.0)) / ties
+    return {"hit_rate": inside / ties, "ndcg": gain, "mean_rank": above + (ties + 1) / 2}
+
+
+def strategy_metrics(lists: DataFrame, relevant: DataFrame, popularity: DataFrame, vectors: DataFrame, catalog: DataFrame, k: int = 10, obvious: int = 5) -> DataFrame:
+    """One row for each strategy of ``lists`` (strategy, user_id, item, rank): all list metrics at ``k`` over users with relevant items, and coverage, Gini, novelty, diversity and serendipity.
+
+    ``relevant``: user_id, item, gain; ``popularity``: item, n; ``vectors``: item, v; ``catalog``: item. Users without a list count as misses. Serendipity counts hits outside the ``obvious`` most popular items.
+    """
+    users = relevant.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_relevant"))
+    place = Window.partitionBy("user_id").orderBy(F.desc("gain"), "item")
+    ideal = relevant.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k).groupBy("user_id").agg(F.sum(F.col("gain") / F.log2(F.col("place") + 1)).alias("ideal"))
+    total = popularity.agg(F.sum("n").alias("total"))
+    known = popularity.orderBy(F.desc("n"), "item").limit(obvious).select("item", F.lit(1).alias("known"))
+    top = lists.filter(F.col("rank") <= k).join(users.select("user_id"), "user_id", "left_semi")
+    hit = top.join(relevant, ["user_id", "item"], "left").join(popularity, "item", "left").join(F.broadcast(known), "item", "left").crossJoin(F.broadcast(total))
+    hit = hit.withColumn("hit", F.col("gain").isNotNull().cast("int"))
+    upto = Window.partitionBy("strategy", "user_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    per = hit.withColumn("hits", F.sum("hit").over(upto)).groupBy("strategy", "user_id").agg(
+        F.sum("hit").alias("found"), F.sum(F.col("hit") * F.col("hits") / F.col("rank")).alias("ap"), F.coalesce(F.max(F.col("hit") / F.col("rank")), F.lit(0.0)).alias("rr"),
+        F.sum(F.coalesce("gain", F.lit(0.0)) / F.log2(F.col("rank") + 1)).alias("dcg"), F.avg(F.when(F.col("known").isNull(), F.col("hit")).otherwise(0)).alias("serendipity"),
+        F.avg(-F.log2(F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)) / F.col("total"))).alias("novelty"), F.count(F.lit(1)).alias("shown"),
+    )
+    apart = pairwise_mean_cosine(top.join(vectors, "item"), ["strategy", "user_id"]).select("strategy", "user_id", F.when(F.col("n") < 2, 0.0).otherwise(1 - F.col("coherence")).alias("diversity"))
+    each = per.join(users, "user_id").join(ideal, "user_id").join(apart, ["strategy", "user_id"], "left")
+    n_users = users.agg(F.count(F.lit(1)).alias("n_users"))
+    of_all = lambda c: F.sum(c) / F.first("n_users")
+    quality = each.crossJoin(F.broadcast(n_users)).groupBy("strategy").agg(
+        of_all(F.col("found") / k).alias("precision"), of_all(F.col("found") / F.col("n_relevant")).alias("recall"), of_all(F.col("ap") / F.least("n_relevant", F.lit(k))).alias("map"), of_all(F.col("rr")).alias("mrr"),
+        of_all(F.coalesce(F.try_divide("dcg", "ideal"), F.lit(0.0))).alias("ndcg"), of_all((F.col("found") > 0).cast("int")).alias("hit_rate"), of_all(F.col("serendipity")).alias("serendipity"),
+        (F.sum(F.col("novelty") * F.col("shown")) / F.sum("shown")).alias("novelty"), F.avg(F.coalesce("diversity", F.lit(0.0))).alias("diversity"), F.first("n_users").alias("n_users"),
+    )
+    size = catalog.agg(F.count(F.lit(1)).alias("size"))
+    shown = top.groupBy("strategy", "item").agg(F.count(F.lit(1)).alias("x"))
+    # items of one exposure take consecutive places; those never shown take the first ones and add nothing
+    by = shown.groupBy("strategy", "x").agg(F.count(F.lit(1)).alias("c"))
+    after = Window.partitionBy("strategy").orderBy("x")
+    ends = by.withColumns({"upto": F.sum("c").over(after.rowsBetween(Window.unboundedPreceding, 0)), "covered": F.sum("c").over(Window.partitionBy("strategy"))}).crossJoin(F.broadcast(size))
+    first = F.col("size") - F.col("covered") + F.col("upto")
+    spread = ends.groupBy("strategy").agg(F.sum((first * 2 - F.col("c") + 1) * F.col("c") / 2.0 * F.col("x")).alias("w"), F.sum(F.col("c") * F.col("x")).alias("s"), F.first("size").alias("n"), F.first("covered").alias("covered"))
+    spread = spread.select("strategy", (F.col("covered") / F.col("n")).alias("coverage"), (2 * F.col("w") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")).alias("gini"))
+    return quality.join(spread, "strategy")

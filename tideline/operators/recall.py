@@ -14,26 +14,33 @@ from tideline.functions.ship import ship
 from tideline.operators.interactions import clicks
 
 
+def _fold(df: DataFrame) -> list[str]:
+    """The column that tells several models apart, if there is one."""
+    return ["fold"] if "fold" in df.columns else []
+
+
 def sessions(imp: DataFrame) -> DataFrame:
-    return clicks(imp).select("session_id", "item").distinct()
+    return clicks(imp).select(*_fold(imp), "session_id", "item").distinct()
 
 
 def pair_counts(imp: DataFrame) -> DataFrame:
     """(item, neighbour, n): sessions that clicked both, in both directions. Both sides of the join share one shuffle on the session."""
     s = sessions(imp)
     a, b = s.alias("a"), s.alias("b")
-    pairs = a.join(b, (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.item") != F.col("b.item")))
-    return pairs.groupBy(F.col("a.item").alias("item"), F.col("b.item").alias("neighbour")).agg(F.count(F.lit(1)).alias("n"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("session_id", *_fold(imp))]
+    pairs = a.join(b, [*same, F.col("a.item") != F.col("b.item")])
+    return pairs.groupBy(*[F.col(f"a.{c}").alias(c) for c in _fold(imp)], F.col("a.item").alias("item"), F.col("b.item").alias("neighbour")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def covisitation(imp: DataFrame, damping: float = 0.5, min_count: int = 2, top_k: int = 100) -> DataFrame:
-    """(item, neighbour, score, rank): damped pair counts, the best ``top_k`` of each item."""
-    popularity = sessions(imp).groupBy("item").agg(F.count(F.lit(1)).alias("p"))
+    """(item, neighbour, score, rank): damped pair counts, the best ``top_k`` of each item; a ``fold`` of the impressions keeps several apart."""
+    by = _fold(imp)
+    popularity = sessions(imp).groupBy(*by, "item").agg(F.count(F.lit(1)).alias("p"))
     pairs = pair_counts(imp).filter(F.col("n") >= min_count)
-    both = pairs.join(popularity, "item").join(popularity.select(F.col("item").alias("neighbour"), F.col("p").alias("q")), "neighbour")
+    both = pairs.join(popularity, [*by, "item"]).join(popularity.select(*by, F.col("item").alias("neighbour"), F.col("p").alias("q")), [*by, "neighbour"])
     scored = both.withColumn("score", F.col("n") / (F.pow("p", F.lit(damping)) * F.pow("q", F.lit(1 - damping))))
-    best = Window.partitionBy("item").orderBy(F.desc(F.round("score", 9)), "neighbour")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k).select("item", "neighbour", "score", "rank")
+    best = Window.partitionBy(*by, "item").orderBy(F.desc(F.round("score", 9)), "neighbour")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k).select(*by, "item", "neighbour", "score", "rank")
 
 
 def covisit_scores(history: DataFrame, neighbours: DataFrame, exclude: bool = True) -> DataFrame:

@@ -1,3 +1,3 @@
 """Imports every module of queries, which registers them."""
 
-from tideline.plans import evaluation, generators, pages, ranking, relational, retrieval, serving, text  # noqa: F401
+from tideline.plans import evaluation, generators, pages, ranking, relational, retrieval, scoring, serving, text  # noqa: F401

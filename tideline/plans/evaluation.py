@@ -165,7 +165,7 @@ m AS (SELECT u.user_id, coalesce(sum(hit), 0) / 10.0 AS precision, coalesce(max(
 
 
 @query(with_sql(*EALL, J, REPORT, then="SELECT 'popularity' AS strategy, round(avg(precision), 6) AS precision, round(avg(hit_rate), 6) AS hit_rate, count(*) AS n_users FROM m"))
-def strategy_report(spark, d):
+def popularity_report(spark, d):
     return _metrics(spark, d).agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("hit_rate"), 6).alias("hit_rate"), F.count(F.lit(1)).alias("n_users")).withColumn("strategy", F.lit("popularity"))
 
 
@@ -209,25 +209,6 @@ def protocol_a(spark, d):
     return placed.agg(F.count(F.lit(1)).alias("feeds"), F.round(F.avg(1 / r), 6).alias("mrr"), F.round(F.avg(1 / F.log2(r + 1)), 6).alias("ndcg"))
 
 
-@query(with_sql(EV, ECUT, EPRE, EREL, "pp AS (SELECT item, count(*) AS s FROM pre WHERE clicked = 1 GROUP BY 1)", "its AS (SELECT DISTINCT item FROM ev)", "pos AS (SELECT user_id, item FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (item * 2654435761 + 3) % 1000003, item) n FROM rel) WHERE n <= 3)",
-    "ng AS (SELECT user_id, item FROM (SELECT p.user_id, i.item, row_number() OVER (PARTITION BY p.user_id ORDER BY (i.item * 2654435761 + p.user_id * 7919) % 1000003, i.item) n FROM (SELECT DISTINCT user_id FROM pos) p, its i WHERE (p.user_id, i.item) NOT IN (SELECT (user_id, item) FROM ev WHERE clicked = 1)) WHERE n <= 100)",
-    "r AS (SELECT p.user_id, p.item, 1.0 + sum((coalesce(b.s, 0) > coalesce(a.s, 0))::INT) + sum((coalesce(b.s, 0) = coalesce(a.s, 0))::INT) / 2.0 AS r FROM pos p JOIN ng n USING (user_id) LEFT JOIN pp a ON a.item = p.item LEFT JOIN pp b ON b.item = n.item GROUP BY ALL)",
-    then="SELECT count(*) AS tasks, round(avg((r <= 10)::INT), 6) AS hit_rate, round(avg(r), 6) AS mean_rank FROM r"))
-def protocol_b(spark, d):
-    """Each of up to three positives of a user against a hundred negatives drawn by hash, without replacement."""
-    ev = event_impressions(spark, d)
-    pre, _ = parts(spark, d)
-    s = ix.clicks(pre).groupBy("item").agg(F.count(F.lit(1)).alias("s"))
-    draw = Window.partitionBy("user_id")
-    pos = relevance(spark, d).withColumn("n", F.row_number().over(draw.orderBy(ix.hash_order(F.col("item"), 3), "item"))).filter("n <= 3").select("user_id", "item")
-    free = pos.select("user_id").distinct().crossJoin(F.broadcast(ev.select("item").distinct())).join(ix.clicks(ev), ["user_id", "item"], "left_anti")
-    neg = free.withColumn("n", F.row_number().over(draw.orderBy(F.pmod(F.col("item") * 2654435761 + F.col("user_id") * 7919, F.lit(1000003)), "item"))).filter("n <= 100").select("user_id", F.col("item").alias("other"))
-    score = lambda df, item, out: df.join(F.broadcast(s.select(F.col("item").alias(item), F.col("s").alias(out))), item, "left").withColumn(out, F.coalesce(out, F.lit(0)))
-    j = score(score(pos.join(neg, "user_id"), "item", "a"), "other", "b")
-    r = j.groupBy("user_id", "item").agg((1 + F.sum((F.col("b") > F.col("a")).cast("int")) + F.sum((F.col("b") == F.col("a")).cast("int")) / 2.0).alias("r"))
-    return r.agg(F.count(F.lit(1)).alias("tasks"), F.round(F.avg((F.col("r") <= 10).cast("int")), 6).alias("hit_rate"), F.round(F.avg("r"), 6).alias("mean_rank"))
-
-
 @query()
 def objective_compare(spark, d):
     """NDCG of co-visitation, popularity and their fusion over the held-out clicks."""

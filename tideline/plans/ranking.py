@@ -63,7 +63,7 @@ FEATURES = ["log_views", "engagement_rate", "log_views_per_day", "duration_minut
 
 
 @query(with_sql(IMP, CAT, NOW, STATS, HIST, DUR, AFFS, then="SELECT i.user_id, i.item, i.session_id, i.rank_shown, round(s.log_views, 6) AS log_views, round(s.engagement_rate, 6) AS engagement_rate, round(coalesce(channel_affinity, 0), 6) AS channel_affinity, (channel_affinity IS NOT NULL)::INT AS channel_seen, round(coalesce(category_affinity, 0), 6) AS category_affinity FROM imp i JOIN stats s ON i.item = s.video_id LEFT JOIN ca ON ca.user_id = i.user_id AND ca.channel_id = s.channel_id LEFT JOIN ga ON ga.user_id = i.user_id AND ga.category = s.category"))
-def ranker_features(spark, d):
+def impression_features(spark, d):
     return features(spark, d).select("user_id", "item", "session_id", F.col("rank_shown").cast("bigint").alias("rank_shown"), *[F.round(c, 6).alias(c) for c in ("log_views", "engagement_rate", "channel_affinity")], "channel_seen", F.round("category_affinity", 6).alias("category_affinity"))
 
 
