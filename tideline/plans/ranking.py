@@ -98,14 +98,14 @@ def temporal_split(spark, d):
     return ix.temporal_split(retail_impressions(spark, d)).select("user_id", "item", "session_id", F.col("rank_shown").cast("bigint").alias("rank_shown"), "is_train")
 
 
-@query(with_sql(EV, "f AS (SELECT user_id, item, session_id, (user_id * 2654435761 + 97) % 1000003 % 4 AS fold FROM ev WHERE clicked = 1)", "fs AS (SELECT DISTINCT g.fold, session_id, item FROM f, (SELECT unnest(range(4)) AS fold) g WHERE f.fold <> g.fold)", then="SELECT a.fold::INT AS fold, a.item, b.item AS neighbour, count(*) AS n FROM fs a JOIN fs b ON a.fold = b.fold AND a.session_id = b.session_id AND a.item <> b.item GROUP BY ALL HAVING count(*) >= 5"))
+@query(with_sql(EV, "f AS (SELECT user_id, item, session_id, (user_id * 2654435761 + 97) % 1000003 % 4 AS fold FROM ev WHERE clicked = 1)", "fs AS (SELECT DISTINCT g.fold, session_id, item FROM f, (SELECT unnest(range(4)) AS fold) g WHERE f.fold <> g.fold)", then="SELECT a.fold::INT AS fold, a.item, b.item AS neighbour, count(*) AS n FROM fs a JOIN fs b ON a.fold = b.fold AND a.session_id = b.session_id AND a.item <> b.item GROUP BY ALL HAVING count(*) >= 2"))
 def crossfit_covisit(spark, d):
     """Pair counts for each fold from the other folds' users, in one job keyed by fold."""
     ev = ix.clicks(event_impressions(spark, d)).select("item", "session_id", ix.user_fold(F.col("user_id")).alias("own"))
     keyed = ev.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter("fold <> own").select("fold", "session_id", "item").distinct()
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, (F.col("a.fold") == F.col("b.fold")) & (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.item") != F.col("b.item")))
-    return pairs.groupBy(F.col("a.fold").alias("fold"), F.col("a.item").alias("item"), F.col("b.item").alias("neighbour")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    return pairs.groupBy(F.col("a.fold").alias("fold"), F.col("a.item").alias("item"), F.col("b.item").alias("neighbour")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
 
 
 @query("SELECT doc_id, round(p / (1 - p), 6) AS odds FROM (SELECT doc_id, least(greatest((n_chars % 1000) / 1000.0, 1e-9), 1 - 1e-9) AS p FROM documents)")

@@ -73,7 +73,7 @@ FEAT = (EV, ECUT, EPRE, VEC, CAT, NOW, STATS, PHIST, PNBR, FSQL)
 
 def test_features(spark: SparkSession, d: str, with_als: bool) -> DataFrame:
     pre = parts(spark, d)[0]
-    als = als_vectors(pre) if with_als else None
+    als = ft.pair_dots(shown(spark, d), *als_vectors(pre), "als_score") if with_als else None
     return ft.build(past(spark, d), shown(spark, d), items(spark, d), units(spark, d), recall.covisitation(pre), als)
 
 
@@ -164,7 +164,7 @@ def sampled_features(spark: SparkSession, d: str, with_als: bool) -> DataFrame:
     pos, neg = tasks(spark, d)
     pairs = written(pos.withColumn("positive", F.lit(True)).unionByName(neg.withColumn("positive", F.lit(False))), "tasks")
     pre = parts(spark, d)[0]
-    return ft.build(past(spark, d), pairs, items(spark, d), units(spark, d), recall.covisitation(pre), als_vectors(pre) if with_als else None)
+    return ft.build(past(spark, d), pairs, items(spark, d), units(spark, d), recall.covisitation(pre), ft.pair_dots(pairs, *als_vectors(pre), "als_score") if with_als else None)
 
 
 def _once(v: str) -> str:
@@ -289,3 +289,121 @@ def als_vectors(pre: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vectors of users (request_id, ``q``) and items (item, ``v``)."""
     users, factors = recall.ImplicitALS(**ALS).fit(ix.user_item(pre))
     return users.select(F.col("id").alias("request_id"), F.col("y").alias("q")), factors.select(F.col("id").alias("item"), F.col("y").alias("v"))
+
+
+# Cross-fitting: features of training feeds from models that never saw the feed's user
+
+FOLDS, NEWEST = 4, 50
+
+
+def training_feeds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The impressions up to the cutoff as (request_id, user_id, own, item, clicked, rank_shown, …), a session being a request, and each session's history: the user's ``NEWEST`` clicks of earlier sessions.
+
+    A history is looked up by the number of its clicks, so that a user's sessions and clicks are not crossed.
+    """
+    pre = parts(spark, d)[0].withColumn("own", ix.user_fold(F.col("user_id"), FOLDS))
+    of_user = Window.partitionBy("user_id")
+    starts = pre.groupBy("user_id", "own", "session_id").agg(F.min("ts").alias("start"), F.sum("clicked").alias("n"))
+    before = of_user.orderBy("start", "session_id")
+    starts = starts.withColumns({"seq": F.row_number().over(before), "upto": F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")})
+    clicks = ix.clicks(pre).join(starts.select("session_id", "seq"), "session_id").withColumn("number", F.row_number().over(of_user.orderBy("seq", "ts", "rank_shown")))
+    w = F.least(F.greatest(F.col("watch_fraction"), F.lit(0.01)), F.lit(1.0))
+    slots = starts.filter("upto > 0").select("user_id", F.col("own").alias("fold"), F.col("session_id").alias("request_id"), "upto", F.explode(F.sequence(F.greatest(F.col("upto") - NEWEST + 1, F.lit(1)), F.col("upto"))).alias("number"))
+    h = slots.join(clicks.select("user_id", "item", "number", w.alias("weight")), ["user_id", "number"]).withColumn("pos_back", F.col("upto") - F.col("number"))
+    history = h.select("request_id", "fold", "item", "pos_back", "weight", (F.col("weight") * F.pow(F.lit(0.5), F.col("pos_back") / 8.0)).alias("decayed"))
+    return pre.withColumnRenamed("session_id", "request_id"), history
+
+
+def other_folds(df: DataFrame) -> DataFrame:
+    """Each row once for every fold that its user (``own``) is not in, in a column ``fold``."""
+    return df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).filter("fold <> own")
+
+
+def training_features(spark: SparkSession, d: str, crossfit: bool = True) -> DataFrame:
+    """The rows of training feeds with all features. All folds' models come from one job each, keyed by fold; without ``crossfit`` one model has seen everybody."""
+    rows, history = training_feeds(spark, d)
+    rows, history = written(rows, "feeds"), written(history, "history")
+    if not crossfit:
+        history = history.withColumn("fold", F.lit(0))
+    keyed = other_folds(rows) if crossfit else rows.withColumn("fold", F.lit(0))
+    near = recall.covisitation(keyed.withColumnRenamed("request_id", "session_id"))
+    ratings = ix.user_item(rows).withColumn("own", ix.user_fold(F.col("user_id"), FOLDS))
+    _, factors = recall.ImplicitALS(**ALS).fit_folds(other_folds(ratings) if crossfit else ratings.withColumn("fold", F.lit(0)))
+    folded = history.groupBy("fold", F.col("request_id").alias("user_id"), "item").agg(F.least(F.sum("weight"), F.lit(1.0)).alias("weight"))
+    users = recall.ImplicitALS(**ALS).fold_in(folded, factors)
+    # an item is another one in each fold
+    code = lambda item: F.col(item) * FOLDS + F.col("fold")
+    pairs = rows.select("request_id", "item", (F.col("own") if crossfit else F.lit(0)).alias("fold")).distinct()
+    dots = ft.pair_dots(pairs.select("request_id", code("item").alias("item")), users.select(F.col("id").alias("request_id"), F.col("y").alias("q")), factors.select(code("id").alias("item"), F.col("y").alias("v")), "als_score")
+    dots = dots.withColumn("item", F.floor(F.col("item") / FOLDS))
+    return ft.build(history, rows, items(spark, d), units(spark, d), near, dots)
+
+
+@query(with_sql(EV, ECUT, EPRE, "cf AS (SELECT item, session_id, (user_id * 2654435761 + 97) % 1000003 % 4 AS own FROM pre WHERE clicked = 1)", "cs AS (SELECT DISTINCT g.fold, session_id, item FROM cf, (SELECT unnest(range(4)) AS fold) g WHERE own <> g.fold)", "cp AS (SELECT fold, item, count(*) AS p FROM cs GROUP BY ALL)",
+    "cn AS (SELECT a.fold, a.item, b.item AS neighbour, count(*) AS n FROM cs a JOIN cs b ON a.fold = b.fold AND a.session_id = b.session_id AND a.item <> b.item GROUP BY ALL HAVING count(*) >= 2)",
+    "cc AS (SELECT cn.*, n / (sqrt(x.p) * sqrt(y.p)) AS score FROM cn JOIN cp x ON x.fold = cn.fold AND x.item = cn.item JOIN cp y ON y.fold = cn.fold AND y.item = neighbour)",
+    then="SELECT fold::INT AS fold, item, neighbour, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY fold, item ORDER BY round(score, 9) DESC, neighbour) AS rank FROM cc) WHERE rank <= 100"))
+def crossfit_neighbours(spark, d):
+    """Co-visitation of each fold, from the users of the other folds."""
+    rows, _ = training_feeds(spark, d)
+    near = recall.covisitation(other_folds(rows).withColumnRenamed("request_id", "session_id"))
+    return near.select("fold", "item", "neighbour", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query()
+def crossfit_features(spark, d):
+    """The features of training feeds, each from models of the other folds."""
+    return training_features(spark, d).select("request_id", "user_id", "own", "item", "clicked", *ft.FEATURES)
+
+
+FAUC = ", ".join(f"{{'feature': '{c}', 's': round({c}, 6)}}" for c in ft.FEATURES if c != "als_score")
+
+
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """(request_id, item, clicked): what became of each user's shown items after the cutoff."""
+    return parts(spark, d)[1].groupBy(F.col("user_id").alias("request_id"), "item").agg(F.max("clicked").alias("clicked"))
+
+
+@query(with_sql(*FEAT, "oc AS (SELECT user_id AS request_id, item, max(clicked) AS y FROM post GROUP BY ALL)", f"fl AS (SELECT y, u.feature, u.s FROM (SELECT y, unnest([{FAUC}]) AS u FROM feat JOIN oc USING (request_id, item)))",
+    "fr AS (SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY s) + (count(*) OVER (PARTITION BY feature, s) - 1) / 2.0 AS r FROM fl)",
+    then="SELECT feature, round((sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) AS auc, sum(y)::BIGINT AS n_pos, sum(1 - y)::BIGINT AS n_neg FROM fr GROUP BY 1"))
+def feature_aucs(spark, d):
+    """How well each feature alone tells what is clicked, all features in one pass."""
+    f = test_features(spark, d, with_als=False).join(outcomes(spark, d), ["request_id", "item"])
+    long = f.select("clicked", *SIX).unpivot(["clicked"], [c for c in ft.FEATURES if c != "als_score"], "feature", "s")
+    return metrics.auc_by(long, "feature", "s", "clicked").select("feature", F.round("auc", 6).alias("auc"), "n_pos", "n_neg")
+
+
+def trained(features: DataFrame, kind: str = "gbt"):
+    """A ranker of training features: weights undo the position and balance the labels, a seventh of the sessions stops the boosting."""
+    share = features.agg(F.avg(F.col("clicked").cast("double"))).first()[0] or 0.5
+    balance = F.when(F.col("clicked") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6))
+    rows = features.withColumns({"weight": ranking.ips_weight(F.col("rank_shown"), F.col("clicked")) * balance, "held": F.pmod(F.xxhash64("request_id"), F.lit(7)) == 0})
+    return ranking.fit(rows, ft.FEATURES, "clicked", "weight", kind, validation="held" if kind == "gbt" else None)
+
+
+def model_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(request_id, item, clicked, features, ranker, ranker_in_sample, logistic) over what was shown after the cutoff."""
+    test = written(test_features(spark, d, with_als=True).join(outcomes(spark, d), ["request_id", "item"]), "test")
+    fitted = written(training_features(spark, d), "crossfit")
+    seen = written(training_features(spark, d, crossfit=False), "in-sample")
+    for name, rows, kind in (("ranker", fitted, "gbt"), ("ranker_in_sample", seen, "gbt"), ("logistic", fitted, "logistic")):
+        test = trained(rows, kind)(test).withColumnRenamed("probability", name)
+    return written(test, "scores")
+
+
+@query()
+def ranker_diagnosis(spark, d):
+    """AUC of the cross-fitted ranker, of one whose features have seen their own clicks, of a linear one and of every single feature; whether each beats the best single feature."""
+    names = ["ranker", "ranker_in_sample", "logistic", *ft.FEATURES]
+    long = model_scores(spark, d).select("clicked", *[F.round(c, 6).alias(c) for c in names]).unpivot(["clicked"], names, "name", "s")
+    aucs = metrics.auc_by(long, "name", "s", "clicked")
+    best = aucs.filter(F.col("name").isin(*ft.FEATURES)).agg(F.max("auc").alias("best"))
+    return aucs.crossJoin(F.broadcast(best)).select("name", "auc", "n_pos", "n_neg", (F.col("auc") > F.col("best")).alias("passes"))
+
+
+@query()
+def protocol_a_models(spark, d):
+    """Protocol A with the scorers that are fitted: the factor model and the learned ranker."""
+    rows = feed_rows(spark, d).join(model_scores(spark, d).drop("clicked"), ["request_id", "item"])
+    return reranked(_scores(rows, SCORERS | {"learned_ranker": "ranker"}, "session_id", "clicked"))
