@@ -5,7 +5,7 @@ Requests are the users of the events after the cutoff, with their clicks up to i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.shared import written
@@ -40,7 +40,10 @@ def shown(spark: SparkSession, d: str) -> DataFrame:
     return parts(spark, d)[1].select(F.col("user_id").alias("request_id"), "item").distinct()
 
 
-SIX = [F.round(c, 6).alias(c) for c in ft.FEATURES if c != "als_score"]
+def six() -> list[Column]:
+    """All features but the factor model's, to six digits."""
+    return [F.round(c, 6).alias(c) for c in ft.FEATURES if c != "als_score"]
+
 
 PHIST = EHIST.replace("ehist AS", "phist AS").replace("FROM ev ", "FROM pre ")
 PNBR = """
@@ -80,7 +83,7 @@ def test_features(spark: SparkSession, d: str, with_als: bool) -> DataFrame:
 @query(with_sql(*FEAT, then="SELECT request_id, item, " + ", ".join(f"round({c}, 6) AS {c}" for c in ft.FEATURES if c != "als_score") + " FROM feat"))
 def ranker_features(spark, d):
     """All features but the factor model's, which SQL cannot fit."""
-    return test_features(spark, d, with_als=False).select("request_id", "item", *SIX)
+    return test_features(spark, d, with_als=False).select("request_id", "item", *six())
 
 
 @query()
@@ -370,7 +373,7 @@ def outcomes(spark: SparkSession, d: str) -> DataFrame:
 def feature_aucs(spark, d):
     """How well each feature alone tells what is clicked, all features in one pass."""
     f = test_features(spark, d, with_als=False).join(outcomes(spark, d), ["request_id", "item"])
-    long = f.select("clicked", *SIX).unpivot(["clicked"], [c for c in ft.FEATURES if c != "als_score"], "feature", "s")
+    long = f.select("clicked", *six()).unpivot(["clicked"], [c for c in ft.FEATURES if c != "als_score"], "feature", "s")
     return metrics.auc_by(long, "feature", "s", "clicked").select("feature", F.round("auc", 6).alias("auc"), "n_pos", "n_neg")
 
 
