@@ -58,7 +58,7 @@ def plain(texts, train, depth, min_count, cutoff):
         gains = {}
         for (*c, w), x in pairs.items():
             c = tuple(c)
-            p = probability(c[1:], w)
+            p = 2 ** (-round(-math.log2(probability(c[1:], w)) * suffix_tree.STEPS) / suffix_tree.STEPS)
             g = gains.setdefault(c, [0.0] * len(suffix_tree.STRENGTHS))
             for j, m in enumerate(suffix_tree.STRENGTHS):
                 g[j] += x * (math.log((x - 1 + m * p) / (grams[k - 1][c] - 1 + m)) - math.log(p))

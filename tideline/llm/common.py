@@ -45,9 +45,18 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: without its lineage, and of known size, which a checkpoint is not. For what goes through several joins."""
-    df.write.parquet(at := fresh_path(df.sparkSession, what))
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    """``df`` written to the shared folder and read again: without its lineage, and of known size, which a checkpoint is not. For what goes through several joins.
+
+    The shuffles behind it serve this write only, so Spark is told to remove their files when it ends.
+    """
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(at := fresh_path(spark, what))
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def cut(df: DataFrame) -> DataFrame:

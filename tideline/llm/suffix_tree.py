@@ -7,8 +7,8 @@ follow it must gain ``cutoff`` nats or more. ``m`` is chosen for each state amon
 a token is scored by the longest suffix of the words before it that is a state.
 
 The tree has no bound, nor does it ever lie in one place: it grows with the corpus and is dealt out by context. Texts are tokenised once into chunks of some million tokens. A
-chunk sends its different words, then its different pairs of context and next token, with their training counts, to the buckets that own them; a bucket adds up what all chunks sent, tests its contexts and sends the
-sums back. So a frequent word or context moves once for each chunk, a context of many occurrences is split by next token into buckets, and words and pairs are compared whole (by word, then by number),
+chunk sends its different words, then its different pairs of context and next token, with their training counts, to the buckets that own them; a bucket adds up what all chunks sent, tests its contexts (those that
+it shares with other buckets are summed over them) and sends the sums back. So a frequent word or context moves once for each chunk, a context of many occurrences is split by next token into buckets, and words and pairs are compared whole (by word, then by number),
 not by hash. Each further level reads the chunks again with the answers so far.
 
 Null and empty texts have the end only. Repeated rows are scored alike and count as often as they stand there. Without training texts every token has the probability that additive smoothing gives.
@@ -34,6 +34,10 @@ CHUNK, BUCKET, HOT = 1 << 20, 1 << 20, 1 << 20
 #: As how many tokens the suffix's distribution counts.
 STRENGTHS = (1.0, 8.0, 64.0, 512.0)
 ADDED = 0.1
+#: What a suffix predicts goes to the test of a context in so many steps a bit.
+STEPS = 32
+#: The code of a context that several buckets share.
+SPLIT = 255
 RETURNS = "chunk long, bucket long, answers binary, contexts array<long>, seen array<long>, gains array<array<double>>"
 
 
@@ -93,19 +97,22 @@ def _word_requests(buckets: int):
     return run
 
 
-def _count_words(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """The training counts and numbers of the words that each chunk asked for; one row more tells how many words and tokens there are."""
-    of: dict[bytes, int] = {}
-    asked = []
-    for packed in rows["words"]:
-        words = zstandard.ZstdDecompressor().decompress(packed).split(b" ")
-        asked.append(np.fromiter((of.setdefault(w, len(of)) for w in words), np.int64, len(words)))
-    total = np.zeros(len(of), np.int64)
-    for at, n in zip(asked, rows["n"], strict=True):
-        total[at] += unpack(n)[0]  # a chunk asks once for a word
-    out = [(chunk, key[0], pack(total[at], (int(key[0]) << 32) + at), None, None, None) for chunk, at in zip(rows["chunk"], asked, strict=True)]
-    out.append((None, key[0], None, None, [int((total > 0).sum()), int(total.sum())], None))
-    return pd.DataFrame(out, columns=[c.split(" ")[0] for c in RETURNS.split(", ")])
+def _count_words(buckets: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """The training counts and numbers of the words that each chunk asked for; one row more tells how many words and tokens there are."""
+        of: dict[bytes, int] = {}
+        asked = []
+        for packed in rows["words"]:
+            words = zstandard.ZstdDecompressor().decompress(packed).split(b" ")
+            asked.append(np.fromiter((of.setdefault(w, len(of)) for w in words), np.int64, len(words)))
+        total = np.zeros(len(of), np.int64)
+        for at, n in zip(asked, rows["n"], strict=True):
+            total[at] += unpack(n)[0]  # a chunk asks once for a word
+        out = [(chunk, key[0], pack(total[at], int(key[0]) + buckets * at), None, None, None) for chunk, at in zip(rows["chunk"], asked, strict=True)]
+        out.append((None, key[0], None, None, [int((total > 0).sum()), int(total.sum())], None))
+        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in RETURNS.split(", ")])
+
+    return run
 
 
 class _Walk:
@@ -145,15 +152,26 @@ class _Walk:
         bucket = (_mixed(self.context[self.of] * 8191 + piece) % np.uint64(buckets)).astype(np.int64)
         return bucket, np.argsort(bucket, kind="stable")
 
-    def answered(self, bucket_count: int, counts: np.ndarray, nodes: np.ndarray, states: dict[int, float]) -> None:
-        """Takes the counts, in the order of buckets, and the strengths of contexts that are states."""
-        _, order = self.buckets(bucket_count)
+    def answered(self, bucket_count: int, counts: np.ndarray, nodes: np.ndarray, codes: np.ndarray, hot: dict[int, float]) -> None:
+        """Takes the counts, in the order of buckets, and what each context is: a state of some strength, or none. Those of several buckets are looked up in ``hot``."""
+        bucket, order = self.buckets(bucket_count)
+        heads = self._heads(bucket[order], self.of[order])
+        context = self.of[order][heads]
+        strengths = np.zeros(len(self.context))
+        strengths[context] = np.array([0.0, *STRENGTHS, 0.0])[np.minimum(codes, len(STRENGTHS) + 1)]
+        for i in np.unique(context[codes == SPLIT]).tolist():
+            strengths[i] = hot.get(int(self.context[i]), 0.0)
         self.count, self.node = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         self.count[order], self.node[order] = counts, nodes
-        strength = np.array([states.get(c, 0.0) for c in self.context.tolist()])[self.of]
+        strength = strengths[self.of]
         p = np.where(strength > 0, (self.count + strength * self.prior) / (np.maximum(self.context_count[self.of], 1) + strength), self.prior)
         self.p[self.pos] = p[self.pair]
 
+    @staticmethod
+    def _heads(bucket: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Where a bucket's next context begins."""
+        return np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+
     def requests(self, chunk: int, bucket_count: int) -> list[tuple]:
         bucket, order = self.buckets(bucket_count)
         n = np.bincount(self.pair[self.train[self.pos]], minlength=len(self.word)).astype(np.int32)
@@ -163,13 +181,13 @@ class _Walk:
         for a, b in zip(cuts, cuts[1:], strict=False):
             at = order[a:b]
             of = self.of[at]
-            heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-            packed = (self.context[of[heads]], self.context_count[of[heads]], np.diff(np.append(heads, len(of))).astype(np.int32), self.ids[self.word[at]], n[at], self.prior[at].astype(np.float32))
+            heads = self._heads(bucket[at], of)
+            packed = (self.context[of[heads]], self.context_count[of[heads]], np.diff(np.append(heads, len(of))).astype(np.int32), self.ids[self.word[at]], n[at], np.round(-np.log2(self.prior[at]) * STEPS).astype(np.int16))
             out.append((sorted_bucket[a], chunk, pack(*packed)))
         return out
 
 
-def _count_pairs(min_count: int):
+def _count_pairs(min_count: int, cutoff: float, buckets: int, hot: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(p) for p in rows["pairs"]]
         sizes = [len(p[3]) for p in parts]
@@ -182,17 +200,24 @@ def _count_pairs(min_count: int):
         count = np.add.reduceat(n[order].astype(np.int64), heads)
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
-        node = np.where(count >= min_count, (int(key[0]) << 32) + np.arange(len(count)), 0)
+        node = np.where(count >= min_count, int(key[0]) + buckets * np.arange(1, len(count) + 1), 0)
         # what a token that follows a context gains over its suffix's prediction, if predicted by the others
-        c, total, prior = c[heads], seen[order][heads], prior[order][heads].astype(np.float64)
+        c, total, prior = c[heads], seen[order][heads], 2.0 ** (-prior[order][heads] / STEPS)
         first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        gains = [np.add.reduceat(np.where(count > 0, count * (np.log(np.maximum(count - 1, 0) + m * prior) - np.log(total - 1 + m) - np.log(prior)), 0.0), first) for m in STRENGTHS]
+        gains = np.stack([np.add.reduceat(np.where(count > 0, count * (np.log(np.maximum(count - 1, 0) + m * prior) - np.log(total - 1 + m) - np.log(prior)), 0.0), first) for m in STRENGTHS], 1)
+        best = gains.argmax(1)
+        code = np.where(gains.max(1) >= cutoff, best + 1, 0).astype(np.uint8)
+        split = total[first] >= hot
+        code[split] = SPLIT
+        known = c[first]
         out, at = [], 0
         for chunk, size, p in zip(rows["chunk"], sizes, parts, strict=True):
             own = of[at : at + size]
-            out.append((chunk, key[0], pack(count[own], node[own]), p[0].tolist(), None, None))
+            codes = code[np.searchsorted(known, p[0])]
+            out.append((chunk, key[0], pack(count[own], node[own], codes), p[0][codes == SPLIT].tolist(), None, None))
             at += size
-        out.append((None, key[0], None, c[first].tolist(), None, np.stack(gains, 1).tolist()))
+        if split.any():
+            out.append((None, key[0], None, known[split].tolist(), None, gains[split].tolist()))
         return pd.DataFrame(out, columns=[x.split(" ")[0] for x in RETURNS.split(", ")])
 
     return run
@@ -206,7 +231,7 @@ class _Levels:
         size = chunks.agg(F.sum("size").alias("size"), F.sum("n_words").alias("words")).first()
         self.buckets = [(size.words or 0) // bucket + 1]
         requests = chunks.select("chunk", "words", "n").mapInPandas(_word_requests(self.buckets[0]), "bucket long, chunk long, words binary, n binary")
-        found = written(requests.groupBy("bucket").applyInPandas(_count_words, RETURNS), "words")
+        found = written(requests.groupBy("bucket").applyInPandas(_count_words(self.buckets[0]), RETURNS), "words")
         self.answers = [found.filter("chunk IS NOT NULL").select("chunk", F.lit(0).alias("level"), "bucket", "answers")]
         known = found.filter("chunk IS NULL").agg(F.sum(F.col("seen")[0]).alias("v"), F.sum(F.col("seen")[1]).alias("n")).first()
         self.v, self.n, self.size = known.v or 0, known.n or 0, size.size or 0
@@ -219,9 +244,9 @@ class _Levels:
         n, v, min_count, hot, buckets = self.n, self.v, self.min_count, self.hot, self.buckets
 
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            def of(level: int) -> tuple[np.ndarray, np.ndarray]:
+            def of(level: int) -> tuple[np.ndarray, ...]:
                 rows = right[(right["level"] == level) & right["answers"].notna()].sort_values("bucket")
-                return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*map(unpack, rows["answers"]), strict=True)) or (np.zeros(0, np.int64),) * 2
+                return tuple(np.concatenate(x) for x in zip(*map(unpack, rows["answers"]), strict=True)) or (np.zeros(0, np.int64),) * 3
 
             walk = _Walk(left["state"].iloc[0], of(0), n, v, min_count, hot)
             for level in range(1, len(buckets)):
@@ -241,18 +266,18 @@ class _Levels:
             return pd.DataFrame(walk.requests(chunk, buckets), columns=["bucket", "chunk", "pairs"])
 
         pairs = self.walk(requests, "bucket long, chunk long, pairs binary")
-        found = written(pairs.groupBy("bucket").applyInPandas(_count_pairs(self.min_count), RETURNS), "pairs")
+        found = written(pairs.groupBy("bucket").applyInPandas(_count_pairs(self.min_count, self.cutoff, buckets, self.hot), RETURNS), "pairs")
         tested = found.filter("chunk IS NULL").select(F.explode(F.arrays_zip("contexts", "gains")).alias("x")).groupBy("x.contexts").agg(*[F.sum(F.col("x.gains")[i]).alias(f"g{i}") for i in range(len(STRENGTHS))])
         best = F.array_max(F.array(*[F.struct(F.col(f"g{i}").alias("gain"), F.lit(m).alias("strength")) for i, m in enumerate(STRENGTHS)]))
         states = tested.select(F.col("contexts").alias("context"), best.alias("b")).filter(F.col("b.gain") >= self.cutoff).select("context", F.col("b.strength").alias("strength"))
-        asked = found.filter("chunk IS NOT NULL").select("chunk", F.explode("contexts").alias("context")).distinct()
+        asked = found.filter("chunk IS NOT NULL AND size(contexts) > 0").select("chunk", F.explode("contexts").alias("context")).distinct()
         told = asked.join(states, "context").groupBy("chunk").agg(F.collect_list(F.struct("context", "strength")).alias("states"))
         self.answers.append(found.filter("chunk IS NOT NULL").select("chunk", F.lit(level).alias("level"), "bucket", "answers"))
         self.answers.append(written(told.select("chunk", F.lit(level).alias("level"), "states"), "states"))
         self.buckets.append(buckets)
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 2, min_count: int = 16, cutoff: float = 3.0, chunk: int = CHUNK, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 2, min_count: int = 32, cutoff: float = 3.0, chunk: int = CHUNK, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every row; logarithms are decimal.
 
     Texts are learned from where ``train`` is true. ``base_score`` is the root's score, ``n_known`` counts the tokens that training texts have, ``train_tokens`` all of training. Other columns are left out.
