@@ -21,7 +21,7 @@ from tideline.llm.common import ascii_lower, cut, spare, text_of
 #: Everything that ends a word.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: A prefix word's places are dealt out in pieces of about so many; a window goes to all pieces of its own word.
+#: The places of prefix words that have more than so many are dealt out in pieces, of about so many for the commonest; a window of such a word goes to all of them.
 PLACES = 10_000
 
 
@@ -77,11 +77,12 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str
     reach = 2 * window - 1
     spots = F.filter(F.transform("ws", lambda x, i: F.when(necessary.has(F.xxhash64(x)), i)), lambda i: i.isNotNull())
     near = body.select("__id", "__th", F.explode(F.transform(spots, lambda i: F.struct(i.alias("p"), F.get(F.col("ws"), i).alias("t"), F.greatest(i - window + 1, F.lit(0)).alias("from"), F.slice(F.col("ws"), F.greatest(i - window + 2, F.lit(1)), reach).alias("around")))).alias("x")).select("__id", "__th", "x.*")
-    pieces = (F.col("n") / PLACES).cast("int") + 1
-    shares = prefix.groupBy("t").agg(F.max("n").alias("n")).select("t", pieces.alias("pieces")).filter("pieces > 1")
-    near = near.join(shares, "t", "left").withColumn("s", F.pmod(F.xxhash64("__id", "__th", "p"), F.coalesce("pieces", F.lit(1))).cast("int"))
-    dealt = prefix.select("*", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("s")).drop("n")
-    found = near.drop("pieces").join(dealt, ["t", "s"])
+    # places of frequent words are dealt out, and only their windows copied; which words these are is told without a join
+    pieces = F.lit((prefix.agg(F.max("n")).first()[0] or 0) // PLACES + 1)
+    frequent = _BitSet(prefix.filter(F.col("n") > PLACES))
+    own = F.when(frequent.has(F.xxhash64("t")), F.pmod(F.xxhash64("__id", "__th", "p"), pieces).cast("int")).otherwise(0)
+    dealt = prefix.select("*", F.explode(F.when(frequent.has(F.col("h")), F.sequence(F.lit(0), (pieces - 1).cast("int"))).otherwise(F.array(F.lit(0)))).alias("s")).drop("n")
+    found = near.withColumn("s", own).join(dealt, ["t", "s"])
     first = F.col("p") - F.col("o")
     room = (first >= F.col("from")) & (first - F.col("from") + F.col("len") <= F.size("around"))
     same = F.slice(F.col("around"), F.when(room, first - F.col("from") + 1).otherwise(1), F.col("len")) == F.col("w")
