@@ -79,15 +79,6 @@ def policy_sweep(spark, d):
     return out
 
 
-EXPL = "CASE WHEN sources LIKE '%covisit%' THEN 'Watched together with videos you watched' ELSE 'Popular' END"
-
-
-@query(with_sql(*ECOV, EHIST, ERS, FUSED, then=f"SELECT user_id, item, {EXPL} AS reason FROM fu"))
-def explanations(spark, d):
-    f = recall.fuse(candidates(spark, d), "user_id")
-    return f.select("user_id", "item", policy.explanation(F.map_keys("sources"), F.lit(None).cast("string"), F.lit("")).alias("reason"))
-
-
 @query()
 def explanation_json(spark, d):
     f = recall.fuse(candidates(spark, d), "user_id", most=24)

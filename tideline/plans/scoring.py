@@ -13,7 +13,7 @@ from tideline.functions.vectors import l2, weighted_sum
 from tideline.operators import catalog as cat
 from tideline.operators import features as ft
 from tideline.operators import interactions as ix
-from tideline.operators import metrics, ranking, recall
+from tideline.operators import metrics, policy, ranking, recall
 from tideline.plans.evaluation import ECUT, EPRE, TF, _test_feeds, parts
 from tideline.plans.relational import EHIST, STATS, stats
 from tideline.registry import query
@@ -410,3 +410,48 @@ def protocol_a_models(spark, d):
     """Protocol A with the scorers that are fitted: the factor model and the learned ranker."""
     rows = feed_rows(spark, d).join(model_scores(spark, d).drop("clicked"), ["request_id", "item"])
     return reranked(_scores(rows, SCORERS | {"learned_ranker": "ranker"}, "session_id", "clicked"))
+
+
+# Explanations
+
+PAGE = 10
+SOURCE_OF = {"content_only": "content", "cf_covisit_only": "covisit", "trending": "trending", "popularity": "popular"}
+SAY = """
+ef0 AS (SELECT request_id, item, sum(CASE strategy WHEN 'cf_covisit_only' THEN 1.15 WHEN 'trending' THEN 0.45 ELSE 1.0 END / (60.0 + rank)) AS fused,
+    list(CASE strategy WHEN 'content_only' THEN 'content' WHEN 'cf_covisit_only' THEN 'covisit' WHEN 'popularity' THEN 'popular' ELSE strategy END) AS sources FROM sl0 WHERE rank <= 20 GROUP BY ALL),
+ef AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(fused, 9) DESC, item) AS rank FROM ef0),
+ea AS (SELECT request_id, item, hist_item AS anchor FROM (SELECT ef.request_id, ef.item, h.item AS hist_item, row_number() OVER (PARTITION BY ef.request_id, ef.item ORDER BY round(list_inner_product(a.v, c.v), 6) DESC, h.item) AS r
+    FROM ef JOIN (SELECT DISTINCT user_id, item FROM phist) h ON h.user_id = ef.request_id JOIN vec a ON a.item = h.item JOIN vec c ON c.item = ef.item WHERE ef.rank <= 10) WHERE r = 1),
+es AS (SELECT user_id AS request_id, item AS seed FROM phist WHERE pos_back = 0),
+et AS (SELECT video_id, CASE WHEN length(title) <= 42 THEN title ELSE rtrim(title[1:41]) || '…' END AS short FROM cat),
+ex AS (SELECT ef.request_id, ef.item, ef.rank, CASE WHEN ef.request_id % 10 = 0 THEN 'search' WHEN ef.request_id % 10 = 1 AND seed IS NOT NULL THEN 'watch_page' WHEN seed IS NOT NULL THEN 'personalised' ELSE 'cold_start' END AS mode,
+    CASE WHEN list_contains(sources, 'covisit') THEN 'covisit' WHEN list_contains(sources, 'content') THEN 'content' WHEN list_contains(sources, 'trending') THEN 'trending' ELSE 'popular' END AS leader, c.category, s.short AS seed, n.short AS anchor, ea.anchor AS anchor_item
+    FROM ef JOIN cat c ON c.video_id = ef.item LEFT JOIN es USING (request_id) LEFT JOIN et s ON s.video_id = es.seed LEFT JOIN ea USING (request_id, item) LEFT JOIN et n ON n.video_id = ea.anchor WHERE ef.rank <= 10)
+"""
+SAID = """
+SELECT request_id, item, rank, mode, anchor_item, CASE
+  WHEN mode = 'watch_page' THEN CASE leader WHEN 'covisit' THEN 'People who watched "' || seed || '" also watched this' WHEN 'content' THEN 'Similar to "' || seed || '"' ELSE 'Trending in ' || category END
+  WHEN mode = 'search' THEN CASE WHEN leader IN ('covisit', 'content') THEN 'Matches your search in ' || category ELSE 'Trending in ' || category END
+  WHEN leader = 'covisit' AND anchor IS NOT NULL THEN 'People who watched "' || anchor || '" also watched this'
+  WHEN leader = 'content' AND anchor IS NOT NULL THEN 'Because you watched "' || anchor || '"'
+  WHEN leader = 'content' THEN 'Matches what you have been watching' WHEN leader IN ('trending', 'popular') THEN 'Trending in ' || category ELSE 'Popular in ' || category END AS reason FROM ex
+"""
+
+
+@query(with_sql(EV, ECUT, EPRE, VEC, CAT, NOW, STATS, PHIST, PNB, FSQL, SREL, SLISTS.split("sl1 AS")[0].rstrip().rstrip(","), SAY, then=SAID))
+def explanations(spark, d):
+    """Why each of a page's items is there: by turns search results, watch pages and personal pages, with the history item that each is nearest to."""
+    own, by_name = None, lists(spark, d)
+    for name, source in SOURCE_OF.items():
+        rows = by_name[name].select("request_id", F.lit(source).alias("source"), "item", (-F.col("rank")).cast("double").alias("score"))
+        own = rows if own is None else own.unionByName(rows)
+    page = written(recall.fuse(own, "request_id", most=PAGE), "page")
+    h = past(spark, d)
+    near = ft.set_similarities(h, page.select("request_id", "item"), units(spark, d)).select("request_id", "item", "anchor")
+    facts = items(spark, d).select("item", "title", "category", "channel_id")
+    title = lambda of: facts.select(F.col("item").alias(of), F.col("title").alias(f"{of}_title"))
+    j = page.join(near, ["request_id", "item"]).join(facts, "item").join(h.filter("pos_back = 0").select("request_id", F.col("item").alias("seed")), "request_id", "left").join(title("seed"), "seed", "left").join(title("anchor"), "anchor", "left")
+    asked = F.col("request_id") % 10
+    mode = policy.request_mode(asked == 0, (asked == 1) & F.col("seed").isNotNull(), F.col("seed").isNotNull())
+    reason = policy.explanation(mode, F.map_keys("sources"), F.lit(False), F.col("category"), F.col("channel_id"), F.col("seed_title"), F.col("anchor_title"))
+    return j.select("request_id", "item", F.col("rank").cast("bigint").alias("rank"), mode.alias("mode"), F.col("anchor").alias("anchor_item"), reason.alias("reason"))
