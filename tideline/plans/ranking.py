@@ -176,6 +176,26 @@ def intent_label(spark, d):
     return intent.label(h.select("user_id", F.explode(F.array("category", "channel_id")).alias("tag")), "user_id", "tag")
 
 
+DETECTORS = ["coherence", "focus", "novelty", "alpha"]
+TRUTH = """
+iv AS (SELECT user_id, max(k) AS k, sum(k) AS n FROM (SELECT user_id, category, count(*) AS k FROM ehist JOIN vec USING (item) WHERE pos_back < 5 GROUP BY ALL) GROUP BY 1),
+ik AS (SELECT user_id, count(*) AS clicks FROM ehist GROUP BY 1),
+ir AS (SELECT u.name || '/' || CASE WHEN clicks >= 25 THEN 'regular' ELSE 'new' END AS detector, round(u.s, 6) AS s, (k >= 2)::INT AS y FROM (SELECT *, unnest([{'name': 'coherence', 's': least(greatest(c, 0), 1)}, {'name': 'focus', 's': focus}, {'name': 'novelty', 's': novelty}, {'name': 'alpha', 's': alpha}]) AS u FROM ia JOIN coh USING (user_id)) JOIN iv USING (user_id) JOIN ik USING (user_id)),
+ip AS (SELECT detector, y, rank() OVER (PARTITION BY detector ORDER BY s) + (count(*) OVER (PARTITION BY detector, s) - 1) / 2.0 AS r FROM ir)
+"""
+
+
+@query(with_sql(*INTENT, TRUTH, then="SELECT detector, round((sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * sum(1 - y), 0), 6) AS auc, sum(y)::BIGINT AS n_pos, sum(1 - y)::BIGINT AS n_neg FROM ip GROUP BY 1"))
+def intent_evaluation(spark, d):
+    """How well each part of the detector tells sessions whose last five items share a category, which the detector does not see, by how much a user has clicked."""
+    h = ix.history(event_impressions(spark, d))
+    recent = h.filter("pos_back < 5").join(vectors(spark, d).select("item", "category"), "item").groupBy("user_id", "category").count().groupBy("user_id").agg(F.max("count").alias("k"))
+    cohort = F.when(F.col("clicks") >= 25, "regular").otherwise("new")
+    found = intent.detect(_last(spark, d), profiles(spark, d)).join(recent, "user_id").join(h.groupBy("user_id").agg(F.count(F.lit(1)).alias("clicks")), "user_id")
+    long = found.select(cohort.alias("cohort"), (F.col("k") >= 2).cast("int").alias("y"), *DETECTORS).unpivot(["cohort", "y"], DETECTORS, "name", "s")
+    return metrics.auc_by(long.select(F.concat_ws("/", "name", "cohort").alias("detector"), F.round("s", 6).alias("s"), "y"), "detector", "s", "y").select("detector", F.round("auc", 6).alias("auc"), "n_pos", "n_neg")
+
+
 @query()
 def intent_cohort(spark, d):
     """Users by whether an intent was detected: how many, and how coherent."""

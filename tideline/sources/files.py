@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +19,19 @@ ALIASES = {
 }
 
 
-def read_csv(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
-    """CSV files of different headers, each with its aliases resolved, one under the other."""
+def encodings(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """UTF-8 for the files that are valid UTF-8 throughout, ISO-8859-1 for the others; one pass over all files, line by line, which is not decoded."""
+    lines = spark.read.text(paths).select(F.input_file_name().alias("file"), F.call_function("is_valid_utf8", F.col("value")).alias("ok"))
+    bad = {unquote(r.file).split(":", 1)[-1].lstrip("/") for r in lines.groupBy("file").agg(F.bool_and("ok").alias("ok")).filter("not ok").collect()}
+    return {p: "ISO-8859-1" if unquote(p).split(":", 1)[-1].lstrip("/") in bad else "UTF-8" for p in paths}
+
+
+def read_csv(spark: SparkSession, paths: list[str], encoding: str | None = None) -> DataFrame:
+    """CSV files of different headers, each with its aliases resolved, one under the other. Without an ``encoding`` each file is read in its own, as ``encodings`` tells it."""
+    own = dict.fromkeys(paths, encoding) if encoding else encodings(spark, paths)
     out = None
     for p in paths:
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(p)
+        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", own[p]).csv(p)
         df = resolve_aliases(df, ALIASES)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
@@ -68,7 +78,7 @@ def first_that_works(sources: list[tuple[str, Callable[[], DataFrame]]]) -> tupl
             if not df.isEmpty():
                 return df, [*notes, f"{name}: used"]
             notes.append(f"{name}: empty")
-        except Exception as e:  # noqa: BLE001  any source may be missing
+        except (AnalysisException, FileNotFoundError, PermissionError) as e:  # the source is not there; any other error is one
             notes.append(f"{name}: {type(e).__name__}")
     raise ValueError(f"no source has rows: {notes}")
 
@@ -77,3 +87,24 @@ def missing_keys(artifact: DataFrame, catalog: DataFrame, key: str) -> DataFrame
     """Keys of an artifact that the catalog lacks and the other way round; empty if they fit."""
     a, c = artifact.select(key).distinct(), catalog.select(key).distinct()
     return a.join(c, key, "left_anti").withColumn("side", F.lit("artifact")).unionByName(c.join(a, key, "left_anti").withColumn("side", F.lit("catalog")))
+
+
+def require_fit(artifact: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
+    """``artifact`` if it has exactly the catalog's keys, else an error that names how many are missing on each side."""
+    wrong = {r.side: r["count"] for r in missing_keys(artifact, catalog, key).groupBy("side").count().collect()}
+    if wrong:
+        raise ValueError(f"keys do not fit, rows by side: {wrong}")
+    return artifact
+
+
+def with_truth(items: DataFrame, truth: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``items`` with columns of ground truth, which the serving catalog does not have. Never a default: a column that ``truth`` lacks, an item without a row or a null value is an error."""
+    lacking = [c for c in columns if c not in truth.columns]
+    if lacking:
+        raise ValueError(f"ground truth lacks the columns {lacking}")
+    known = truth.select(key, *columns)
+    whole = known.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+    lost = items.select(key).join(whole, key, "left_anti").count()
+    if lost:
+        raise ValueError(f"{lost} items have no ground truth in {columns}")
+    return items.join(known, key)
