@@ -139,6 +139,21 @@ def test_random_trees_with_labels(spark, seed):
     assert len({t for *_, t, _ in out.values()}) > 10
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_deep_paths_in_common(spark, seed):
+    rnd = random.Random(seed)
+    stem = [rnd.choice(["a", "b", str(rnd.randrange(99))]) for _ in range(40)]
+    pages, label = [], []
+    for _ in range(120):
+        cut = stem[: rnd.choice([3, 10, 25, 40, 40])]
+        tail = rnd.choice([[], [], ["end"], [f"e{rnd.randrange(30)}", "z"], ["k"] * rnd.randrange(12)])
+        pages.append(f"https://{rnd.choice(['a.com', 'a.com', 'b.com'])}/{'/'.join([*cut, *tail])}")
+        label.append(rnd.choice([None, int("end" in tail)]))
+    pages += ["https://trap.com/" + "/".join(["a"] * n) for n in range(1, 60)] + ["https://wall.com/" + "/".join(stem * 8) + f"/p{i}" for i in range(20)]
+    label += [rnd.choice([None, 0, 1]) for _ in range(79)]
+    compare(spark, pages, [("block", "b.com/a/")], label)
+
+
 def test_edge_cases(spark):
     long = "https://h.com/" + "/".join(["seg"] * 60) + "/" + "q" * 50_000
     pages = [None, "", "no scheme", "x://", "http://H.COM", "http://h.com//a///b?c#d", long, "http://h.net/x", "http://h.net/x", "ftp://h.org/fr/1"]

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import ascii_lower, written
@@ -87,42 +87,76 @@ def _tokens(pairs: DataFrame, min_child: int, salts: int) -> DataFrame:
     return both.select(*key, "child", F.when(F.col("fits") & ~F.coalesce(contrary, F.lit(False)), ANY).otherwise(F.col("child")).alias("token"))
 
 
+def _contracted(going: DataFrame, min_branch: int) -> tuple[DataFrame, DataFrame]:
+    """(done, going): what every path of a branch has in common is added to its template at once, as steps of a single child each would.
+
+    Where all paths of a branch are beginnings of the longest, the whole branch is done: it is followed while ``min_branch`` addresses go on, and what is longer ends in one rest.
+    """
+    at = F.size("template")
+    rest = F.slice("shapes", at + 1, F.size("shapes") - at)
+    key = ["host", "template"]
+    bounds = going.groupBy(*key).agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+    same = F.aggregate(F.zip_with("lo", "hi", lambda x, y: x == y), F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, ok: F.struct((s["on"] & F.coalesce(ok, F.lit(False))).alias("on"), F.when(s["on"] & F.coalesce(ok, F.lit(False)), s["n"] + 1).otherwise(s["n"]).alias("n")), lambda s: s["n"])
+    joined = going.join(bounds.withColumn("same", same), key).withColumns({"own": F.size(rest), "begins": (F.slice("hi", 1, F.size(rest)) == rest).cast("int")})
+    by = joined.groupBy(*key, "own").agg(F.sum("n").alias("here"), F.min("begins").alias("begins"))
+    longer = Window.partitionBy(*key).orderBy(F.desc("own")).rowsBetween(Window.unboundedPreceding, 0)
+    # the first length at which fewer than min_branch addresses go on
+    reach = by.withColumn("from_here", F.sum("here").over(longer)).groupBy(*key).agg(F.min("begins").alias("chain"), F.coalesce(F.max(F.when(F.col("from_here") >= min_branch, F.col("own"))), F.lit(0)).alias("reach"))
+    whole = written(joined.drop("begins").join(reach, key), "contracted")
+    columns = ["host", "shapes", "n", "labelled", "bad"]
+    chain = F.col("chain") == 1
+    cut = F.when(F.col("own") <= F.col("reach"), F.col("shapes")).otherwise(F.concat(F.slice("shapes", 1, at + F.col("reach")), F.array(F.lit(REST))))
+    followed = F.concat("template", F.slice("hi", 1, F.col("same")))
+    tokens = F.when(F.size("template") == 0, cut).otherwise(F.concat("template", F.slice(cut, at + 1, F.size(cut) - at)))
+    return whole.filter(chain).select(*columns, tokens.alias("template")), whole.filter(~chain).select(*columns, followed.alias("template"))
+
+
 def templates(addresses: DataFrame, min_child: int = 3, min_branch: int = 8, salts: int = 16) -> DataFrame:
     """(host, shapes, n, labelled, bad, template) for each different (host, shapes); ``template`` is an array of tokens.
 
-    ``addresses``: host, shapes and bad (1 bad, 0 good, null unknown). Levels are added until every path has ended or is in a branch of fewer than ``min_branch`` addresses.
+    ``addresses``: host, shapes and bad (1 bad, 0 good, null unknown). Levels are added until every path has ended or is in a branch of fewer than ``min_branch`` addresses; a stretch that a branch
+    has in common is one step, so steps follow where paths part and not how deep they are.
     """
     nodes = addresses.groupBy("host", "shapes").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    going, done, level = written(nodes.withColumn("template", F.array().cast("array<string>")), "nodes"), [], 0
+    going, done = written(nodes.withColumn("template", F.array().cast("array<string>")), "nodes"), []
+    key = ["host", "template"]
     while True:
-        ended = F.size("shapes") <= level
-        done.append(going.filter(ended))
-        on = going.filter(~ended)
+        level = F.size("template")
+        done.append(going.filter(F.size("shapes") <= level))
+        on = going.filter(F.size("shapes") > level)
         if on.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        child, following = F.get("shapes", F.lit(level)), F.coalesce(F.get("shapes", F.lit(level + 1)), F.lit("{end}"))
-        sizes = on.groupBy("host", "template").agg(F.sum("n").alias("n_branch"))
-        here = written(on.withColumns({"child": child, "following": following}).join(sizes, ["host", "template"]), "here")
+        sizes = on.groupBy(*key).agg(F.sum("n").alias("n_branch"))
+        here = on.join(sizes, key)
         few = F.col("n_branch") < min_branch
         columns = [c for c in going.columns if c != "template"]
-        done.append(here.filter(few).select(*columns, F.concat("template", F.array(F.lit(REST))).alias("template")))
-        large = here.filter(~few)
-        pairs = large.groupBy("host", "template", "child", "following").agg(*[F.sum(c).alias(c) for c in SUMS])
+        ended = written(here.filter(few).select(*columns, F.concat("template", F.array(F.lit(REST))).alias("template")), "ended")
+        followed, parting = _contracted(here.filter(~few).drop("n_branch"), min_branch)
+        done += [ended, followed]
+        # a stretch in common may have brought some to their ends and left too few; they are seen to in the next round
+        stopped = parting.filter(F.size("shapes") <= F.size("template"))
+        large = parting.filter(F.size("shapes") > F.size("template"))
+        left = large.join(large.groupBy(*key).agg(F.sum("n").alias("n_branch")), key)
+        small = left.filter(F.col("n_branch") < min_branch).drop("n_branch")
+        large = written(left.filter(F.col("n_branch") >= min_branch).drop("n_branch").withColumns({"child": F.get("shapes", F.size("template")), "following": F.coalesce(F.get("shapes", F.size("template") + 1), F.lit("{end}"))}), "here")
+        pairs = large.groupBy(*key, "child", "following").agg(*[F.sum(c).alias(c) for c in SUMS])
         tokens = _tokens(written(pairs, "pairs"), min_child, salts)
-        going = written(large.join(tokens, ["host", "template", "child"]).select(*columns, F.concat("template", F.array("token")).alias("template")), "nodes")
-        level += 1
+        stepped = large.join(tokens, [*key, "child"]).select(*columns, F.concat("template", F.array("token")).alias("template"))
+        going = written(stepped.unionByName(stopped.select(*columns, "template")).unionByName(small.select(*columns, "template")), "nodes")
 
 
 def shares(nodes: DataFrame, alpha: float, prior: float) -> DataFrame:
     """(host, template, template_share): the smoothed share of bad labels. A template without labels takes the share of its nearest ancestor on the host that has any,
     else that of the same template, or its nearest ancestor, over all hosts, else ``prior``."""
     own = nodes.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-    prefixes = F.transform(F.sequence(F.lit(0), F.size("template")), lambda i: F.slice("template", 1, i))
+    # a beginning of a template is told by its length and a hash of its tokens, so that deep templates are not copied once a level
+    chained = F.aggregate("template", F.array(F.lit(0).cast("long")), lambda done, token: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), token))))
+    prefixes = F.transform(chained, lambda h, i: F.struct(i.alias("depth"), h.alias("h")))
     each = written(own.select("host", "template", "l", "b", F.explode(prefixes).alias("prefix")), "prefixes")
     smooth = (F.sum("b") + alpha * prior) / (F.sum("l") + alpha)
     of_host = each.filter("l > 0").groupBy("host", "prefix").agg(smooth.alias("host_share"))
     of_all = each.filter("l > 0").groupBy("prefix").agg(smooth.alias("all_share"))
-    depth = F.size("prefix")
+    depth = F.col("prefix.depth")
     found = each.join(of_host, ["host", "prefix"], "left").join(of_all, "prefix", "left")
     best = found.groupBy("host", "template").agg(F.max_by("host_share", F.when(F.col("host_share").isNotNull(), depth)).alias("h"), F.max_by("all_share", F.when(F.col("all_share").isNotNull(), depth)).alias("a"))
     return best.select("host", "template", F.coalesce("h", "a", F.lit(prior)).alias("template_share"))
