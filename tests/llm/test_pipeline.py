@@ -36,5 +36,23 @@ def test_empty_documents(spark):
     assert docs.count() == 0
 
 
+def test_nulls_repeated_rows_and_other_columns(spark):
+    """Null ids, texts and languages, repeated rows and columns that a stage might use itself; other columns are not carried on."""
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    rows += [(None, "no id but a text of its own, long enough to be told apart", None, None, None), (None, None, None, None, None), (9001, None, "en", "s", 0), (9002, "", None, None, 0), rows[0], rows[0]]
+    own = {c: f"'{c}' AS `{c}`" for c in ("__own", "__toxic", "score", "kept_text", "n_lines", "n_dropped", "own", "th", "made")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *own.values())
+    n = []
+    for name, stage in cp.STAGES:
+        docs = stage(spark, docs, SF).cache()
+        n.append(docs.count())
+        if name != "bpe":
+            assert docs.columns == cp.COLUMNS
+            docs = docs.selectExpr("*", *own.values())
+    assert n == sorted(n, reverse=True) and n[-1] > 0
+    left = {r.doc_id for r in docs.collect()}
+    assert None in left and left & {9001, 9002}
+
+
 def test_every_operator_is_registered():
-    assert [sum(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(q.startswith(f"op{n}_") for q in queries.QUERIES) for n in range(1, 14)] == [1] * 13

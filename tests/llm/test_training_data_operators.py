@@ -212,27 +212,35 @@ def test_decontamination_empty(spark, docs, empty):
 
 
 def test_cws_against_generalised_jaccard(docs):
-    rows = sorted(rows_of(docs), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    signed = lambda t: (h := xxhash.xxh64_intdigest((t or "").encode(), 42)) - (1 << 64 if h >> 63 else 0)
+    # equal ids are ordered by the hash of their text, then by it
+    rows = sorted(rows_of(docs), key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1]), r[1] or ""))
     bag = lambda t: collections.Counter((t or "").translate(AZ).split())
     like = lambda a, b: 1.0 if not a and not b else sum((a & b).values()) / sum((a | b).values())
     got = cws.edited_fingerprints(docs, samples=128).collect()
     assert len(got) == len(rows)
-    by = {r.doc_id: r for r in got}
-    errors = []
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    errors, to_next = [], []
     for k, (i, t) in enumerate(rows):
         nxt = rows[(k + 1) % len(rows)][1] or ""
         t = t or ""
         m = len(t) // 3
         edited = t[: len(t) - m] + nxt[:m]
-        r = by[i]
+        want = hashlib.sha256(edited.encode()).hexdigest()
+        r = next(x for x in by[i] if x.edited_sha256 == want)
+        by[i].remove(r)
         assert r.n_chars == len(t)
-        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() or i == 3
-        if i != 3:
-            errors.append(abs(r.near_edited - like(bag(t), bag(edited))))
-    assert np.mean(errors) < 0.06 and max(errors) < 0.25
+        errors.append(abs(r.near_edited - like(bag(t), bag(edited))))
+        to_next.append(abs(r.near_next - like(bag(t), bag(nxt))))
+    assert not any(by.values())
+    for e in (errors, to_next):
+        assert np.mean(e) < 0.06 and max(e) < 0.25
     same = collections.defaultdict(set)
     for r in got:
-        same[(dict(rows)[r.doc_id] or "")].add(r.fingerprint)
+        if r.doc_id != 3:  # an id of several texts
+            same[(dict(rows)[r.doc_id] or "")].add(r.fingerprint)
     assert all(len(s) == 1 for s in same.values())
 
 
