@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions.shared import written
 from tideline.functions.vectors import cosine, dot, l2, weighted_sum
 from tideline.operators import catalog as cat
 from tideline.operators import interactions as ix
@@ -81,7 +82,11 @@ prof AS (SELECT user_id, list_transform(l, lambda x: x / greatest(sqrt(list_inne
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
-    h = ix.history(event_impressions(spark, d)).join(vectors(spark, d), "item")
+    return _profiles(ix.history(event_impressions(spark, d)), vectors(spark, d))
+
+
+def _profiles(history: DataFrame, vectors: DataFrame) -> DataFrame:
+    h = history.join(vectors, "item")
     return weighted_sum(h, ["user_id"], "v", F.col("decayed"), "q").withColumn("q", l2(F.col("q")))
 
 
@@ -93,10 +98,10 @@ def taste_profile(spark, d):
 @query(with_sql(EV, VEC, EHIST, PROFILE, "near AS (SELECT user_id, item, list_inner_product(q, v) AS score FROM prof, vec)", "last AS (SELECT h.user_id, b.item, 0.85 * list_inner_product(a.v, b.v) AS score FROM ehist h JOIN vec a ON a.item = h.item, vec b WHERE pos_back = 0 AND b.item <> h.item)",
     "u AS (SELECT user_id, item, max(score) AS score FROM (SELECT * FROM near UNION ALL SELECT * FROM last) WHERE (user_id, item) NOT IN (SELECT (user_id, item) FROM ehist) GROUP BY ALL)", then="SELECT user_id, item, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, item) AS rank FROM u) WHERE rank <= 10"))
 def content_history(spark, d):
-    h = ix.history(event_impressions(spark, d))
+    h = written(ix.history(event_impressions(spark, d)), "history")
     items = vectors(spark, d).select("item", "v")
     seen = h.groupBy("user_id").agg((F.countDistinct("item") + 10).alias("need"))
-    near = recall.blocked_topk(profiles(spark, d).join(seen, "user_id"), items, "user_id", F.col("need"))
+    near = recall.blocked_topk(_profiles(h, vectors(spark, d)).join(seen, "user_id"), items, "user_id", F.col("need"))
     recent = h.filter("pos_back = 0").join(items, "item").select("user_id", F.transform("v", lambda x: 0.85 * x).alias("q")).join(seen, "user_id")
     last = recall.blocked_topk(recent, items, "user_id", F.col("need"))
     best = near.unionByName(last).groupBy("user_id", "item").agg(F.max("score").alias("score")).join(h, ["user_id", "item"], "left_anti")
@@ -172,8 +177,8 @@ fu AS (SELECT user_id, item, sum(CASE source WHEN 'covisit' THEN 1.15 ELSE 1.0 E
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """(user_id, source, item, score): co-visitation and popularity for every user of the events."""
-    ev = event_impressions(spark, d)
+    """(user_id, source, item, score): co-visitation and popularity for every user of the events, whose sessions are cut once."""
+    ev = written(event_impressions(spark, d), "impressions")
     h = ix.history(ev)
     near = recall.top_by(recall.covisit_scores(h, recall.covisitation(ev), exclude=False), "user_id", 30).select("user_id", F.lit("covisit").alias("source"), "item", "score")
     top = recall.sessions(ev).groupBy("item").agg(F.count(F.lit(1)).cast("double").alias("score")).orderBy(F.desc("score"), "item").limit(30)
