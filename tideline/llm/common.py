@@ -3,60 +3,15 @@
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 
 import numpy as np
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ASCII_SPACE = " \t\n\x0b\x0c\r"
-
+from tideline.functions.shared import fresh_path, shared_dir, written  # noqa: F401  what operators here and the pipeline use
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset a temporary folder is made, which is right in local mode only; elsewhere it is an error.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tideline-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-_MADE: set[str] = set()
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing else uses, in a folder of this application that goes when it ends."""
-    sc = spark.sparkContext
-    own = f"{shared_dir(spark).rstrip('/')}/tideline-{sc.applicationId}"
-    if own not in _MADE:
-        path = sc._jvm.org.apache.hadoop.fs.Path(own)
-        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-        _MADE.add(own)
-    return f"{own}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: without its lineage, and of known size, which a checkpoint is not. For what goes through several joins.
-
-    The shuffles behind it serve this write only, so Spark is told to remove their files when it ends.
-    """
-    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting, "false")
-    spark.conf.set(setting, "true")
-    try:
-        df.write.parquet(at := fresh_path(spark, what))
-    finally:
-        spark.conf.set(setting, before)
-    return spark.read.schema(df.schema).parquet(at)
+ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def cut(df: DataFrame) -> DataFrame:
