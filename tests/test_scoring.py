@@ -76,10 +76,12 @@ def test_similarities_and_dots_by_block(spark, rows):
     got = {(r.request_id, r.item): tuple(r)[2:] for r in ft.set_similarities(h, p, v, rows=rows).collect()}
     assert set(got) == set(pairs)
     zero = np.zeros(6)
-    for (u, i), g in got.items():
+    for (u, i), (*g, anchor) in got.items():
+        known = [j for q, j, _, _ in history if q == u and j in vec]
+        assert anchor == (min(known, key=lambda j: (-round(float(vec[i] @ vec[j]), 6), j)) if known and i in vec else None)
         mine = [(vec.get(j, zero), w) for q, j, _, w in history if q == u]
         if not mine:
-            assert g == (0, 0, 0)
+            assert g == [0, 0, 0]
             continue
         c, prof = vec.get(i, zero), sum(w * x for x, w in mine)
         n = np.linalg.norm(prof)
