@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideline.operators import interactions as ix
 from tideline.operators import metrics, recall
 from tideline.plans.relational import EHIST
-from tideline.plans.retrieval import candidates
+from tideline.plans.retrieval import ECOV, FUSED, RSCORE, candidates
 from tideline.registry import query
 from tideline.sources.adapters import EV, VEC, event_impressions, table, vectors, with_sql
 
@@ -209,13 +209,21 @@ def protocol_a(spark, d):
     return placed.agg(F.count(F.lit(1)).alias("feeds"), F.round(F.avg(1 / r), 6).alias("mrr"), F.round(F.avg(1 / F.log2(r + 1)), 6).alias("ndcg"))
 
 
-@query()
+OBJ = """
+ol AS (SELECT CASE source WHEN 'popular' THEN 'popular' ELSE 'covisit' END AS strategy, user_id, item, place + 1 AS rank FROM rk WHERE place < 10
+    UNION ALL SELECT 'fused', user_id, item, r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(fused, 9) DESC, item) AS r FROM fu) WHERE r <= 10),
+oi AS (SELECT user_id, count(*) AS n_relevant, sum(CASE WHEN p <= 10 THEN gain / log2(p + 1) ELSE 0 END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY gain DESC, item) AS p FROM rel) GROUP BY 1),
+om AS (SELECT strategy, user_id, count(gain) AS found, sum(coalesce(gain, 0) / log2(rank + 1)) AS dcg FROM ol LEFT JOIN rel USING (user_id, item) GROUP BY ALL)
+"""
+
+
+@query(with_sql(*ECOV, EHIST, RSCORE.replace("FROM hist", "FROM ehist"), FUSED, ECUT, EPRE, EREL, OBJ, then="SELECT strategy, round(avg(coalesce(dcg / nullif(ideal, 0), 0)), 6) AS ndcg, round(avg(coalesce(found / n_relevant, 0)), 6) AS recall FROM (SELECT s.strategy, oi.*, found, dcg FROM (SELECT DISTINCT strategy FROM ol) s CROSS JOIN oi LEFT JOIN om ON om.strategy = s.strategy AND om.user_id = oi.user_id) GROUP BY 1"))
 def objective_compare(spark, d):
     """NDCG of co-visitation, popularity and their fusion over the held-out clicks."""
     rel = relevance(spark, d)
     c = candidates(spark, d)
     out = None
     for name, lists in (("covisit", recall.top_by(c.filter("source = 'covisit'"), "user_id", 10)), ("popular", recall.top_by(c.filter("source = 'popular'"), "user_id", 10)), ("fused", recall.fuse(c, "user_id", most=10))):
-        m = metrics.list_metrics(lists.select("user_id", "item", "rank"), rel, 10).agg(F.avg("ndcg").alias("ndcg"), F.avg("recall").alias("recall")).withColumn("strategy", F.lit(name))
+        m = metrics.list_metrics(lists.select("user_id", "item", "rank"), rel, 10).agg(F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(F.avg("recall"), 6).alias("recall")).withColumn("strategy", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out

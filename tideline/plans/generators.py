@@ -9,7 +9,7 @@ from tideline.sources.adapters import catalog, table
 from tideline.sources.files import missing_keys
 
 
-@query()
+@query("SELECT 'lineitem' AS artifact, (SELECT count(*) FROM lineitem) AS rows, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)) AS unknown")
 def artifact_checks(spark, d):
     """Rows of each artifact and how many of its keys do not fit the catalog."""
     c = catalog(spark, d).select(F.col("video_id").alias("item"))

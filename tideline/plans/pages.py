@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.vectors import dot
+from tideline.functions.shared import written
 from tideline.operators import catalog as cat
 from tideline.operators import interactions as ix
 from tideline.operators import policy, recall
+from tideline.operators.metrics import pairwise_mean_cosine
 from tideline.plans.relational import EHIST, STATS, stats
 from tideline.plans.retrieval import ECOV, FUSED, RSCORE, candidates
 from tideline.registry import query
-from tideline.sources.adapters import CAT, EV, IMP, NOW, VEC, event_impressions, retail_impressions, table, vectors, with_sql
+from tideline.sources.adapters import CAT, EV, NOW, VEC, catalog, event_impressions, vectors, with_sql
 
 ERS = RSCORE.replace("FROM hist", "FROM ehist")
 
@@ -70,8 +71,6 @@ def page_policy(spark, d):
 def policy_sweep(spark, d):
     """Diversity and exposure of pages by the weight of relevance."""
     c, out = page_candidates(spark, d).drop("sources").cache(), None
-    from tideline.operators.metrics import pairwise_mean_cosine
-
     for weight in (0.5, 0.72, 0.9, 1.0):
         p = policy.page(c, "user_id", policy.Policy(k=10, mmr=weight, slots=0)).join(vectors(spark, d).select("item", "v"), "item")
         m = pairwise_mean_cosine(p, ["user_id"]).agg(F.avg(1 - F.col("coherence")).alias("diversity")).withColumn("mmr", F.lit(weight))
@@ -97,11 +96,33 @@ def request_mode(spark, d):
     return u.select("user_id", policy.request_mode(F.col("user_id") % 10 == 0, F.col("user_id") % 10 == 1, F.col("n") > 0).alias("mode"))
 
 
-@query(with_sql(*ECOV, EHIST, ERS, FUSED, VEC, "t AS (SELECT user_id, f.item, category, r FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(fused, 9) DESC, item) AS r FROM fu) f JOIN vec ON f.item = vec.item WHERE r <= 10)", then="SELECT user_id, count(DISTINCT category) AS categories, count(DISTINCT item % 20) AS channels, max(n)::DOUBLE / 10 AS top_share FROM (SELECT *, count(*) OVER (PARTITION BY user_id, category) AS n FROM t) GROUP BY 1"))
+MIX = "mx AS (SELECT user_id, string_agg(category || ':' || n, ', ' ORDER BY n DESC, category) AS category_mix FROM (SELECT user_id, category, count(*) AS n FROM t GROUP BY ALL) GROUP BY 1)"
+
+
+@query(with_sql(*ECOV, EHIST, ERS, FUSED, VEC, CAT, NOW, STATS, "t AS (SELECT user_id, f.item, vec.category, v, age_days, p FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(fused, 9) DESC, item) AS r FROM fu) f JOIN vec ON f.item = vec.item JOIN stats ON f.item = video_id LEFT JOIN pop ON pop.item = f.item WHERE r <= 10)", MIX,
+    "dv AS (SELECT a.user_id, 1 - avg(list_inner_product(a.v, b.v)) AS diversity FROM t a JOIN t b ON a.user_id = b.user_id AND a.item <> b.item GROUP BY 1)",
+    then="SELECT user_id, count(DISTINCT category) AS distinct_categories, count(DISTINCT item % 20) AS distinct_channels, any_value(category_mix) AS category_mix, round(median(age_days), 1) AS median_age_days, round(avg(-log2(greatest(coalesce(p, 0), 1) / (SELECT sum(p) FROM pop))), 2) AS novelty_bits, round(coalesce(any_value(diversity), 0), 4) AS diversity FROM t JOIN mx USING (user_id) LEFT JOIN dv USING (user_id) GROUP BY 1"))
 def page_diagnostics(spark, d):
-    f = recall.fuse(candidates(spark, d), "user_id", most=10).join(vectors(spark, d).select("item", "category"), "item")
-    f = f.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id", "category")))
-    return f.groupBy("user_id").agg(F.countDistinct("category").alias("categories"), F.countDistinct(F.col("item") % 20).alias("channels"), (F.max("n").cast("double") / 10).alias("top_share"))
+    """What each page is made of: categories and their mix, channels, median age, novelty, diversity."""
+    c = written(candidates(spark, d), "candidates")
+    f = recall.fuse(c, "user_id", most=10).join(vectors(spark, d).select("item", "category", "v"), "item").join(stats(spark, d).select(F.col("video_id").alias("item"), "age_days"), "item")
+    pop = recall.sessions(event_impressions(spark, d)).groupBy("item").agg(F.count(F.lit(1)).alias("p"))
+    f = f.join(pop, "item", "left").crossJoin(F.broadcast(pop.agg(F.sum("p").alias("t"))))
+    mix = f.groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "category"))), lambda x: F.concat(x["category"], F.lit(":"), (-x["less"]).cast("string"))), ", ").alias("category_mix"))
+    apart = pairwise_mean_cosine(f.select("user_id", "item", "v"), ["user_id"]).select("user_id", F.when(F.col("n") < 2, 0.0).otherwise(1 - F.col("coherence")).alias("diversity"))
+    bits = -F.log2(F.greatest(F.coalesce("p", F.lit(0)), F.lit(1)) / F.col("t"))
+    per = f.groupBy("user_id").agg(F.countDistinct("category").alias("distinct_categories"), F.countDistinct(F.col("item") % 20).alias("distinct_channels"), F.round(F.median("age_days"), 1).alias("median_age_days"), F.round(F.avg(bits), 2).alias("novelty_bits"))
+    return per.join(mix, "user_id").join(apart.select("user_id", F.round("diversity", 4).alias("diversity")), "user_id")
+
+
+POOL, SAMPLE = 600, 24
+
+
+@query(with_sql(CAT, "pl AS (SELECT *, row_number() OVER (ORDER BY view_count DESC, video_id) AS n FROM cat)", then="SELECT video_id, title, channel_id, category, view_count FROM pl WHERE n <= 600 ORDER BY (video_id * 2654435761 + 29) % 1000003, video_id LIMIT 24"))
+def browse_sample(spark, d):
+    """Some of the most viewed items to start from, drawn by hash without replacement."""
+    pool = catalog(spark, d).orderBy(F.desc("view_count"), "video_id").limit(POOL)
+    return pool.orderBy(ix.hash_order(F.col("video_id"), 29), "video_id").limit(SAMPLE).select("video_id", "title", "channel_id", "category", "view_count")
 
 
 @query(with_sql(EV, then="SELECT event_id, round(1 / (1 + exp(-(-1.2 + 2.0 * watch_fraction - 0.15 * rank_shown))), 6) AS p_click, round(least(greatest(0.35 + 0.4 * tanh(watch_fraction) - 0.05 * rank_shown, 0.01), 1.0), 6) AS watch_mean FROM ev"))

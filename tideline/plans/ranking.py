@@ -108,6 +108,18 @@ def crossfit_covisit(spark, d):
     return pairs.groupBy(F.col("a.fold").alias("fold"), F.col("a.item").alias("item"), F.col("b.item").alias("neighbour")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
 
 
+@query(with_sql(EV, CAT, NOW, STATS, "wm AS (SELECT e.event_id, least(greatest(value / 500.0, 0), 1) AS aff, (log_views - avg(log_views) OVER ()) / nullif(stddev_pop(log_views) OVER (), 0) AS q, duration_minutes, 1 - engagement_rate AS bait, watch_fraction FROM ev e JOIN (SELECT event_id, value FROM events) USING (event_id) JOIN stats ON e.item = video_id)",
+    then="SELECT event_id, round(least(greatest((0.30 + 0.45 * aff + 0.12 * tanh(coalesce(q, 0))) * exp(-greatest(duration_minutes - 10.0, 0) / 25.0) * (1 + 0.18 * bait), 0.03), 0.97), 6) AS watch_mean, round(1 / (1 + exp(-(-0.55 + 3.0 * aff + 0.9 * tanh(coalesce(q, 0)) + 1.7 * watch_fraction - 3.4 * bait))), 6) AS satisfied FROM wm"))
+def watch_model(spark, d):
+    """Expected watch share and satisfaction of every impression, quality being the item's popularity among all impressions and bait what its engagement lacks."""
+    e = event_impressions(spark, d).join(table(spark, d, "events").select("event_id", "value"), "event_id").join(stats(spark, d).select(F.col("video_id").alias("item"), "log_views", "duration_minutes", "engagement_rate"), "item")
+    level = e.agg(F.avg("log_views").alias("mean"), F.stddev_pop("log_views").alias("spread"))
+    e = e.crossJoin(F.broadcast(level)).withColumn("quality", F.coalesce(F.try_divide(F.col("log_views") - F.col("mean"), F.col("spread")), F.lit(0.0)))
+    affinity, bait = F.least(F.greatest(F.col("value") / 500.0, F.lit(0.0)), F.lit(1.0)), 1 - F.col("engagement_rate")
+    mean = ranking.watch_mean(affinity, F.col("quality"), F.col("duration_minutes"), F.lit(10.0), bait)
+    return e.select("event_id", F.round(mean, 6).alias("watch_mean"), F.round(ranking.satisfaction(affinity, F.col("quality"), F.col("watch_fraction"), bait), 6).alias("satisfied"))
+
+
 @query("SELECT doc_id, round(p / (1 - p), 6) AS odds FROM (SELECT doc_id, least(greatest((n_chars % 1000) / 1000.0, 1e-9), 1 - 1e-9) AS p FROM documents)")
 def odds_score(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(ranking.odds((F.col("n_chars") % 1000) / 1000.0), 6).alias("odds"))
@@ -196,11 +208,11 @@ def intent_evaluation(spark, d):
     return metrics.auc_by(long.select(F.concat_ws("/", "name", "cohort").alias("detector"), F.round("s", 6).alias("s"), "y"), "detector", "s", "y").select("detector", F.round("auc", 6).alias("auc"), "n_pos", "n_neg")
 
 
-@query()
+@query(with_sql(*INTENT, then="SELECT CASE WHEN alpha > 0.15 THEN 'intent' ELSE 'none' END AS cohort, count(*) AS n, round(avg(least(greatest(c, 0), 1)), 6) AS coherence FROM ia JOIN coh USING (user_id) GROUP BY 1"))
 def intent_cohort(spark, d):
     """Users by whether an intent was detected: how many, and how coherent."""
     i = intent.detect(_last(spark, d), profiles(spark, d))
-    return i.groupBy(F.when(F.col("detected"), "intent").otherwise("none").alias("cohort")).agg(F.count(F.lit(1)).alias("n"), F.avg("coherence").alias("coherence"))
+    return i.groupBy(F.when(F.col("detected"), "intent").otherwise("none").alias("cohort")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("coherence"), 6).alias("coherence"))
 
 
 @query()
@@ -209,7 +221,7 @@ def ranker_train(spark, d):
     f = ix.temporal_split(features(spark, d)).withColumn("weight", ranking.ips_weight(F.col("rank_shown"), F.col("clicked"))).cache()
     train, test, out = f.filter("is_train"), f.filter("not is_train"), None
     for kind in ("gbt", "logistic"):
-        scored = ranking.fit(train, FEATURES, "clicked", "weight", kind)(test)
+        scored = ranking.fit(train, FEATURES, "clicked", "weight", kind, rounds=10)(test)
         a = metrics.auc(scored, "probability", "clicked").withColumn("model", F.lit(kind))
         out = a if out is None else out.unionByName(a)
     return out.unionByName(metrics.auc(test, "log_views", "clicked").withColumn("model", F.lit("log_views alone")))
