@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SENT:
         return
     root = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp(prefix="tideline-")) / "tideline_package.zip"
+    folder = tempfile.mkdtemp(prefix="tideline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it from the driver while the application runs
+    path = Path(folder) / "tideline_package.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent).as_posix())
