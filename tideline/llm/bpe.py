@@ -19,6 +19,7 @@ import tempfile
 import unicodedata
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ SPACE = re.compile(f"[{WHITE}]+")
 #: Merge tables hold (rank << SHIFT) | id under (left << SHIFT) | right.
 SHIFT = 20
 NONE = 1 << 62
+#: Bits of the sieve before the automaton.
+SIEVE = 1 << 19
 
 
 def _members(kind: str) -> str:
@@ -132,7 +135,7 @@ class Spec:
 
 
 def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
-    """A file with the minimal automaton of the words and their ids. Sections: counts, edge ranges, labels, targets, skips, finals, id offsets, ids."""
+    """A file with the minimal automaton of the words and their ids. Sections: counts, edge ranges, targets, skips, id offsets, ids, labels, finals, and a sieve of the words' checksums."""
     entries = sorted(dict(entries).items())
     registry: dict[tuple, int] = {}
     nodes: list[tuple[bool, list[tuple[int, int]]]] = []
@@ -174,7 +177,9 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
     finals = np.array([f for f, _ in nodes], np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(i) for _, i in entries])]).astype(np.int32)
     ids = np.array([i for _, x in entries for i in x], np.int32)
-    arrays = [ranges, targets, np.array(skips, np.int32), offsets, ids, labels, finals]
+    sieve = np.zeros(SIEVE, bool)
+    sieve[[crc32(w) % SIEVE for w, _ in entries]] = True
+    arrays = [ranges, targets, np.array(skips, np.int32), offsets, ids, labels, finals, np.packbits(sieve, bitorder="little")]
     return np.array([root, *[a.size for a in arrays]], np.int32).tobytes() + b"".join(a.tobytes() for a in arrays)
 
 
@@ -187,16 +192,19 @@ class Lexicon:
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         view = memoryview(self.map)
-        head = view[:32].cast("i")
-        self.root, at, parts = head[0], 32, []
-        for size, kind in zip(head[1:8], "iiiiiBB", strict=True):
+        head = view[:36].cast("i")
+        self.root, at, parts = head[0], 36, []
+        for size, kind in zip(head[1:9], "iiiiiBBB", strict=True):
             width = 4 if kind == "i" else 1
             parts.append((at, view[at : at + size * width].cast(kind)))
             at += size * width
         self.base = parts[5][0]  # of the labels, which are searched in place
-        self.ranges, self.targets, self.skips, self.offsets, self.ids, _, self.finals = [p for _, p in parts]
+        self.ranges, self.targets, self.skips, self.offsets, self.ids, _, self.finals, self.sieve = [p for _, p in parts]
 
     def find(self, word: bytes) -> list[int] | None:
+        mark = crc32(word) % SIEVE
+        if not self.sieve[mark >> 3] >> (mark & 7) & 1:  # most rare words are not walked
+            return None
         node, number = self.root, 0
         seek, base, ranges = self.map.find, self.base, self.ranges
         for i in range(len(word)):
