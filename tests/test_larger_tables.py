@@ -23,3 +23,17 @@ def test_blocks_of_both_sides_meet(uncoalesced):
     got = {(r["query"], r["item"]) for r in recall.blocked_topk(queries, items, "query", 5, rows=32).collect()}
     score = np.round(v[:70] @ v.T, 6)
     assert got == {(q, int(i)) for q in range(70) for i in np.argsort(-score[q], kind="stable")[:5]}
+
+
+def test_channel_lists_are_the_best_of_whole_channels(uncoalesced):
+    """Items of equal and of nearly equal lift, small affinities whose scores tie once rounded, and seen items."""
+    rng = np.random.default_rng(5)
+    items = [(i, "c%d" % (i % 3), float(q)) for i, q in enumerate(np.round(rng.gamma(2.0, size=400), 1))] + [(400 + i, "c1", 3.0 + 1e-7 * i) for i in range(40)]
+    affinity = [(u, "c%d" % c, float(10.0 ** rng.uniform(-6, 1))) for u in range(30) for c in range(3) if rng.random() < 0.7] + [(30, "c0", 0.0), (31, "c9", 1.0)]
+    seen = [(u, int(i)) for u in range(30) for i in rng.choice(440, rng.integers(0, 120), replace=False)]
+    a = uncoalesced.createDataFrame(affinity, "user_id long, channel_id string, affinity double")
+    v = uncoalesced.createDataFrame(items, "video_id long, channel_id string, q double")
+    s = uncoalesced.createDataFrame(seen, "user_id long, item long")
+    plain = recall.top_by(recall.channel_scores(a, v, F.col("q")).join(s, ["user_id", "item"], "left_anti"), "user_id", 7)
+    rows = lambda df: sorted((r.user_id, r["rank"], r["item"], r.score) for r in df.collect())
+    assert rows(recall.channel_topk(a, v, F.col("q"), s, 7)) == rows(plain)

@@ -154,10 +154,9 @@ def affinity(spark: SparkSession, d: str, by: str) -> DataFrame:
 
 @query(with_sql(IMP, CAT, NOW, STATS, HIST, AFF, "c AS (SELECT a.user_id, video_id AS item, affinity * (1 + 0.15 * ln(1 + log_views * (1 + 1.5 * engagement_rate))) AS score FROM aff a JOIN stats USING (channel_id) )", then="SELECT user_id, item, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, item) AS n FROM c WHERE (user_id, item) NOT IN (SELECT (user_id, item) FROM hist)) WHERE n <= 20"))
 def channel_recall(spark, d):
-    a = affinity(spark, d, "channel_id")
-    scored = recall.channel_scores(a, stats(spark, d), cat.popular_score())
-    fresh = scored.join(ix.history(retail_impressions(spark, d)), ["user_id", "item"], "left_anti")
-    return recall.top_by(fresh, "user_id", 20).select("user_id", "item", F.round("score", 6).alias("score"))
+    """Twenty new items of each user's channels; no user is crossed with whole channels."""
+    best = recall.channel_topk(affinity(spark, d, "channel_id"), stats(spark, d), cat.popular_score(), ix.history(retail_impressions(spark, d)), 20)
+    return best.select("user_id", "item", F.round("score", 6).alias("score"))
 
 
 @query(with_sql(IMP, CAT, HIST, "a AS (SELECT user_id, category, sum(decayed) AS w FROM hist JOIN cat ON item = video_id GROUP BY ALL)", then="SELECT user_id, category, round(w / sum(w) OVER (PARTITION BY user_id), 6) AS share FROM a"))
