@@ -37,3 +37,25 @@ def test_channel_lists_are_the_best_of_whole_channels(uncoalesced):
     plain = recall.top_by(recall.channel_scores(a, v, F.col("q")).join(s, ["user_id", "item"], "left_anti"), "user_id", 7)
     rows = lambda df: sorted((r.user_id, r["rank"], r["item"], r.score) for r in df.collect())
     assert rows(recall.channel_topk(a, v, F.col("q"), s, 7)) == rows(plain)
+
+
+def test_factors_do_not_depend_on_batches_and_parts(uncoalesced, monkeypatch):
+    """An id whose interactions come in several parts and batches gets the same factors, and each id moves one row of sums a part."""
+    rng = np.random.default_rng(8)
+    rows = [(u, i, float(rng.uniform(0.01, 1))) for u in range(60) for i in range(12) if i == 0 or rng.random() < 0.4]
+    ui = uncoalesced.createDataFrame(rows, "user_id long, item long, weight double")
+    factors = lambda dfs: [np.array([r.y for r in df.orderBy("id").collect()]) for df in dfs]
+    whole = factors(recall.ImplicitALS(4, iterations=2).fit(ui))
+    dealt = recall.ImplicitALS._dealt
+    monkeypatch.setattr(recall.ImplicitALS, "_dealt", staticmethod(lambda r: dealt(r, rows=7)))
+    uncoalesced.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        parts = factors(recall.ImplicitALS(4, iterations=2).fit(ui))
+    finally:
+        uncoalesced.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(a.shape == b.shape and np.allclose(a, b, atol=1e-9) for a, b in zip(whole, parts, strict=True))
+
+
+def test_sessions_are_dealt_by_their_number(spark):
+    imp = spark.range(1000).select((F.col("id") % 100).alias("session_id"), F.col("id").alias("item"), F.lit(1).alias("clicked"))
+    assert recall._dealt_sessions(imp, rows=100).rdd.getNumPartitions() == 10
