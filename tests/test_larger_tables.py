@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.operators import recall
+from tideline.operators import recall, text
 
 
 @pytest.fixture
@@ -59,3 +59,14 @@ def test_factors_do_not_depend_on_batches_and_parts(uncoalesced, monkeypatch):
 def test_sessions_are_dealt_by_their_number(spark):
     imp = spark.range(1000).select((F.col("id") % 100).alias("session_id"), F.col("id").alias("item"), F.lit(1).alias("clicked"))
     assert recall._dealt_sessions(imp, rows=100).rdd.getNumPartitions() == 10
+
+
+def test_counting_terms_moves_documents_once(spark, monkeypatch):
+    """Counts come from documents dealt out by key: one exchange, and it is below the words."""
+    plans = []
+    monkeypatch.setattr(text, "written", lambda df, what: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    docs = spark.createDataFrame([(i, f"red blue word{i % 5}") for i in range(20)], "doc_id long, text string")
+    got = text.postings(docs, "doc_id", text.tokens(F.col("text")))
+    moved = [line for line in plans[0].splitlines() if "Exchange" in line]
+    assert len(moved) == 1 and "doc_id" in moved[0] and "term" not in moved[0]
+    assert got.groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("s")).filter("abs(s - 1) > 1e-9").count() == 0
