@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.engine import Engine
 from tideline.operators import recall, text
 
 
@@ -70,3 +71,15 @@ def test_counting_terms_moves_documents_once(spark, monkeypatch):
     moved = [line for line in plans[0].splitlines() if "Exchange" in line]
     assert len(moved) == 1 and "doc_id" in moved[0] and "term" not in moved[0]
     assert got.groupBy("doc_id").agg(F.sum(F.col("w") * F.col("w")).alias("s")).filter("abs(s - 1) > 1e-9").count() == 0
+
+
+def test_a_text_that_many_ask_for_is_searched_once(spark, monkeypatch):
+    asked = []
+    plain = text.search
+    monkeypatch.setattr(text, "search", lambda queries, *rest: asked.append(queries.count()) or plain(queries, *rest))
+    e = Engine.__new__(Engine)
+    e.index = text.postings(spark.createDataFrame([(1, "red ring"), (2, "blue ring"), (3, "red cap")], "video_id long, title string"), "video_id", text.tokens(F.col("title")), min_df=1)
+    requests = spark.createDataFrame([(i, "red ring") for i in range(50)] + [(50, "cap"), (51, "qqq"), (52, None)], "request_id long, query string")
+    rows = {(r.request_id, r["item"], r["rank"]) for r in e.search(requests, 2).collect()}
+    assert asked == [3]
+    assert {r[0] for r in rows} == set(range(51)) and all((i, 1, 1) in rows for i in range(50)) and (50, 3, 1) in rows
