@@ -87,13 +87,17 @@ def auc_by(df: DataFrame, by: str, score: str, label: str, buckets: int = 64) ->
     Rows are summed by score; each group's scores are cut into ranges at its own quantiles, so that no running sum goes over a whole group in one task.
     """
     g = df.groupBy(by, score).agg(F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0.0).otherwise(1.0)).alias("n"))
-    bounds = g.groupBy(by).agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 1000).alias("bounds"))
-    ranged = g.join(bounds, by).withColumn("range", F.size(F.filter(F.array_distinct("bounds"), lambda x: x <= F.col(score)))).drop("bounds")
-    before = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy(by, "range").agg(F.sum("n").alias("whole")).select(by, "range", F.coalesce(F.sum("whole").over(before), F.lit(0.0)).alias("start"))
+    bounds = g.groupBy(by).agg(F.array_distinct(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 1000)).alias("bounds"))
+    # a place among the bounds: first among every eighth, then among the eight that follow
+    upto = lambda c: F.size(F.filter(c, lambda x: x <= F.col(score)))
+    coarse = F.filter("bounds", lambda x, i: i % 8 == 7)
+    ranged = g.join(bounds.withColumn("coarse", coarse), by).withColumn("eight", upto(F.col("coarse")) * 8).withColumn("range", F.col("eight") + upto(F.slice("bounds", F.col("eight") + 1, F.lit(8)))).select(by, "range", score, "p", "n")
+    # sums of a range are moved up by what lies below the range once the ranges are summed: rows are read once
     within = Window.partitionBy(by, "range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = ranged.withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0.0))).join(starts, [by, "range"])
-    t = below.groupBy(by).agg(F.sum(F.col("p") * (F.col("start") + F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
+    below = ranged.withColumn("below", F.coalesce(F.sum("n").over(within), F.lit(0.0)))
+    sums = below.groupBy(by, "range").agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    before = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    t = sums.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0.0))).groupBy(by).agg(F.sum(F.col("u") + F.col("p") * F.col("start")).alias("u"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     return t.select(by, F.try_divide(F.col("u"), F.col("n_pos") * F.col("n_neg")).alias("auc"), F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"))
 
 
