@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tideline.operators import metrics
-from tideline.plans import ranking, serving
+from tideline.plans import ranking, scoring, serving
 
 D = "/root/testdata/sf0.001"
 
@@ -34,3 +34,9 @@ def test_ranges_are_summed_in_one_pass(spark):
     """Scores are sorted once; what lies below a range is added to its sums, not joined to its rows."""
     df = spark.createDataFrame([("a", float(i % 97), i % 2) for i in range(400)], "f string, s double, y int")
     assert plan(metrics.auc_by(df, "f", "s", "y"))[0].count("Join") == 1
+
+
+def test_sessions_are_cut_once_for_a_query(spark, monkeypatch):
+    calls, plain = [], scoring.event_impressions
+    monkeypatch.setattr(scoring, "event_impressions", lambda *a: calls.append(a) or plain(*a))
+    assert scoring.feature_aucs(spark, D).count() == 18 and len(calls) == 1
