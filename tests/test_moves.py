@@ -3,8 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tideline.operators import metrics
-from tideline.plans import ranking, scoring, serving
+from tideline.operators import metrics, text
+from tideline.plans import ranking, relational, scoring, serving
 
 D = "/root/testdata/sf0.001"
 
@@ -40,3 +40,28 @@ def test_sessions_are_cut_once_for_a_query(spark, monkeypatch):
     calls, plain = [], scoring.event_impressions
     monkeypatch.setattr(scoring, "event_impressions", lambda *a: calls.append(a) or plain(*a))
     assert scoring.feature_aucs(spark, D).count() == 18 and len(calls) == 1
+
+
+def test_rare_terms_do_not_move(spark):
+    """What the greatest buckets cannot hold is left out before terms are counted, and none of the terms sought is lost."""
+    tf = spark.createDataFrame([(f"w{i}", n) for i in range(300) for n in [1] * (1 + (i < 60) * (70 - i))], "term string, n long")
+    counted = lambda rows: rows.groupBy("term").agg(F.sum("n").alias("n")).filter("n > 1")
+    kept = text._frequent(tf, counted, 20, buckets=1 << 16)
+    best = lambda df: {r.term for r in counted(df).orderBy(F.desc("n"), "term").limit(20).collect()}
+    assert best(kept) == best(tf) and kept.select("term").distinct().count() < 60
+    assert text._frequent(tf, counted, 100).count() == tf.count()  # fewer pass than are sought: no bound
+
+
+def test_small_vocabularies_give_the_same_space(spark):
+    """Passes over documents as rows of arrays give what the joins give."""
+    rng = np.random.default_rng(4)
+    index = spark.createDataFrame([(i, f"t{j}", float(rng.uniform(0.1, 1))) for i in range(80) for j in rng.choice(30, 9, replace=False)], "doc_id long, term string, w double")
+    small, joined = (text.svd(index, "doc_id", 5, oversample=4, small=n) for n in (20_000, 0))
+    assert np.allclose(small.values, joined.values, atol=1e-8) and np.isclose(small.explained, joined.explained, atol=1e-8)
+    a, b = ({r.doc_id: np.array(r.v) for r in x.vectors(index, "doc_id").collect()} for x in (small, joined))
+    assert a.keys() == b.keys() and all(np.allclose(np.abs(a[k]), np.abs(b[k]), atol=1e-6) for k in a)
+
+
+def test_sessions_of_an_item_are_counted_in_parts(spark):
+    physical = plan(relational.item_popularity(spark, D))[1]
+    assert any("REPARTITION_BY_NUM" in x and "session_id" in x for x in physical.splitlines()) and not any("Exchange hashpartitioning" in x and "session_id" in x and "item" in x for x in physical.splitlines())
