@@ -65,3 +65,13 @@ def test_small_vocabularies_give_the_same_space(spark):
 def test_sessions_of_an_item_are_counted_in_parts(spark):
     physical = plan(relational.item_popularity(spark, D))[1]
     assert "REPARTITION_BY_NUM" in physical and not any("Exchange hashpartitioning" in x and "session_id" in x and "item" in x for x in physical.splitlines())
+
+
+def test_topics_move_one_row_a_posting(spark, monkeypatch):
+    """Components are summed side by side, not as a row each."""
+    plans = []
+    plain = text.written
+    monkeypatch.setattr(text, "written", lambda df, what: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, what))
+    index = spark.createDataFrame([(i, f"t{i % 5}", 1.0) for i in range(20)], "doc_id long, term string, w double")
+    assert text.nmf(index, "doc_id", topics=2, rounds=1).count() == 20
+    assert not any("Generate" in p for p in plans)
