@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tideline.operators import metrics, text
+from tideline.operators import metrics, recall, text
 from tideline.plans import ranking, relational, scoring, serving
+from tideline.plans import text as text_plans
 
 D = "/root/testdata/sf0.001"
 
@@ -75,3 +76,33 @@ def test_topics_move_one_row_a_posting(spark, monkeypatch):
     index = spark.createDataFrame([(i, f"t{i % 5}", 1.0) for i in range(20)], "doc_id long, term string, w double")
     assert text.nmf(index, "doc_id", topics=2, rounds=1).count() == 20
     assert not any("Generate" in p for p in plans)
+
+
+def test_search_of_documents_is_search_of_their_postings(spark, monkeypatch):
+    """Repeated and missing keys, missing texts, copies that tie, rare terms that move, several blocks: what the join with all postings gives."""
+    rnd = np.random.default_rng(6)
+    say = lambda n: " ".join(f"w{min(int(x), 60)}" for x in rnd.zipf(1.4, n))
+    rows = [(i, say(int(rnd.integers(1, 30)))) for i in range(150)] + [(3, say(9)), (3, "w1 w2"), (None, say(9)), (None, "w2"), (151, None), (152, "")] + [(200 + i, "w1 w2 w7") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, say(6)) for i in range(40)] + [(40, "zzz"), (41, "zzz w7"), (42, None)], "item_id long, text string")
+    words = text.tokens(F.col("text"))
+    plain = recall.top_by(text.search(asked, "item_id", words, text.postings(docs, "doc_id", words), "doc_id"), "item_id", 4, item="doc_id")
+    listed = lambda df: sorted((r.item_id, r["rank"], r.doc_id, round(r.score, 6)) for r in df.collect())
+    want = listed(plain)
+    for terms, postings in ((200_000, 2_000_000), (5, 2_000_000), (0, 2_000_000), (5, 0)):
+        monkeypatch.setattr(text, "SENT_TERMS", terms)
+        monkeypatch.setattr(text, "SENT_POSTINGS", postings)
+        assert listed(text.search_documents(asked, "item_id", words, docs, "doc_id", words, 4)) == want
+    monkeypatch.setattr(text, "SENT_POSTINGS", 2_000_000)
+    scored = text._scored
+    monkeypatch.setattr(text, "_scored", lambda *a: scored(*a, block=7, docs=16))
+    assert listed(text.search_documents(asked, "item_id", words, docs, "doc_id", words, 4)) == want
+
+
+def test_search_writes_no_index(spark, monkeypatch):
+    """Postings of whole documents are neither written nor moved."""
+    made = []
+    plain = text.written
+    for module in (text, text_plans):
+        monkeypatch.setattr(module, "written", lambda df, what: made.append(what) or plain(df, what))
+    assert text_plans.text_search(spark, D).count() > 0 and not {"counts", "index"} & set(made)
