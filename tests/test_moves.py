@@ -100,9 +100,11 @@ def test_search_of_documents_is_search_of_their_postings(spark, monkeypatch):
 
 
 def test_search_writes_no_index(spark, monkeypatch):
-    """Postings of whole documents are neither written nor moved."""
+    """Postings of whole documents are neither written nor moved, and for unknown words nothing of them is."""
     made = []
     plain = text.written
     for module in (text, text_plans):
         monkeypatch.setattr(module, "written", lambda df, what: made.append(what) or plain(df, what))
     assert text_plans.text_search(spark, D).count() > 0 and not {"counts", "index"} & set(made)
+    made.clear()
+    assert text_plans.text_search_oov(spark, D).count() == 0 and made == ["asked"]
