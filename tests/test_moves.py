@@ -3,8 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tideline.operators import metrics, recall, text
-from tideline.plans import ranking, relational, scoring, serving
+from tideline.operators import metrics, policy, recall, text
+from tideline.plans import pages, ranking, relational, scoring, serving
 from tideline.plans import text as text_plans
 
 D = "/root/testdata/sf0.001"
@@ -108,3 +108,35 @@ def test_search_writes_no_index(spark, monkeypatch):
     assert text_plans.text_search(spark, D).count() > 0 and not {"counts", "index"} & set(made)
     made.clear()
     assert text_plans.text_search_oov(spark, D).count() == 0 and made == ["asked"]
+
+
+def test_pages_of_many_requests_are_those_of_each(spark):
+    """Requests of unlike sizes, ties, full channels and copies, side by side and in batches that end within a request."""
+    rng = np.random.default_rng(9)
+    groups = [(np.sort(rng.uniform(size=n).round(1))[::-1], rng.integers(-1, 2, (n, 4)).astype(float), rng.integers(0, 3, n), rng.integers(0, 4, n)) for n in rng.integers(1, 25, 40)]
+    rows = [(r, i, float(rel[i]), v[i].tolist(), int(cat[i]), int(ch[i]), 1.0, 0.5) for r, (rel, v, cat, ch) in enumerate(groups) for i in range(len(rel))]
+    df = spark.createDataFrame(rows, "r long, item long, base double, v array<double>, category long, channel long, surprise double, draw double").orderBy(F.rand(3))
+    ways = [policy.Policy(k=6, slots=0), policy.Policy(k=9, mmr=0.3, per_channel=0, slots=0)]
+    got = {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for n, p in enumerate(ways):
+            for x in policy.page(df, "r", p).orderBy("r", "position").collect():
+                got.setdefault((n, x.r), []).append((x["item"], x.moved))
+        coherence = {(x.policy, x.r): (x.coherence, x.n) for x in policy.coherences(df, "r", ways).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == coherence.keys() == {(n, r) for n in range(2) for r in range(40)}
+    for (n, r), page in got.items():
+        picks, moved = policy.select_page(*groups[r], ways[n])
+        assert page == list(zip(picks, moved, strict=True))
+        v = groups[r][1][picks]
+        pairs = [v[i] @ v[j] for i in range(len(v)) for j in range(len(v)) if i != j]
+        assert np.isclose(coherence[n, r][0], np.mean(pairs) if pairs else 0.0) and coherence[n, r][1] == len(picks)
+
+
+def test_policies_are_swept_in_one_pass(spark):
+    """Candidates are neither kept nor moved once for each policy, nor are pages joined with vectors again."""
+    physical = plan(pages.policy_sweep(spark, D))[1]
+    assert "InMemoryTableScan" not in physical and sum("MapInArrow" in x for x in physical.splitlines()) == 1 and "InPandas" not in physical
+    assert sum("FileScan" in x and "embedding" in x for x in physical.splitlines()) == 1

@@ -70,12 +70,10 @@ def page_policy(spark, d):
 @query()
 def policy_sweep(spark, d):
     """Diversity and exposure of pages by the weight of relevance."""
-    c, out = page_candidates(spark, d).drop("sources").cache(), None
-    for weight in (0.5, 0.72, 0.9, 1.0):
-        p = policy.page(c, "user_id", policy.Policy(k=10, mmr=weight, slots=0)).join(vectors(spark, d).select("item", "v"), "item")
-        m = pairwise_mean_cosine(p, ["user_id"]).agg(F.avg(1 - F.col("coherence")).alias("diversity")).withColumn("mmr", F.lit(weight))
-        out = m if out is None else out.unionByName(m)
-    return out
+    weights = [0.5, 0.72, 0.9, 1.0]
+    m = policy.coherences(page_candidates(spark, d).drop("sources"), "user_id", [policy.Policy(k=10, mmr=w, slots=0) for w in weights])
+    m = m.groupBy("policy").agg(F.avg(1 - F.col("coherence")).alias("diversity"))
+    return spark.createDataFrame(list(enumerate(weights)), "policy int, mmr double").join(m, "policy", "left").select("diversity", "mmr")
 
 
 @query()
