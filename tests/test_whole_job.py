@@ -1,5 +1,6 @@
 """Queries do their whole job: nothing is cut short, and nothing is made that is not asked for."""
 
+from tideline.operators import recall
 from tideline.plans import scoring
 
 
@@ -21,3 +22,11 @@ def test_only_the_diagnosis_fits_models_to_compare(spark, monkeypatch):
     monkeypatch.setattr(scoring, "trained", lambda rows, kind: made.append(kind) or (lambda df: df.selectExpr("*", "0.5 as probability")))
     assert "ranker_in_sample" not in scoring.model_scores(spark, "", None).columns and made == ["gbt"]
     assert scoring.model_scores(spark, "", None, diagnosis=True).columns[-3:] == ["ranker", "ranker_in_sample", "logistic"]
+
+
+def test_blocks_grow_with_the_tables():
+    """Copies of both sides, in rows, at 540,000 queries and 615,000 items; blocks of 4,096 made 163 million."""
+    of_query, of_items = recall._sides(540_000, 615_000, 12)
+    copies = 540_000 * -(-615_000 // of_items) + 615_000 * -(-540_000 // of_query)
+    assert copies < 20e6 and of_query * 64 * 8 < 20e6
+    assert recall._sides(1_500, 2_000, 8) == (4096, 4096)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.shared import written
@@ -102,8 +102,12 @@ def content_history(spark, d):
     items = vectors(spark, d).select("item", "v")
     seen = h.groupBy("user_id").agg((F.countDistinct("item") + 10).alias("need"))
     near = recall.blocked_topk(_profiles(h, vectors(spark, d)).join(seen, "user_id"), items, "user_id", F.col("need"))
-    recent = h.filter("pos_back = 0").join(items, "item").select("user_id", F.transform("v", lambda x: 0.85 * x).alias("q")).join(seen, "user_id")
-    last = recall.blocked_topk(recent, items, "user_id", F.col("need"))
+    # users with the same newest item ask the same: each item is asked for once, as deep as any of them needs
+    newest = h.filter("pos_back = 0").select("user_id", F.col("item").alias("newest")).join(seen, "user_id")
+    asked = newest.groupBy("newest").agg(F.max("need").alias("need")).join(items.withColumnRenamed("item", "newest"), "newest").select("newest", F.transform("v", lambda x: 0.85 * x).alias("q"), "need")
+    found = recall.blocked_topk(asked, items, "newest", F.col("need"))
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("newest").orderBy(F.desc(F.round("score", 6)), "item")))
+    last = newest.join(found, "newest").filter("place <= need").select("user_id", "item", "score")
     best = near.unionByName(last).groupBy("user_id", "item").agg(F.max("score").alias("score")).join(h, ["user_id", "item"], "left_anti")
     return recall.top_by(best, "user_id", 10).select("user_id", "item", F.round("score", 6).alias("score"))
 
