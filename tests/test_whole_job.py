@@ -1,7 +1,7 @@
 """Queries do their whole job: nothing is cut short, and nothing is made that is not asked for."""
 
 from tideline.operators import recall
-from tideline.plans import scoring
+from tideline.plans import pages, scoring
 
 
 def test_a_history_is_all_earlier_clicks(spark):
@@ -30,3 +30,12 @@ def test_blocks_grow_with_the_tables():
     copies = 540_000 * -(-615_000 // of_items) + 615_000 * -(-540_000 // of_query)
     assert copies < 20e6 and of_query * 64 * 8 < 20e6
     assert recall._sides(1_500, 2_000, 8) == (4096, 4096)
+
+
+def test_a_sweep_tells_exposure_too(spark):
+    rows = [(0, 0.5, [1, 2]), (0, 0.0, [1, 3]), (1, 0.2, [4]), (1, 0.4, [4])]
+    got = {r.policy: r for r in pages.exposure(spark.createDataFrame(rows, "policy int, coherence double, items array<long>"), 5).collect()}
+    for policy, counts, diversity in ((0, [0, 0, 1, 1, 2], 0.75), (1, [0, 0, 0, 0, 2], 0.7)):
+        gini = 2 * sum((i + 1) * x for i, x in enumerate(counts)) / (5 * sum(counts)) - 6 / 5
+        assert abs(got[policy].gini - gini) < 1e-12 and abs(got[policy].diversity - diversity) < 1e-12
+        assert got[policy].coverage == sum(x > 0 for x in counts) / 5

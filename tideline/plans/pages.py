@@ -69,11 +69,26 @@ def page_policy(spark, d):
 
 @query()
 def policy_sweep(spark, d):
-    """Diversity and exposure of pages by the weight of relevance."""
+    """Diversity and exposure of pages by the weight of relevance: mean distance within pages, the share of all items that some page shows, and the Gini coefficient of how often each item is shown, never included."""
     weights = [0.5, 0.72, 0.9, 1.0]
     m = policy.coherences(page_candidates(spark, d).drop("sources"), "user_id", [policy.Policy(k=10, mmr=w, slots=0) for w in weights])
-    m = m.groupBy("policy").agg(F.avg(1 - F.col("coherence")).alias("diversity"))
-    return spark.createDataFrame(list(enumerate(weights)), "policy int, mmr double").join(m, "policy", "left").select("diversity", "mmr")
+    m = exposure(m, vectors(spark, d).count())
+    return spark.createDataFrame(list(enumerate(weights)), "policy int, mmr double").join(m, "policy", "left").select("diversity", "coverage", "gini", "mmr")
+
+
+def exposure(pages: DataFrame, catalog: int) -> DataFrame:
+    """(policy, diversity, coverage, gini) of (policy, coherence, items) over ``catalog`` items. Pages are read once; items of a policy that are shown equally often take consecutive places, whose sum is known."""
+    first = F.col("pos") == 0
+    shown = pages.select("policy", (1 - F.col("coherence")).alias("apart"), F.posexplode("items").alias("pos", "item"))
+    of_item = shown.groupBy("policy", "item").agg(F.count(F.lit(1)).alias("x"), F.sum(F.when(first, F.col("apart"))).alias("apart"), F.count_if(first).alias("pages"))
+    equal = of_item.groupBy("policy", "x").agg(F.count(F.lit(1)).alias("c"), F.sum("apart").alias("apart"), F.sum("pages").alias("pages"))
+    whole = Window.partitionBy("policy")
+    upto = F.sum("c").over(whole.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    equal = equal.withColumns({"upto": upto + catalog - F.sum("c").over(whole)})
+    places = (F.col("upto") * 2 - F.col("c") + 1) * F.col("c") / 2.0
+    sums = equal.groupBy("policy").agg(F.sum("apart").alias("apart"), F.sum("pages").alias("pages"), F.sum("c").alias("items"), F.sum(places * F.col("x")).alias("w"), F.sum(F.col("c") * F.col("x")).alias("s"))
+    n = F.lit(float(catalog))
+    return sums.select("policy", (F.col("apart") / F.col("pages")).alias("diversity"), (F.col("items") / n).alias("coverage"), (2 * F.col("w") / (n * F.col("s")) - (n + 1) / n).alias("gini"))
 
 
 @query()
