@@ -1,7 +1,10 @@
 """Queries do their whole job: nothing is cut short, and nothing is made that is not asked for."""
 
-from tideline.operators import recall
-from tideline.plans import pages, scoring
+import numpy as np
+import pytest
+
+from tideline.operators import recall, text
+from tideline.plans import pages, scoring, serving
 
 
 def test_a_history_is_all_earlier_clicks(spark):
@@ -39,3 +42,22 @@ def test_a_sweep_tells_exposure_too(spark):
         gini = 2 * sum((i + 1) * x for i, x in enumerate(counts)) / (5 * sum(counts)) - 6 / 5
         assert abs(got[policy].gini - gini) < 1e-12 and abs(got[policy].diversity - diversity) < 1e-12
         assert got[policy].coverage == sum(x > 0 for x in counts) / 5
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_topics_are_updated_until_the_error_stands(spark, small):
+    """Two kinds of documents with a word in common: two updates leave them mixed."""
+    rng = np.random.default_rng(1)
+    rows = [(i, f"{'ab'[i % 2]}{j}", float(rng.uniform(0.5, 1))) for i in range(30) for j in rng.choice(8, 4, replace=False)] + [(i, "common", 0.2) for i in range(30)]
+    index = spark.createDataFrame(rows, "doc_id long, term string, w double")
+    mixes = {r.doc_id: np.array(r.mix) for r in text.nmf(index, "doc_id", topics=2, small=small, **({} if small else {"rounds": 2})).collect()}
+    assert len(mixes) == 30 and all(np.isclose(m.sum(), 1) for m in mixes.values())
+    of = [np.mean([mixes[i] for i in range(k, 30, 2)], axis=0) for k in (0, 1)]
+    assert of[0].argmax() != of[1].argmax() and min(of[0].max(), of[1].max()) > 0.85
+
+
+def test_the_registered_topics_are_not_cut_short(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(text, "nmf", lambda index, key, topics, **more: asked.update(topics=topics, **more) or index)
+    serving.nmf_topics(spark, "/root/testdata/sf0.001")
+    assert asked == {"topics": 40}
