@@ -3,6 +3,9 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from tideline.operators import interactions as ix
 from tideline.operators import recall, text
 from tideline.plans import pages, scoring, serving
 
@@ -61,3 +64,15 @@ def test_the_registered_topics_are_not_cut_short(spark, monkeypatch):
     monkeypatch.setattr(text, "nmf", lambda index, key, topics, **more: asked.update(topics=topics, **more) or index)
     serving.nmf_topics(spark, "/root/testdata/sf0.001")
     assert asked == {"topics": 40}
+
+
+@pytest.mark.parametrize("q", [0.0, 0.37, 0.8, 0.95, 1.0])
+def test_the_cutoff_is_the_exact_quantile_without_gathering_times(spark, q, monkeypatch):
+    """Ties, gaps, one time only, and a quantile between two ranges; ``percentile`` is not asked."""
+    rng = np.random.default_rng(4)
+    tables = [rng.integers(0, 10**15, 501), rng.integers(0, 5, 400), np.full(300, 7), np.array([1, 2 * 10**15]), np.concatenate([np.zeros(60), np.full(15, 10**12), rng.integers(10**14, 10**15, 25)])]
+    want = [spark.createDataFrame([(int(x),) for x in t], "ts long").agg(F.floor(F.percentile("ts", q))).first()[0] for t in tables]
+    monkeypatch.setattr(F, "percentile", None)
+    got = [ix.cutoff(spark.createDataFrame([(int(x),) for x in t], "ts long"), q, few=8, buckets=5).first().cutoff for t in tables]
+    assert got == want
+    assert ix.cutoff(spark.createDataFrame([], "ts long"), q).first().cutoff is None
