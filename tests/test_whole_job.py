@@ -76,3 +76,13 @@ def test_the_cutoff_is_the_exact_quantile_without_gathering_times(spark, q, monk
     got = [ix.cutoff(spark.createDataFrame([(int(x),) for x in t], "ts long"), q, few=8, buckets=5).first().cutoff for t in tables]
     assert got == want
     assert ix.cutoff(spark.createDataFrame([], "ts long"), q).first().cutoff is None
+
+
+def test_lists_that_all_users_share_are_made_once(spark, monkeypatch):
+    """Only the users' own tastes are multiplied with the items."""
+    asked, plain = [], recall.blocked_topk
+    monkeypatch.setattr(recall, "blocked_topk", lambda queries, *a, **b: asked.append(queries) or plain(queries, *a, **b))
+    out = scoring.lists(spark, "/root/testdata/sf0.001", scoring.parts(spark, "/root/testdata/sf0.001"))
+    assert len(asked) == 1
+    top = [[r["item"] for r in out["popularity"].filter(F.col("request_id") == u).orderBy("rank").collect()] for u in [r[0] for r in out["popularity"].select("request_id").distinct().orderBy("request_id").limit(2).collect()]]
+    assert all(len(t) == len(set(t)) == scoring.LIST for t in top)
